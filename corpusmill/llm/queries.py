@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .langid import identify_held_out
 from .packing import pack
+from .quality import quality_rules
 from .tokencount import count_tokens
+from .toxicity import score_held_out
+from .warc import write_read
 
 #: Places of the public vocabulary files; a parameter of the operators.
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,8 +29,34 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), COUNT_TOKENIZER, limit=4096)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = write_read(table(spark, sf_dir, "pages"), least_bytes=0)
+    return records.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing, "op6_token_counts": op6_token_counts}
+    return {
+        "op5_packing": op5_packing,
+        "op6_token_counts": op6_token_counts,
+        "op7_warc": op7_warc,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_language_id": op9_language_id,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
