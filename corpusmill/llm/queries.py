@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import leaks
 from .langid import identify_held_out
 from .packing import pack
 from .quality import quality_rules
+from .sharding import extendible_shards
 from .tokencount import count_tokens
 from .toxicity import score_held_out
 from .warc import write_read
@@ -21,6 +23,33 @@ PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 COUNT_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Bytes of text that a shard may hold.
+SHARD_LIMIT = 2 << 20
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards(table(spark, sf_dir, "documents"), SHARD_LIMIT)
+
+
+OP3_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS m, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes FROM documents
+), hashed AS (
+  SELECT doc_id, n_bytes, CAST('0x' || substr(m, 1, 15) AS BIGINT) AS h FROM rows
+), sizes AS (
+  SELECT d.depth, (h >> (60 - d.depth)) AS p, sum(n_bytes) AS shard_bytes, count(*) AS n
+  FROM hashed, (SELECT CAST(unnest(range(0, 41)) AS INTEGER) AS depth) d GROUP BY ALL
+), fits AS (SELECT * FROM sizes WHERE shard_bytes <= {SHARD_LIMIT} OR n = 1)
+SELECT doc_id, n_bytes, 'b' || lpad(bin(p), depth, '0') AS shard_id, depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > {SHARD_LIMIT} AS over_limit
+FROM hashed JOIN fits ON (h >> (60 - depth)) = p
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, end_id=2, length=4096).drop("ids")
 
@@ -50,6 +79,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_sharding": op3_sharding,
+        "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
         "op6_token_counts": op6_token_counts,
         "op7_warc": op7_warc,
@@ -60,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_sharding": OP3_SQL}
