@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import leaks
 from .langid import identify_held_out
+from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .quality import quality_rules
 from .sharding import extendible_shards
@@ -23,6 +24,11 @@ PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 COUNT_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return links.select(F.col("rid").alias("doc_id"), "class_id", "copy_of", "n_copies", "n_links", "n_texts")
+
+
 #: Bytes of text that a shard may hold.
 SHARD_LIMIT = 2 << 20
 
@@ -79,6 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
