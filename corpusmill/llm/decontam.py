@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordCache, kept, text_of, texts
 
@@ -194,10 +195,12 @@ def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, coverage: float = 0.5, slip: int = 3, block_windows: int = 1_000_000,
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None,
 ) -> list[DataFrame]:
-    """For each block of the benchmark the carried columns of docs and `matches` (array) of every row."""
+    """For each block of the benchmark the carried columns of docs and `__matches` (array) of every row."""
     spark = docs.sparkSession
     names = carry if carry is not None else docs.columns
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(item_text_col).alias("item_text"))
+    rows = docs.select(*names, F.col(text_col).alias("__text")) if text_col not in names else docs.select(*names)
+    at = rows.columns.index(text_col if text_col in names else "__text")
     words = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-words // (4 * block_windows)))
     shape = pa.list_(pa.struct([("item_id", pa.int64()), ("kind", pa.string()), ("coverage", pa.float64()), ("slots", pa.int32()), ("changed_slots", pa.int32())]))
@@ -213,14 +216,12 @@ def find_benchmark(
                 for lo in range(0, whole.num_rows, 1000):
                     b = whole.slice(lo, 1000)
                     got = []
-                    for t in texts(b.column(len(names))):
+                    for t in texts(b.column(at)):
                         found = occurrences(sent.value, *reader.read(t), coverage, slip) if t else []
                         got.append([dict(zip(keys, m, strict=True)) for m in found])
-                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(got, shape)], [*names, "matches"])
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(got, shape)], [*names, "__matches"])
 
-        rows = docs.select(*names, text_of(text_col).alias("__text"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-        out.append(rows.mapInArrow(run, f"{schema}, matches {MATCHES}"))
+        out.append(rows.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL(f"__matches {MATCHES}").fields])))
     return out
 
 
@@ -230,12 +231,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("__id").alias("doc_id"), F.explode("matches").alias("m")).select("doc_id", "m.*")
+    return out.select(F.col("__id").alias("doc_id"), F.explode("__matches").alias("m")).select("doc_id", "m.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no benchmark item occurs, in one pass for each block of the benchmark."""
     out = docs
     for k in range(len(find_benchmark(docs, benchmark, **options))):
-        out = find_benchmark(out, benchmark, **options)[k].where(F.size("matches") == 0).drop("matches")
+        out = find_benchmark(out, benchmark, **options)[k].where(F.size("__matches") == 0).drop("__matches")
     return out

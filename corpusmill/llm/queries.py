@@ -13,6 +13,7 @@ from .decontam import leaks
 from .langid import identify_held_out
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
+from .pii import replace_entities
 from .quality import quality_rules
 from .sharding import extendible_shards
 from .tokencount import count_tokens
@@ -29,6 +30,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select(F.col("rid").alias("doc_id"), "class_id", "copy_of", "n_copies", "n_links", "n_texts")
 
 
+#: The key of surrogates; a secret of the deployment, here a fixed one so that runs agree.
+SURROGATE_KEY = "corpusmill-test-key"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, SURROGATE_KEY, count_col="n_entities")
+
+
 #: Bytes of text that a shard may hold.
 SHARD_LIMIT = 2 << 20
 
@@ -83,9 +93,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_pii": op2_pii,
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
@@ -94,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
