@@ -218,7 +218,7 @@ def label_parts(n: int, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, step: int = 16, tolerance: float = 1e-6, block: int = 512,
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, step: int = 16, tolerance: float = 1e-6, block: int = 256,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """rid, tk (row key: id, or text hash for a null id; text hash), class_id, copy_of, n_copies, n_links, n_texts, chosen.
@@ -232,7 +232,7 @@ def ngram_jaccard_join(
 
     buckets = members.select("class", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
-    edges = buckets.join(materialise(hubs), "bucket").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"))
+    edges = buckets.join(materialise(hubs).hint("merge"), "bucket").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     parts = materialise(components(edges))
 
     sizes = materialise(parts.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")))
@@ -240,7 +240,7 @@ def ngram_jaccard_join(
     active = active.select("class", "root", "blocks", "copies", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own"), F.col("rep.rid").alias("rid"), F.col("rep.tk").alias("tk"))
     active = materialise(active)
     source = docs.select(*_row_key(id_col, text_col), text_of(text_col).alias("text"))
-    dealt = source.join(active, ["rid", "tk"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = source.join(active.hint("merge"), ["rid", "tk"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "copies", "text")
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(partitions, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class")
