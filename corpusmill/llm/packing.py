@@ -18,9 +18,9 @@ packed as often as they occur. An empty table gives no pieces.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -63,34 +63,61 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
 class WordTokenizer:
     """Ids of whole texts by a tokenizers file whose pre-tokenizer drops white space.
 
-    Blanks and line ends always part tokens, and so does the place between a letter and a lone mark
-    before them; what lies between such places is encoded once and cached."""
-
-    UNITS = re.compile(r"[ \n]+|(?<=[a-z])(?=[.,][ \n])")
+    White space always parts tokens, and so does the place between a letter and a full stop or comma;
+    what lies between such places is encoded once and cached. Texts are lower-cased before if the
+    tokenizer does so and composition (NFC) can't tell the difference."""
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        probe = self.encode_many(["a b", "a", "b"])
-        if probe[0] != probe[1] + probe[2]:
+        probe = self.encode_many(["a b", "a", "b", "A", "a."])
+        if probe[0] != probe[1] + probe[2] or probe[4][:1] != probe[1]:
             raise ValueError("this tokenizer keeps white space; words cannot be encoded apart")
-        self.wide = self.tokenizer.get_vocab_size() > 65_536
+        self.lowers = probe[1] == probe[3]
+        size = self.tokenizer.get_vocab_size()
+        self.wide = size > 65_536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.cache = WordCache()
+        #: Tokens that end a word; a word of letters has one of them, its last.
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.letter = np.zeros(256, bool)
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.cache = WordCache(800_000)
 
     def encode_many(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def units(self, text: str) -> list[bytes]:
+        if self.lowers:
+            low = text.lower()
+            if low.isascii() or ("Σ" not in text and "İ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)):
+                text = low
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        at = np.flatnonzero(((data[1:] == 46) | (data[1:] == 44)) & self.letter[data[:-1]]) + 1
+        return np.insert(data, at, 32).tobytes().split()
+
     def encode(self, rows: list[str], end: bytes) -> list[bytes]:
         """The packed ids of each text, with the end id."""
-        units = [self.UNITS.split(text.lower() if text.isascii() else text) for text in rows]
+        units = [self.units(text) for text in rows]
         absent = self.cache.absent(set().union(*units))
         known = self.cache.young
-        for i in range(0, len(absent), 4096):
-            part = absent[i : i + 4096]
-            for w, ids in zip(part, self.encode_many(part), strict=True):
+        words, others = [], []
+        for w in absent:
+            (words if w.isalpha() or w.decode().isalpha() else others).append(w)
+        for i in range(0, len(words), 1024):
+            part = words[i : i + 1024]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                others += part
+                continue
+            data, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+            for w, a, b in zip(part, [0, *cuts], cuts, strict=False):
+                known[w] = data[a:b]
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
+            for w, ids in zip(part, self.encode_many([w.decode() for w in part]), strict=True):
                 known[w] = np.array(ids, self.dtype).tobytes()
         return [b"".join([known[w] for w in words]) + end for words in units]
 
@@ -130,8 +157,20 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text
     return rows.mapInArrow(run, "doc_id long, place long, n_tokens long, wide boolean, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = 4_000_000) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (array).
+def _bucket(cuts: list[int]) -> F.Column:
+    """Number of cuts that are not above place: among every 128th cut first, then in that stretch."""
+    if not cuts:
+        return F.lit(0)
+    edges = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    coarse = F.array(*map(F.lit, cuts[::128])).cast("array<bigint>")
+    base = 128 * (F.size(F.filter(coarse, lambda c: c <= F.col("place"))) - 1)
+    return F.when(base < 0, 0).otherwise(base + F.size(F.filter(F.slice(edges, base + 1, 128), lambda c: c <= F.col("place")))).cast("int")
+
+
+def pack(
+    docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = 4_000_000, with_ids: bool = True
+) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array) if asked for.
 
     range_tokens: about how many tokens one task lays out (at most 20,000 ranges are made)."""
     table = materialise(encoded(docs, tokenizer_file, end_id, id_col, text_col))
@@ -141,21 +180,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 40
     if ranges > 1:
         asked = [i / ranges for i in range(1, ranges)]
         cuts = sorted(set(table.select(F.percentile_approx("place", asked, 10 * ranges)).first()[0]))
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts and len(cuts) <= 64 else None
-    if edges is not None:
-        bucket = F.size(F.filter(edges, lambda c: c <= F.col("place")))
-        table = table.withColumn("bucket", bucket.cast("int"))
-    elif cuts:
-        sorted_cuts = np.array(cuts, np.int64)
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = np.searchsorted(sorted_cuts, b.column(1).to_numpy(), side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], [*b.schema.names, "bucket"])
-
-        table = table.mapInArrow(find, "doc_id long, place long, n_tokens long, wide boolean, ids binary, bucket int")
-    else:
-        table = table.withColumn("bucket", F.lit(0))
+    table = table.withColumn("bucket", _bucket(cuts))
     sums = dict(table.groupBy("bucket").agg(F.sum("n_tokens")).collect())
     first: dict[int, int] = {}
     at = 0
@@ -180,19 +205,22 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 40
                     start += size
                     at += size
                 if len(cols[0]) >= 1000:
-                    yield _pieces(cols)
+                    yield _pieces(cols, with_ids)
                     cols = [[] for _ in range(8)]
             if cols[0]:
-                yield _pieces(cols)
+                yield _pieces(cols, with_ids)
 
     dealt = table.repartition(max(1, len(sums)), "bucket").sortWithinPartitions("bucket", "place", "doc_id")
     return dealt.select("doc_id", "n_tokens", "wide", "ids", "bucket").mapInArrow(
-        lay, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+        lay, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     )
 
 
-def _pieces(cols: list[list]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, cols[7])]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[7]).astype(np.int32)))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), ids], names)
+def _pieces(cols: list[list], with_ids: bool) -> pa.RecordBatch:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    arrays: list = [pa.array(c, pa.int64()) for c in cols[:7]]
+    if with_ids:
+        ends = np.cumsum([0, *map(len, cols[7])]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[7]).astype(np.int32))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(arrays, names)

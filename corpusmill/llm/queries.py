@@ -67,7 +67,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, end_id=2, length=4096).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, end_id=2, length=4096, with_ids=False)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
