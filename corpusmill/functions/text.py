@@ -72,10 +72,19 @@ def count_words(c: Column | str, pattern: str = WORD) -> Column:
     return F.regexp_count(F.coalesce(col(c), F.lit("")), F.lit(pattern))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where body uses it inside higher-order functions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(array: Column, n: int) -> Column:
     """All runs of n entries, joined by blanks; none where there are fewer."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(array) - n), lambda i: F.array_join(F.slice(array, i + 1, n), " "))
-    return F.when(F.size(array) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(a: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.array_join(F.slice(a, i + 1, n), " "))
+        return F.when(F.size(a) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return let(array, runs)
 
 
 def markdown_text(c: Column | str) -> Column:

@@ -41,7 +41,8 @@ def latest_user(messages: Column) -> Column:
 
 def dataset_stats(chat: DataFrame) -> DataFrame:
     """records, duplicates (by fingerprint), and messages of each role."""
-    roles = [F.sum(F.size(F.filter("messages", lambda m, r=r: m["role"] == r))).alias(f"{r}_messages") for r in ("system", "user", "assistant")]
+    of = lambda role: F.size(F.filter("messages", lambda m: m["role"] == role))
+    roles = [F.sum(of(r)).alias(f"{r}_messages") for r in ("system", "user", "assistant")]
     return chat.agg(F.count("*").alias("records"), (F.count("*") - F.count_distinct(fingerprint(F.col("messages")))).alias("duplicates"), *roles)
 
 

@@ -10,11 +10,9 @@ from ..functions import text as t
 
 def repeated_ngram(text: Column, n: int = 4, threshold: int = 4) -> Column:
     """True where one run of n words occurs `threshold` times or more."""
-    grams = t.ngrams(t.words(text), n)
-    sorted_ = F.array_sort(grams)
     # In sorted order an n-gram occurs `threshold` times where it equals the one threshold - 1 places on.
-    same = F.transform(sorted_, lambda g, i: F.try_element_at(sorted_, i + threshold) == g)
-    return F.coalesce(F.exists(same, lambda x: x), F.lit(False))
+    far = lambda g: F.zip_with(g, F.slice(g, threshold, 1_000_000_000), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.exists(t.let(F.array_sort(t.ngrams(t.words(text), n)), far), lambda x: x)
 
 
 def judge(df: DataFrame, output: str = "output") -> DataFrame:

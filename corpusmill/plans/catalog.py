@@ -62,14 +62,14 @@ def stable_ids(spark, sf_dir):
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS eval_words, len(regexp_extract_all(text, '[\p{L}\p{N}_''-]+')) AS contract_words, len(regexp_extract_all(text, '\S+')) AS blank_words FROM documents""")
 def word_counts(spark, sf_dir):
-    n = lambda p: t.count_words("text", p)
+    n = lambda p: t.count_words("text", p).cast("long")
     return documents(spark, sf_dir).select("doc_id", n(t.WORD).alias("eval_words"), n(r"(?U)[\w'-]+").alias("contract_words"), n(r"\S+").alias("blank_words"))
 
 
 @query(f"SELECT doc_id, len({TOKENS.format(c='text')}) AS n_tokens, array_to_string({TOKENS.format(c='text')}[1:8], ' ') AS first_tokens FROM documents")
 def search_tokens(spark, sf_dir):
     tokens = t.tokens("text")
-    return documents(spark, sf_dir).select("doc_id", F.size(tokens).alias("n_tokens"), F.array_join(F.slice(tokens, 1, 8), " ").alias("first_tokens"))
+    return documents(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(F.slice(tokens, 1, 8), " ").alias("first_tokens"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents),
@@ -175,7 +175,7 @@ def split_overlap(spark, sf_dir):
 
 @query("SELECT doc_id, lang, turn FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat_ws(chr(1), '', CAST(doc_id AS VARCHAR))), doc_id) AS turn FROM documents) ORDER BY turn, lang LIMIT 60")
 def balanced_round_robin(spark, sf_dir):
-    return selection.round_robin(documents(spark, sf_dir).select("doc_id", "lang"), "lang", 60, ["doc_id"])
+    return selection.round_robin(documents(spark, sf_dir).select("doc_id", "lang"), "lang", 60, ["doc_id"]).withColumn("turn", F.col("turn").cast("long"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY sha256(concat_ws(chr(1), '', CAST(doc_id AS VARCHAR))), doc_id LIMIT 100")
@@ -248,10 +248,10 @@ def bm25_pages(spark, sf_dir):
 FOLDED = r"regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}_'']+')"
 
 
-@query(f"""WITH d AS (SELECT doc_id AS draft, {FOLDED} AS w FROM documents), g AS (SELECT draft, len(w) AS draft_words, unnest(range(1, len(w) - 6)) AS at, w FROM d WHERE len(w) >= 8),
-gg AS (SELECT draft, draft_words, at, array_to_string(w[at:at + 7], ' ') AS gram FROM g),
-s AS (SELECT item_id AS source, {FOLDED} AS w FROM benchmark), sg AS (SELECT source, unnest(range(1, len(w) - 6)) AS at, w FROM s WHERE len(w) >= 8), sgg AS (SELECT DISTINCT source, array_to_string(w[at:at + 7], ' ') AS gram FROM sg),
-c AS (SELECT DISTINCT draft, draft_words, source, unnest(range(at, at + 8)) AS word FROM gg JOIN sgg USING (gram))
+@query(f"""WITH d AS (SELECT doc_id AS draft, {FOLDED} AS w FROM documents), g AS (SELECT draft, len(w) AS draft_words, unnest(range(1, len(w) - 6)) AS pos, w FROM d WHERE len(w) >= 8),
+gg AS (SELECT draft, draft_words, pos, array_to_string(w[pos:pos + 7], ' ') AS gram FROM g),
+s AS (SELECT item_id AS source, {FOLDED} AS w FROM benchmark), sg AS (SELECT source, unnest(range(1, len(w) - 6)) AS pos, w FROM s WHERE len(w) >= 8), sgg AS (SELECT DISTINCT source, array_to_string(w[pos:pos + 7], ' ') AS gram FROM sg),
+c AS (SELECT DISTINCT draft, draft_words, source, unnest(range(pos, pos + 8)) AS word FROM gg JOIN sgg USING (gram))
 SELECT draft, source, draft_words, count(*) AS matched_words, round(100.0 * count(*) / draft_words, 1) AS coverage_percent FROM c GROUP BY 1, 2, 3""")
 def shingle_coverage(spark, sf_dir):
     return retrieval.coverage(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
@@ -420,7 +420,7 @@ def usage_rollup(spark, sf_dir):
     return usage.usage(read(spark, sf_dir, "events"), "user_id", "value", F.col("event_type") == "error")
 
 
-LIMITS = """SELECT event_id, n <= {limit} AS admitted, CASE WHEN n > {limit} THEN greatest(1, 86400 - epoch(ts)::BIGINT % 86400) END AS retry_after
+LIMITS = """SELECT event_id, n <= {limit} AS admitted, CASE WHEN n > {limit} THEN greatest(1, 86400 - floor(epoch(ts))::BIGINT % 86400) END AS retry_after
 FROM (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events)"""
 
 
@@ -532,7 +532,7 @@ def shuffled_choices(spark, sf_dir):
     return rows.select("item_id", F.array_join("o", "|").alias("options"), records.answer_label(F.col("o"), F.substring("text", 1, 5)).alias("answer"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, least(len(regexp_extract_all(text, '\S+')), 300) AS p FROM documents) SELECT doc_id, CAST(least(p, 256 - 9) + 9 AS INT) AS n_ids, CAST(least(p, 256 - 9) AS INT) AS n_masked FROM d""")
+@query(r"""WITH d AS (SELECT doc_id, least(len(regexp_extract_all(text, '\S+')), 300) AS p FROM documents) SELECT doc_id, CAST(least(p + 9, 256) AS INT) AS n_ids, CAST(least(p, 256 - CASE WHEN p + 9 > 256 THEN least(9, greatest(7, 256 - p)) ELSE 9 END) AS INT) AS n_masked FROM d""")
 def supervised_labels(spark, sf_dir):
     words = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 300)
     prompt, answer = F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(1000)) + 1), F.sequence(F.lit(1), F.lit(8))
