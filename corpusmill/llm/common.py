@@ -39,10 +39,9 @@ _KEPT: dict = {}
 
 
 def kept(key: tuple, make):
-    """make(), once in each Python worker for each key; the last few are kept."""
+    """make(), once in each Python worker for each key; only the last is kept, so stages don't add up in memory."""
     if key not in _KEPT:
-        while len(_KEPT) >= 4:
-            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 
