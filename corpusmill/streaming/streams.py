@@ -36,19 +36,19 @@ def rate_limited(stream: DataFrame, client: str, route: str, ts: str, window_s:
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        start = key[2]
+        used = int(state.get[0]) if state.exists else 0
+        start = int(key[2])
         for pdf in frames:
             pdf = pdf.sort_values(ts, kind="stable")
             admitted = []
             for _ in range(len(pdf)):
                 admitted.append(limit <= 0 or used < limit)
-                used += admitted[-1]
+                used += int(admitted[-1])
             wait = [None if ok else max(1, int(start + window_s - at.timestamp())) for ok, at in zip(admitted, pdf[ts], strict=True)]
             yield pd.DataFrame({client: pdf[client], route: pdf[route], ts: pdf[ts], "admitted": admitted, "retry_after": pd.array(wait, "Int64")})
         state.update((used,))
         end = (start + window_s) * 1000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(end, int(state.getCurrentWatermarkMs()) + 1))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"{client} {kinds[client]}, {route} {kinds[route]}, {ts} timestamp, admitted boolean, retry_after long"
