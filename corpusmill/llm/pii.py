@@ -10,7 +10,8 @@ script, surnames by names of the same script; cards get a valid check digit; loc
 address are entities of their own. IBAN check digits are not computed.
 
 Surrogates are checked over all entities of a kind: where two would share one, or one is itself an
-entity of the corpus, all but the first are hashed again with the next attempt until none is left.
+entity of the corpus, all but the first are hashed again with the next attempt until none is left. Names
+and the parts of addresses grow with their attempts, so that short ones, of which the corpus may hold all, find theirs.
 
 Documents without entities pass unchanged. Others are joined by a hash of their text with its own
 map of replacements, so copies, null ids and repeated rows need no key. A null text stays null.
@@ -35,6 +36,17 @@ GIVEN = {
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа"], "u": ["Dr", "Prof"]}
 CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст", "greek": "βγδζκλμνπρστ"}
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηιο"}
+#: Letters of other scripts: the pattern that names the script, and the letters that stand in for its own.
+OTHER_SCRIPTS = [
+    (r"\p{IsHan}", "".join(chr(0x4E00 + i) for i in range(64))),
+    (r"\p{IsHangul}", "".join(chr(0xAC00 + 28 * i) for i in range(64))),
+    (r"\p{IsHiragana}", "".join(chr(0x304B + i) for i in range(72))),
+    (r"\p{IsKatakana}", "".join(chr(0x30AB + i) for i in range(72))),
+    (r"\p{IsArabic}", "".join(chr(0x0628 + i) for i in range(19))),
+    (r"\p{IsHebrew}", "".join(chr(0x05D0 + i) for i in range(27))),
+    (r"\p{IsDevanagari}", "".join(chr(0x0915 + i) for i in range(37))),
+    (r"\p{IsThai}", "".join(chr(0x0E01 + i) for i in range(46))),
+]
 LETTERS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëìíîïñòóôöùúûü", "абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 
 WORD = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}?[\p{L}'’]+)*"
@@ -104,13 +116,22 @@ def _byte(i: str) -> str:
 
 
 def _letters(of: str) -> str:
-    """Each digit and letter of `of` (SQL) replaced by a hashed one of its alphabet; other characters stay."""
+    """Each digit and letter of `of` (SQL) replaced by a hashed one of its alphabet or script (of the Latin one where
+    neither is known); other characters stay."""
     case = "CASE WHEN c BETWEEN '0' AND '9' THEN cast(pmod({v}, 10) as string)"
     for alphabet in LETTERS:
         case += f" WHEN contains({_text(alphabet)}, c) THEN substr({_text(alphabet)}, 1 + pmod({{v}}, {len(alphabet)}), 1)"
+    for script, alphabet in OTHER_SCRIPTS:
+        case += f" WHEN c RLIKE {_text(script)} THEN substr({_text(alphabet)}, 1 + pmod({{v}}, {len(alphabet)}), 1)"
+    case += f" WHEN c RLIKE {_text('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')} THEN substr({_text(LETTERS[0])}, 1 + pmod({{v}}, 26), 1)"
     return f"array_join(transform(split({of}, ''), (c, i) -> {case.replace('{v}', _byte('i'))} ELSE c END), '')"
 
 
+def _longer(of: str) -> str:
+    """`of` (SQL) with one letter more every second attempt: short parts have few surrogates of their own length."""
+    return f"concat({of}, repeat('a', attempt div 2))"
+
+
 def _surrogate() -> str:
     """SQL of the surrogate of (ptype, norm, attempt) from `stream`, in normal form."""
     cases = []
@@ -132,7 +153,8 @@ def _surrogate() -> str:
         "WHEN ptype = 'hex' THEN left(stream, length(norm))",
         f"WHEN ptype = 'key' THEN concat('AKIA', {_letters('substr(norm, 5)')})",
         f"WHEN ptype = 'iban' THEN concat(left(norm, 2), {_letters('substr(norm, 3)')})",
-        f"WHEN ptype = 'domain' THEN concat({_letters('substring_index(norm, chr(46), size(split(norm, chr(92) || chr(46))) - 1)')}, '.', substring_index(norm, '.', -1))",
+        f"WHEN ptype = 'local' THEN {_letters(_longer('norm'))}",
+        f"WHEN ptype = 'domain' THEN concat({_letters(_longer('substring_index(norm, chr(46), size(split(norm, chr(92) || chr(46))) - 1)'))}, '.', substring_index(norm, '.', -1))",
     ]
     plain = f"CASE {' '.join(cases)} ELSE {_letters('norm')} END"
     # A card's last digit follows from the others.

@@ -99,6 +99,17 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert len(set(mails.values())) == len(mails)
 
 
+def test_surrogates_of_short_and_foreign_addresses_end(spark):
+    """All one-letter local parts, other scripts, and parts without a letter: each gets another surrogate."""
+    found = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"] + ["用户@例え.jp", "김@한국.kr", "_@-.de", "%@abc.de", "ß@ÿ.fr", "משה@a.il"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(found)], "doc_id long, text string")
+    new = [r["text"] for r in pii.replace_entities(df, "k").orderBy("doc_id").collect()]
+    assert len(set(new)) == len(found) and not set(new) & set(found)
+    assert not {s.split("@")[0] for s in new} & {s.split("@")[0] for s in found}
+    assert re.fullmatch("[\u4e00-\u9fff]{2}@[\u4e00-\u9fff][\u3040-\u309f]\\.jp", new[26])
+    assert all(a.rsplit(".", 1)[1] == b.rsplit(".", 1)[1] for a, b in zip(new, found, strict=True))
+
+
 def test_shards_fit_and_hold_all_rows(spark, docs):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
     rows = sharding.extendible_shards(df, 400, spare_bits=1).collect()
