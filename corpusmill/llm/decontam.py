@@ -10,7 +10,7 @@ occurrence with the item's own values is `exact`, one with others `template`.
 
 An item of fewer than `window` words is one window of its own length (at least `least` words).
 Windows with more placeholders than words say too little and are left out. The benchmark is read in
-blocks of about block_windows windows (by hash of the item's id), each broadcast for one pass over the
+blocks of about block_windows windows (by hash of the item), each broadcast for one pass over the
 documents, so what is broadcast is bounded at any size. Whole texts are read.
 
 Nulls count as empty texts, which match nothing; items without enough words match nothing. Repeated
@@ -22,15 +22,17 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, kept, text_of, texts
+from .common import WordCache, kept, materialise, text_of, texts
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:]\d+)*|[.!?\n]")
 UNITS = frozenset(
@@ -191,52 +193,57 @@ def occurrences(index: Index, codes: np.ndarray, values: np.ndarray, coverage: f
 MATCHES = "array<struct<item_id:bigint,kind:string,coverage:double,slots:int,changed_slots:int>>"
 
 
-def find_benchmark(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, coverage: float = 0.5, slip: int = 3, block_windows: int = 1_000_000,
-    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None,
-) -> list[DataFrame]:
-    """For each block of the benchmark the carried columns of docs and `__matches` (array) of every row."""
-    spark = docs.sparkSession
-    names = carry if carry is not None else docs.columns
+def indexes(benchmark: DataFrame, window: int = 8, least: int = 5, block_windows: int = 1_000_000, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Broadcast]:
+    """The benchmark's index, in blocks of about block_windows windows, each a broadcast; at least one."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(item_text_col).alias("item_text"))
+    chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    blocks = max(1, -(-chars // (4 * block_windows)))
+    for k in range(blocks):
+        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == k).orderBy("item", "item_text").collect()]
+        yield spark.sparkContext.broadcast(Index(block, window, least))
+
+
+def find_items(docs: DataFrame, index: Broadcast, coverage: float = 0.5, slip: int = 3, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns of docs and `__matches` (array, items of one block of the benchmark) of every row."""
+    names = carry if carry is not None else docs.columns
     rows = docs.select(*names, F.col(text_col).alias("__text")) if text_col not in names else docs.select(*names)
     at = rows.columns.index(text_col if text_col in names else "__text")
-    words = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    blocks = max(1, -(-words // (4 * block_windows)))
     shape = pa.list_(pa.struct([("item_id", pa.int64()), ("kind", pa.string()), ("coverage", pa.float64()), ("slots", pa.int32()), ("changed_slots", pa.int32())]))
     keys = ["item_id", "kind", "coverage", "slots", "changed_slots"]
-    out = []
-    for k in range(blocks):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == k).orderBy("item", "item_text").collect()]
-        sent = spark.sparkContext.broadcast(Index(block, window, least))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            reader = kept(("templates",), Templates)
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 1000):
-                    b = whole.slice(lo, 1000)
-                    got = []
-                    for t in texts(b.column(at)):
-                        found = occurrences(sent.value, *reader.read(t), coverage, slip) if t else []
-                        got.append([dict(zip(keys, m, strict=True)) for m in found])
-                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(got, shape)], [*names, "__matches"])
-
-        out.append(rows.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL(f"__matches {MATCHES}").fields])))
-    return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = kept(("templates",), Templates)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                got = []
+                for t in texts(b.column(at)):
+                    found = occurrences(index.value, *reader.read(t), coverage, slip) if t else []
+                    got.append([dict(zip(keys, m, strict=True)) for m in found])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(got, shape)], [*names, "__matches"])
+
+    return rows.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL(f"__matches {MATCHES}").fields]))
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.5, slip: int = 3, **options) -> DataFrame:
     """doc_id, item_id, kind, coverage, slots, changed_slots: a row for each document and item that occurs in it."""
-    parts = find_benchmark(docs.withColumn("__id", F.col(id_col).cast("long")), benchmark, carry=["__id"], **options)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
+    parts = [find_items(rows, index, coverage, slip, text_col, ["__id"]) for index in indexes(benchmark, **options)]
+    out = reduce(DataFrame.unionByName, parts)
     return out.select(F.col("__id").alias("doc_id"), F.explode("__matches").alias("m")).select("doc_id", "m.*")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs in which no benchmark item occurs, in one pass for each block of the benchmark."""
-    out = docs
-    for k in range(len(find_benchmark(docs, benchmark, **options))):
-        out = find_benchmark(out, benchmark, **options)[k].where(F.size("__matches") == 0).drop("__matches")
-    return out
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = 0.5, slip: int = 3, **options) -> DataFrame:
+    """The rows of docs in which no benchmark item occurs.
+
+    A benchmark of one block takes one pass. With more blocks each reads the documents on its own, so that a
+    task holds one block only; the hashes of the texts that they find are written and taken off."""
+    blocks = list(indexes(benchmark, **options))
+    if len(blocks) == 1:
+        return find_items(docs, blocks[0], coverage, slip, text_col).where(F.size("__matches") == 0).drop("__matches")
+    key = F.xxhash64(text_col)
+    rows = docs.select(key.alias("__key"), text_col)
+    parts = [find_items(rows, index, coverage, slip, text_col, ["__key"]).where(F.size("__matches") > 0).select("__key") for index in blocks]
+    found = materialise(reduce(DataFrame.unionByName, parts).distinct())
+    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(*docs.columns)

@@ -130,6 +130,8 @@ def test_templates_catch_new_numbers_but_not_inconsistent_ones(spark):
     got = {r["doc_id"]: r["kind"] for r in decontam.leaks(docs, bench).collect()}
     assert got == {1: "exact", 2: "template"}
     assert sorted(r["doc_id"] for r in decontam.without_leaks(docs, bench).collect()) == [3, 4, 5]
+    assert sorted(r["doc_id"] for r in decontam.leaks(docs, bench, block_windows=10).collect()) == [1, 2]
+    assert sorted(r["doc_id"] for r in decontam.without_leaks(docs, bench, block_windows=10).collect()) == [3, 4, 5]
 
 
 def test_warc_round_trip(spark):
