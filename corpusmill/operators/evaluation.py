@@ -94,3 +94,16 @@ def audit(records: DataFrame, groups: dict[str, str], required: list[str], text:
     missing = base.agg(F.array(*absent).alias("a")).select(F.explode("a").alias("a")).select("a.section", F.lit("").alias("value"), "a.n")
     dup = base.groupBy("__hash").agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("n"))
     return out.unionByName(missing).unionByName(dup.select(F.lit("duplicates").alias("section"), F.lit("").alias("value"), "n"))
+
+
+def grounded(results: DataFrame, passed: str = "passed", repaired: str = "citation_repaired") -> DataFrame:
+    """One row: cases, passed, pass_rate, citation_repaired, native_citation_rate; without cases the rates are 0."""
+    out = results.agg(F.count("*").alias("cases"), F.count_if(F.col(passed)).alias("passed"), F.count_if(F.col(repaired)).alias("citation_repaired"))
+    rate = lambda n: F.when(F.col("cases") == 0, 0.0).otherwise(F.round(n / F.col("cases"), 4))
+    return out.withColumn("pass_rate", rate(F.col("passed"))).withColumn("native_citation_rate", rate(F.col("cases") - F.col("citation_repaired")))
+
+
+def detector_rates(results: DataFrame, kind: str, hit: Column) -> DataFrame:
+    """kind, examples, hits, rate: on valid samples the rate is that of false alarms, on planted mistakes the recall."""
+    out = results.groupBy(kind).agg(F.count("*").alias("examples"), F.count_if(hit).alias("hits"))
+    return out.withColumn("rate", F.round(F.col("hits") / F.col("examples"), 4))

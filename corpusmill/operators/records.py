@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import selection
 
 
 def record(df: DataFrame, dataset: Column, task: Column, first: Column, second: Column, instruction: Column | None = None, metadata: Column | None = None) -> DataFrame:
@@ -58,3 +59,85 @@ def masked_labels(prompt: Column, response: Column, length: int, eos: int, respo
 def padded(array: Column, length: Column | int, value: int) -> Column:
     n = F.lit(length) if isinstance(length, int) else length
     return F.concat(array, F.array_repeat(F.lit(value), (n - F.size(array)).cast("int")))
+
+
+# Task, instruction and domain of the records of each source.
+SOURCES = {
+    "gsm8k": ("math_reasoning", "Solve the mathematics problem accurately.", "mathematics"),
+    "arc": ("science_mcq", "Choose the correct answer. Reply with the option label only.", "science"),
+    "sciq": ("science_mcq", "Choose the correct answer. Reply with the option label only.", "science"),
+    "openbookqa": ("science_reasoning_mcq", "Choose the correct answer. Reply with the option label only.", "science"),
+    "hotpotqa": ("multi_hop_qa", "Answer the question accurately using the supplied context.", "general_knowledge"),
+    "openmathinstruct2": ("math_reasoning", "Solve the mathematics problem accurately and show useful reasoning.", "mathematics"),
+}
+LABELS = "ABCD"
+
+
+def filled(*columns: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & (t.clean(c) != "")
+    return out
+
+
+def _of_source(df: DataFrame, source: str, first: Column, second: Column, dataset: str | None = None, **more: Column) -> DataFrame:
+    task, instruction, domain = SOURCES[source]
+    meta = {"domain": F.lit(domain), **{k: v.cast("string") for k, v in more.items()}}
+    pairs = [x for k, v in meta.items() for x in (F.lit(k), v)]
+    return record(df, F.lit(dataset or source), F.lit(task), first, second, F.lit(instruction), F.create_map(*pairs))
+
+
+def _questions(df: DataFrame, question: str, answer: str, limit: int) -> DataFrame:
+    """At most `limit` rows by hash rank, the first of each question."""
+    rows = df.where(filled(question, answer))
+    once = selection.keep_first(rows, t.norm(question), [t.rank_hash(question, answer)])
+    return selection.hash_sample(once, limit, [question, answer])
+
+
+def plain_answers(df: DataFrame) -> DataFrame:
+    """question, answer."""
+    return _of_source(df, "gsm8k", F.col("question"), F.col("answer"))
+
+
+def listed_choices(df: DataFrame, source: str = "arc", question: str = "question", dataset: str | None = None) -> DataFrame:
+    """id, question, choices (label, text: arrays), answerKey; rows without an answer go."""
+    asked = choices(F.coalesce(F.col(question), F.lit("")), F.col("choices.label"), F.col("choices.text"))
+    return _of_source(df.where(filled("answerKey")), source, asked, F.col("answerKey"), dataset, source_id=F.col("id"))
+
+
+def distractor_choices(df: DataFrame) -> DataFrame:
+    """question, correct_answer, distractor1 to 3, support: the four in an order that only they and the question decide."""
+    names = ["correct_answer", "distractor1", "distractor2", "distractor3"]
+    rows = df.where(filled("question", *names)).withColumn("__options", shuffled(t.clean("question"), F.array(*map(t.clean, names))))
+    asked = choices(t.clean("question"), F.array(*map(F.lit, LABELS)), F.col("__options"))
+    return _of_source(rows, "sciq", asked, answer_label(F.col("__options"), t.clean("correct_answer")), support=t.clean("support"), usage_restriction=F.lit("noncommercial"))
+
+
+def open_book(df: DataFrame) -> DataFrame:
+    """id, question_stem, choices, answerKey."""
+    return listed_choices(df, "openbookqa", "question_stem")
+
+
+def passages(df: DataFrame, limit: int = 25_000) -> DataFrame:
+    """id, question, answer, context (title, sentences: arrays), level, type; each question once."""
+    body = context(F.col("context.title"), F.col("context.sentences"))
+    asked = F.concat(F.lit("Question: "), t.clean("question"), F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit("\n\nContext:\n"), body)).otherwise(F.lit("")))
+    return _of_source(_questions(df, "question", "answer", limit), "hotpotqa", asked, F.col("answer"), source_id=F.col("id"), level=F.col("level"), question_type=F.col("type"))
+
+
+def solutions(df: DataFrame, limit: int = 40_000) -> DataFrame:
+    """problem, generated_solution, problem_source, expected_answer; each problem once."""
+    rows = _questions(df, "problem", "generated_solution", limit)
+    return _of_source(rows, "openmathinstruct2", F.col("problem"), F.col("generated_solution"), problem_source=F.col("problem_source"), expected_answer=t.clean("expected_answer"))
+
+
+#: What makes records of a source's rows.
+BUILDERS = {
+    "gsm8k": plain_answers,
+    "arc_easy": lambda df: listed_choices(df, dataset="arc_easy"),
+    "arc_challenge": lambda df: listed_choices(df, dataset="arc_challenge"),
+    "sciq": distractor_choices,
+    "openbookqa": open_book,
+    "hotpotqa": passages,
+    "openmathinstruct2": solutions,
+}

@@ -33,6 +33,11 @@ def hash_sample(df: DataFrame, n: int, key: list[str]) -> DataFrame:
     return df.orderBy(t.rank_hash(*key), *key).limit(n)
 
 
+def page(df: DataFrame, order: list[str], number: int, size: int = 80) -> DataFrame:
+    """Page `number` (from 0) of the rows in a total order; only the pages up to it are sorted out."""
+    return df.orderBy(*order).limit((number + 1) * size).offset(number * size)
+
+
 def round_robin(df: DataFrame, group: str, n: int, key: list[str]) -> DataFrame:
     """n rows dealt in turn from the groups in name order, hash order within a group."""
     order = Window.partitionBy(group).orderBy(t.rank_hash(*key), *key)

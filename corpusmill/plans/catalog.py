@@ -183,6 +183,11 @@ def hash_sample(spark, sf_dir):
     return selection.hash_sample(documents(spark, sf_dir).select("doc_id"), 100, ["doc_id"])
 
 
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 80 OFFSET 80")
+def second_page(spark, sf_dir):
+    return selection.page(documents(spark, sf_dir).select("doc_id", "source"), ["doc_id"], 1)
+
+
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws(chr(1), '42', source, CAST(doc_id AS VARCHAR))), doc_id) <= 25")
 def cap_per_source(spark, sf_dir):
     return selection.cap(documents(spark, sf_dir).select("doc_id", "source"), "source", 25, key=["doc_id"])
@@ -264,6 +269,14 @@ def repeated_ngram_flag(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", evaluation.repeated_ngram(F.col("text")).alias("repeated"))
 
 
+@query(f"""WITH d AS (SELECT doc_id AS draft, {FOLDED} AS w FROM documents), g AS (SELECT draft, unnest(range(1, len(w) - 6)) AS pos, w FROM d WHERE len(w) >= 8), gg AS (SELECT draft, pos, array_to_string(w[pos:pos + 7], ' ') AS gram FROM g),
+s AS (SELECT item_id AS source, {FOLDED} AS w FROM benchmark), sg AS (SELECT source, unnest(range(1, len(w) - 6)) AS pos, w FROM s WHERE len(w) >= 8), sgg AS (SELECT source, array_to_string(w[pos:pos + 7], ' ') AS gram, min(pos) AS place FROM sg GROUP BY 1, 2),
+r AS (SELECT draft, source, pos, place FROM gg JOIN sgg USING (gram) QUALIFY row_number() OVER (PARTITION BY draft, source ORDER BY pos) <= 5)
+SELECT draft, source, CAST(pos - 1 AS INT) AS at, array_to_string(d.w[greatest(pos - 3, 1):pos + 10], ' ') AS draft_excerpt, array_to_string(s.w[greatest(place - 6, 1):place + 13], ' ') AS source_excerpt FROM r JOIN d USING (draft) JOIN s USING (source)""")
+def matching_excerpts(spark, sf_dir):
+    return retrieval.excerpts(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
 # --- conversations
 
 
@@ -350,6 +363,12 @@ def citation_sets(spark, sf_dir):
     return cited.select("conv_id", F.size("c").alias("cited"), F.size(F.array_except("c", F.array(F.lit("S1"), F.lit("S2")))).alias("unknown"))
 
 
+@query("""SELECT conv_id, '[' || string_agg('{"key":"' || turn || '","value":"' || role || '"}', ',' ORDER BY CAST(turn AS VARCHAR)) || ']' AS snapshot FROM conversations GROUP BY 1""")
+def revision_snapshots(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), "role"))).alias("m"))
+    return said.select("conv_id", writing.snapshot(F.col("m")).alias("snapshot"))
+
+
 # --- evaluation, audits
 
 
@@ -412,6 +431,16 @@ def judged_outputs(spark, sf_dir):
     return evaluation.judge(cases).select("doc_id", "passed", F.array_join("failures", "|").alias("failures"))
 
 
+@query("SELECT count(*) AS cases, count(*) FILTER (WHERE quality = 1) AS passed, count(*) FILTER (WHERE toxic = 1) AS citation_repaired, round(count(*) FILTER (WHERE quality = 1) / count(*), 4) AS pass_rate, round((count(*) - count(*) FILTER (WHERE toxic = 1)) / count(*), 4) AS native_citation_rate FROM labels")
+def grounded_summary(spark, sf_dir):
+    return evaluation.grounded(read(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("passed"), (F.col("toxic") == 1).alias("citation_repaired")))
+
+
+@query("SELECT role, count(*) AS examples, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS hits, round(count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) / count(*), 4) AS rate FROM conversations GROUP BY 1")
+def detector_rates(spark, sf_dir):
+    return evaluation.detector_rates(read(spark, sf_dir, "conversations"), "role", F.col("text").rlike("[0-9]"))
+
+
 # --- usage
 
 
@@ -540,6 +569,39 @@ def supervised_labels(spark, sf_dir):
     return row.select("doc_id", F.size("r.input_ids").alias("n_ids"), F.size(F.filter("r.labels", lambda x: x == -100)).alias("n_masked"))
 
 
+def _built(dataset: str, question: str, answer: str, task: str, domain: str, rows: str = "benchmark") -> str:
+    a, b = S_CLEAN.format(c=question), S_CLEAN.format(c=answer)
+    return f"SELECT '{dataset}_' || substr(sha256(concat_ws(chr(10), '{dataset}', lower({a}), lower({b}))), 1, 20) AS id, '{dataset}' AS dataset, '{task}' AS task, '{domain}' AS domain, {a} AS input, {b} AS output FROM {rows}"
+
+
+ONCE = "(SELECT DISTINCT ON (lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) text FROM benchmark)"
+
+
+@query(
+    " UNION ALL ".join([
+        _built("gsm8k", "text", "substr(text, 1, 20)", "math_reasoning", "mathematics"),
+        _built("arc_easy", "text || ' A. ' || substr(text, 1, 5) || ' B. ' || substr(text, 6, 5)", "'B'", "science_mcq", "science"),
+        _built("openbookqa", "text || ' A. ' || substr(text, 1, 5) || ' B. ' || substr(text, 6, 5)", "'B'", "science_reasoning_mcq", "science"),
+        _built("hotpotqa", "'Question: ' || text || ' Context: T: ' || substr(text, 1, 9) || ' ' || substr(text, 10, 9)", "substr(text, 5, 12)", "multi_hop_qa", "general_knowledge", ONCE),
+        _built("openmathinstruct2", "text", "substr(text, 5, 12)", "math_reasoning", "mathematics", ONCE),
+    ])
+)
+def built_records(spark, sf_dir):
+    sub = lambda a, n: F.substring("text", a, n)
+    items = read(spark, sf_dir, "benchmark")
+    listed = F.struct(F.array(F.lit("A"), F.lit("B")).alias("label"), F.array(sub(1, 5), sub(6, 5)).alias("text"))
+    rows = items.select(
+        F.col("item_id").alias("id"), F.col("text").alias("question"), F.col("text").alias("question_stem"), F.col("text").alias("problem"), listed.alias("choices"), F.lit("B").alias("answerKey"),
+        sub(1, 20).alias("first"), sub(5, 12).alias("answer"), sub(5, 12).alias("generated_solution"), F.lit("").alias("problem_source"), F.lit("").alias("expected_answer"), F.lit("").alias("level"), F.lit("").alias("type"),
+        F.struct(F.array(F.lit("T")).alias("title"), F.array(F.array(sub(1, 9), sub(10, 9))).alias("sentences")).alias("context"),
+    )
+    made = [records.BUILDERS["gsm8k"](rows.withColumn("answer", F.col("first")))] + [records.BUILDERS[n](rows) for n in ("arc_easy", "openbookqa", "hotpotqa", "openmathinstruct2")]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out.select("id", "dataset", "task", "domain", "input", "output")
+
+
 # --- streams, run once over what is there
 
 

@@ -23,6 +23,31 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
     return rows.where(~bad).select(*[f"r.{f.name}" for f in kind.fields])
 
 
+def curated(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the `records` list of a JSON object; a record with a blank field fails."""
+    names = ["task", "domain", "instruction", "input", "output"]
+    kind = "name string, records array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
+    rows = spark.read.schema(kind).option("multiLine", "true").json(path).select("name", F.posexplode("records").alias("index", "r"))
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & (t.strip(F.coalesce(F.col(f"r.{n}"), F.lit(""))) != "")
+    checked = F.when(whole, t.strip("r.task")).otherwise(F.raise_error(F.concat(F.lit(f"{path}: incomplete record "), (F.col("index") + 1).cast("string"))))
+    return rows.select("name", checked.alias("task"), *[t.strip(f"r.{n}").alias(n) for n in names[1:]])
+
+
+def retrieval_cases(spark: SparkSession, path: str) -> DataFrame:
+    """id, query, expected_source_contains of a JSON-lines path; a case without a query or expectations fails."""
+    rows = jsonl(spark, path, "id string, query string, expected_source_contains array<string>")
+    good = (t.strip(F.coalesce("query", F.lit(""))) != "") & (F.coalesce(F.size("expected_source_contains"), F.lit(0)) > 0)
+    query = F.when(good, F.col("query")).otherwise(F.raise_error(F.concat(F.lit(f"{path}: incomplete case "), F.coalesce("id", F.lit("without an id")))))
+    return rows.withColumn("query", query)
+
+
+def write_manifest(stats: DataFrame, path: str) -> None:
+    """The one row of stats as a JSON file, the time of writing with it."""
+    stats.limit(1).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_jsonl(df: DataFrame, path: str, required: list[str], mode: str = "error") -> None:
     """Rows whose required columns are not blank."""
     for c in required:

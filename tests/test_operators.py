@@ -1,7 +1,13 @@
+import datetime
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as t
-from corpusmill.operators import dialogue, evaluation, records, retrieval, selection, writing
+from corpusmill.operators import dialogue, evaluation, records, retrieval, selection, usage, writing
+from corpusmill.sources import files
+from corpusmill.streaming import streams
 
 
 def test_round_robin_is_even_and_fills_from_the_larger(spark):
@@ -59,3 +65,65 @@ def test_grammar_issue_offsets(spark):
     df = spark.createDataFrame([("You could of seen a apple.",)], "text string")
     issues = writing.grammar_issues(df).first()["issues"]
     assert [(i["rule_id"], i["replacement"]) for i in issues] == [("modal-have", "could have"), ("article", "an apple")]
+
+
+def test_json_lines_strict_and_lenient(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "n": 2}\n\nbad\n[1]\n{"id": "3"}\n')
+    path = str(tmp_path / "a.jsonl")
+    assert sorted(r["id"] for r in files.jsonl(spark, path, "id string, n int", strict=False).collect()) == ["1", "3"]
+    with pytest.raises(Exception, match="not a JSON object"):
+        files.jsonl(spark, path, "id string, n int").collect()
+
+
+def test_append_goes_on_where_it_stopped(spark, tmp_path):
+    out, kind = str(tmp_path / "out"), "k string, v int"
+    files.append_new(spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], kind), out, "k", kind)
+    files.append_new(spark.createDataFrame([("b", 9), ("c", 3)], kind), out, "k", kind)
+    assert sorted((r["k"], r["v"]) for r in spark.read.schema(kind).json(out).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_curated_records_and_cases_are_checked(spark, tmp_path):
+    row = {"task": "t", "domain": "d", "instruction": "i", "input": " x ", "output": "y"}
+    good, bad, cases = tmp_path / "good.json", tmp_path / "bad.json", tmp_path / "cases.jsonl"
+    good.write_text(json.dumps({"name": "n", "records": [row]}))
+    bad.write_text(json.dumps({"name": "n", "records": [row, row | {"output": " "}]}))
+    assert files.curated(spark, str(good)).first().asDict() == row | {"name": "n", "input": "x"}
+    with pytest.raises(Exception, match="incomplete record 2"):
+        files.curated(spark, str(bad)).collect()
+    cases.write_text('{"id": "a", "query": "q", "expected_source_contains": ["s"]}\n{"id": "b", "query": "q", "expected_source_contains": []}\n')
+    with pytest.raises(Exception, match="incomplete case b"):
+        files.retrieval_cases(spark, str(cases)).collect()
+
+
+def test_site_map_stops_at_depth_and_prefix(spark):
+    edges = spark.createDataFrame([("r", "i", True), ("r", "http://a/1", False), ("i", "http://a/2", False), ("i", "http://b/3", False), ("i", "r", True)], "parent string, loc string, is_index boolean")
+    assert [r["loc"] for r in files.sitemap_pages(spark, edges, "r", ["http://a/"]).collect()] == ["http://a/1", "http://a/2"]
+
+
+def test_rate_limit_windows(spark):
+    calls = [(i, "c", "r", datetime.datetime(2024, 1, 1, 0, 0, s) if s < 60 else datetime.datetime(2024, 1, 1, 0, 1, s - 60)) for i, s in enumerate((0, 59, 60))]
+    events = spark.createDataFrame(calls, "id int, client string, route string, ts timestamp_ntz")
+    got = usage.rate_limit(events, "client", "route", "ts", "id", 60, 1).orderBy("id").collect()
+    assert [(r["admitted"], r["retry_after"]) for r in got] == [(True, None), (False, 1), (True, None)]
+
+
+def test_server_sent_events(spark):
+    frames = spark.createDataFrame([("event: token\ndata: a\ndata: b",), ("data:x",)], "value string")
+    assert [tuple(r) for r in streams.sse_events(frames).collect()] == [("token", "a\nb"), ("message", "x")]
+
+
+def test_distractors_are_shuffled_with_their_label(spark):
+    names = ["question", "correct_answer", "distractor1", "distractor2", "distractor3", "support"]
+    kind = ", ".join(f"{n} string" for n in names)
+    df = spark.createDataFrame([(f"q{i}", "right", "w1", "w2", "w3", None) for i in range(20)] + [("q", "right", "", "b", "c", None)], kind)
+    rows = records.BUILDERS["sciq"](df).collect()
+    assert len(rows) == 20 and all(f"{r['output']}. right" in r["input"] and "domain" not in r["metadata"] for r in rows) and len({r["output"] for r in rows}) > 1
+
+
+def test_excerpts_show_the_words_around(spark):
+    words = [f"w{i}" for i in range(30)]
+    drafts = spark.createDataFrame([(1, " ".join(["x", *words[4:16], "y"])), (2, None)], "doc_id int, text string")
+    sources = spark.createDataFrame([(7, " ".join(words)), (8, "")], "item_id int, text string")
+    got = sorted(retrieval.excerpts(drafts, sources).collect(), key=lambda r: r["at"])
+    assert [r["at"] for r in got] == [1, 2, 3, 4, 5] and got[0]["draft_excerpt"] == " ".join(["x", *words[4:15]]) and got[0]["source_excerpt"] == " ".join(words[:18])
+    assert evaluation.grounded(spark.createDataFrame([], "passed boolean, citation_repaired boolean")).first()["pass_rate"] == 0.0
