@@ -15,6 +15,13 @@ def parent_pairs(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     return child.join(parent, [conv, turn]).where(t.norm("input") != t.norm("output"))
 
 
+def reply_pairs(messages: DataFrame, message: str = "message_id", parent: str = "parent_id", role: str = "role", text: str = "text") -> DataFrame:
+    """message_id, input, output: assistant messages of a tree with the user message that they answer (by parent id)."""
+    child = messages.where(F.col(role) == "assistant").select(F.col(message).alias("message_id"), F.col(parent).alias("__parent"), F.col(text).alias("output"))
+    asked = messages.where(F.col(role).isin("user", "prompter", "human")).select(F.col(message).alias("__parent"), F.col(text).alias("input"))
+    return child.join(asked, "__parent").where(t.norm("input") != t.norm("output")).select("message_id", "input", "output")
+
+
 def carried_pairs(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Assistant messages with the nearest user message before them in the conversation."""
     before = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)

@@ -127,3 +127,9 @@ def test_excerpts_show_the_words_around(spark):
     got = sorted(retrieval.excerpts(drafts, sources).collect(), key=lambda r: r["at"])
     assert [r["at"] for r in got] == [1, 2, 3, 4, 5] and got[0]["draft_excerpt"] == " ".join(["x", *words[4:15]]) and got[0]["source_excerpt"] == " ".join(words[:18])
     assert evaluation.grounded(spark.createDataFrame([], "passed boolean, citation_repaired boolean")).first()["pass_rate"] == 0.0
+
+
+def test_replies_follow_parent_ids(spark):
+    rows = [("a", None, "prompter", "hi"), ("b", "a", "assistant", "hello"), ("c", "a", "assistant", " HI "), ("d", "b", "assistant", "more"), ("e", None, "assistant", None)]
+    tree = spark.createDataFrame(rows, "message_id string, parent_id string, role string, text string")
+    assert [tuple(r) for r in dialogue.reply_pairs(tree).collect()] == [("b", "hi", "hello")]
