@@ -189,3 +189,25 @@ def test_empty_tables(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_held_out(docs, labels).count() == len(edge_rows())
     assert decontam.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    """A word of labelled rows outside the curve's sample, and of few contexts, is in the counts; shared counts are over all documents."""
+    rows = [(i, f"plain words here n{i % 40} stay " + ("vile" if i % 2 else "fine")) for i in range(400)] + [(1000, "other rows bring fine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels, per_class=10)
+    words = ["n0", "n39", "bring", "fine"]
+    t, o, pooled = model.words.rows(np.array([toxicity._number(w) for w in words]))[:, :3].T
+    assert (o[0], t[1], o[3]) == (1, 1, 1) and (t[2], o[2], pooled[3]) == (0, 0, 2)
+    out = {r["doc_id"]: r["__score"] for r in toxicity.score(docs, model).collect()}
+    assert all((out[i] >= toxicity.THRESHOLD) == bool(i % 2) for i in range(400))
+
+
+def test_toxicity_looks_up_the_same_in_many_blocks(spark, monkeypatch):
+    table = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    blocks = toxicity.Blocks(table, "k", ["v"])
+    assert len(blocks.parts) == 10 and blocks.rows(np.array([3, 999, 1000])).ravel().tolist() == [6, 1998, 0]
+    got = spark.range(5000).mapInArrow(lambda bs: (toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array(blocks.rows(b.column(0).to_numpy()).ravel())], ["v"]) for b in bs), "v double")
+    assert got.agg(F.sum("v")).first()[0] == 999 * 1000
