@@ -1,7 +1,8 @@
 """Language spans of mixed-language text: script ranges, per-word scores, and a Viterbi path.
 
 Training counts character 1- to 3-grams of words in a bounded sample (per_language documents of
-each language, by hash order of their ids) and keeps smoothed log-probabilities in hashed tables.
+each language, by hash order of their ids) and keeps smoothed log-probabilities in hashed tables. Every word
+of the sample counts, of any length; counts are summed by slot before they come to the driver.
 A word's script leaves only the languages that use this script in training (all of them where
 none does); a word's scores are its n-grams' summed log-probabilities, and a Viterbi path over the
 words labels each with one language, every change of language costing `switch`. A text's language
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,14 +58,16 @@ def gram_slots(word: str) -> np.ndarray:
 class Model:
     """Per-language log-probabilities of hashed n-grams, and each script's languages."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]) -> None:
-        self.langs = sorted({lang for lang, _, _ in counts})
+    def __init__(self, slots: list[tuple[str, int, int]], scripts: list[tuple[str, str, int]]) -> None:
+        """slots: language, slot, occurrences of its n-grams; scripts: language, script, words in it."""
+        self.langs = sorted({lang for lang, _, _ in slots})
         at = {lang: i for i, lang in enumerate(self.langs)}
         table = np.full((SLOTS, len(self.langs)), 0.5)
         seen: dict[str, np.ndarray] = {}
-        for lang, word, n in counts:
-            np.add.at(table[:, at[lang]], gram_slots(word), n)
-            seen.setdefault(script_of(word), np.zeros(len(self.langs)))[at[lang]] += n
+        for lang, slot, n in slots:
+            table[slot, at[lang]] += n
+        for lang, script, n in scripts:
+            seen.setdefault(script, np.zeros(len(self.langs)))[at[lang]] += n
         # A language uses a script that makes up a hundredth of its words at least.
         total = sum(seen.values(), np.zeros(len(self.langs)))
         self.scripts = {s: v >= 0.01 * np.maximum(total, 1) for s, v in seen.items()}
@@ -154,9 +158,26 @@ def train(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", text
     rows = own.join(F.broadcast(ids), ["s_id", "s_class"])
     word = F.explode(F.regexp_extract_all("s_text", F.lit(r"\p{L}+"), F.lit(0)))
     counts = rows.select("s_class", word.alias("word")).groupBy("s_class", "word").count()
-    # Rare words add little to n-gram counts; what comes to the driver is bounded by the sample.
-    got = counts.where("length(word) <= 40").orderBy(F.desc("count"), "s_class", "word").limit(100_000).collect()
-    return Model([(r[0], r[1], r[2]) for r in got])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[str, np.ndarray] = {}
+        scripts: Counter = Counter()
+        for b in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if lang not in slots:
+                    slots[lang] = np.zeros(SLOTS, np.int64)
+                np.add.at(slots[lang], gram_slots(word), n)
+                scripts[lang, script_of(word)] += n
+        out = [(lang, int(i), None, int(t[i])) for lang, t in slots.items() for i in np.flatnonzero(t)]
+        out += [(lang, None, script, n) for (lang, script), n in scripts.items()]
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = pa.string(), pa.int32(), pa.string(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "slot", "script", "n"])
+
+    # What comes to the driver is bounded by the slots and scripts of each language.
+    partial = counts.select(F.col("s_class").cast("string"), "word", "count").mapInArrow(sums, "lang string, slot int, script string, n long")
+    got = partial.groupBy("lang", "slot", "script").agg(F.sum("n").alias("n")).collect()
+    return Model([(r[0], r[1], r[3]) for r in got if r[1] is not None], [(r[0], r[2], r[3]) for r in got if r[1] is None])
 
 
 def identify(docs: DataFrame, model: Model, switch: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

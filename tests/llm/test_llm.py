@@ -211,3 +211,13 @@ def test_toxicity_looks_up_the_same_in_many_blocks(spark, monkeypatch):
     assert len(blocks.parts) == 10 and blocks.rows(np.array([3, 999, 1000])).ravel().tolist() == [6, 1998, 0]
     got = spark.range(5000).mapInArrow(lambda bs: (toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array(blocks.rows(b.column(0).to_numpy()).ravel())], ["v"]) for b in bs), "v double")
     assert got.agg(F.sum("v")).first()[0] == 999 * 1000
+
+
+def test_languages_learn_from_every_word(spark):
+    """Words past the hundred thousandth and words of more than 40 letters count, whatever the language's name."""
+    rng = random.Random(5)
+    some = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(9)) for _ in range(n))
+    rows = [(i, some("abcdefghij", 5200), "aa") for i in range(20)] + [(100, some("klmnop", 300), "zz"), (101, "ไทย" * 20, "th")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "th", "zz"] and model.scripts["thai"].tolist() == [False, True, False]
+    assert model.word_scores("klmno").tolist()[2] == 0.0
