@@ -1,15 +1,18 @@
 """Benchmark decontamination by templates, so that re-parameterised questions are caught too.
 
-Texts become templates: numbers, units of measure and names (capitalised words that don't begin a
-sentence; neighbours form one) turn into typed placeholders, other words are lower-cased, marks go.
+Texts become templates: numbers, units of measure and names (capitalised words; neighbours form one) turn
+into typed placeholders, other words are lower-cased, marks go. A capital that begins a sentence may be a
+name or not, so texts and items are read both ways: with such words as words, and with every capital as a
+name wherever it stands. A third reading has lower-cased words and literal numbers only: copies in other
+case, short items and those of numbers mostly are found by it, if all of the item is there.
 Windows of `window` template words of all documents are looked up in the hashed windows of the
 benchmark. An occurrence is a run of hits along one diagonal (document position less item position,
 within `slip` words). It counts if it covers at least `coverage` of the item's windows and its slots
 are consistent: wherever the item repeats a value, the document repeats one value too. An
 occurrence with the item's own values is `exact`, one with others `template`.
 
-An item of fewer than `window` words is one window of its own length (at least `least` words).
-Windows with more placeholders than words say too little and are left out. The benchmark is read in
+An item of fewer than `window` words is one window of its own length (at least `least` words, or
+LITERAL_LEAST of the literal reading). Template windows with more placeholders than words say too little and are left out. The benchmark is read in
 blocks of about block_windows windows (by hash of the item), each broadcast for one pass over the
 documents, so what is broadcast is bounded at any size. Whole texts are read.
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -44,6 +47,10 @@ UNITS = frozenset(
 NUMBER, UNIT, NAME, MARK, CAPITAL = 1, 2, 3, 0, 1 << 62
 HASH = (1 << 62) - 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Readings: capitals that begin a sentence as words, all capitals as names, no placeholders at all.
+WORDS, NAMES, LITERAL = READINGS = 0, 1, 2
+#: Items of fewer tokens (one or two) would be found in most texts.
+LITERAL_LEAST = 3
 
 
 def code(token: str) -> int:
@@ -63,8 +70,11 @@ class Templates:
     def __init__(self) -> None:
         self.cache = WordCache()
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Template codes of a text, and the hashed value of each (0 where it isn't a number or a name)."""
+    def literal(self, token: str) -> int:
+        return (xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "surrogatepass")) & HASH) | 4
+
+    def read(self, text: str) -> list[tuple[np.ndarray, Callable[[], np.ndarray]]]:
+        """Codes of a text in each reading, and what gives the hashed value of each (0 where it isn't a number or a name)."""
         tokens = TOKEN.findall(text)
         known = self.cache.young
         for t in self.cache.absent(set(tokens)):
@@ -75,27 +85,40 @@ class Templates:
         begins = np.ones(len(codes), bool)
         begins[1:] = mark[:-1]
         capital = codes & CAPITAL != 0
-        name = capital & ~begins
+        return [self.template(tokens, codes, mark, capital & ~begins), self.template(tokens, codes, mark, capital)]
+
+    def plain(self, tokens: list[str], codes: np.ndarray, mark: np.ndarray) -> tuple:
+        out = codes & HASH
+        for i in np.flatnonzero((out == NUMBER) | (out == UNIT)).tolist():
+            out[i] = self.literal(tokens[i])
+        out = out[~mark]
+        return out, lambda: np.zeros(len(out), np.int64)
+
+    def template(self, tokens: list[str], codes: np.ndarray, mark: np.ndarray, name: np.ndarray) -> tuple:
         out = np.where(name, NAME, codes & HASH)
         inner = np.zeros(len(codes), bool)
         inner[1:] = name[1:] & name[:-1]
         keep = ~mark & ~inner
-        values = np.zeros(len(codes), np.int64)
-        for i in np.flatnonzero((out == NUMBER) | name).tolist():
-            if not inner[i]:
-                end = i + 1
-                while end < len(codes) and inner[end]:
-                    end += 1
-                values[i] = xxhash.xxh3_64_intdigest(" ".join(tokens[i:end]).encode("utf-8", "surrogatepass")) >> 2
-        return out[keep], values[keep]
-
-
-def windows(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` codes; 0 for those with more placeholders than words."""
+
+        def values() -> np.ndarray:
+            values = np.zeros(len(codes), np.int64)
+            for i in np.flatnonzero((out == NUMBER) | name).tolist():
+                if not inner[i]:
+                    end = i + 1
+                    while end < len(codes) and inner[end]:
+                        end += 1
+                    values[i] = xxhash.xxh3_64_intdigest(" ".join(tokens[i:end]).encode("utf-8", "surrogatepass")) >> 2
+            return values[keep]
+
+        return out[keep], values
+
+
+def windows(codes: np.ndarray, size: int, reading: int) -> np.ndarray:
+    """Hashes of all runs of `size` codes in a reading; 0 for those with more placeholders than words."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, size, np.uint64)
+    h = np.full(n, len(READINGS) * size + reading, np.uint64)
     for k in range(size):
         h = (h ^ codes[k : k + n].astype(np.uint64)) * FACTOR
         h ^= h >> np.uint64(29)
@@ -110,25 +133,26 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]], size: int, least: int) -> None:
         reader = Templates()
-        self.ids, self.values, self.count = [], [], []
+        self.ids, self.values, self.count, self.row = [], [], [], []
         hashes, owner, place = [], [], []
-        self.sizes = set()
-        for item, text in items:
-            codes, values = reader.read(text)
-            own = min(size, len(codes))
-            if own < least:
-                continue
-            h = windows(codes, own)
-            at = np.flatnonzero(h)
-            if not len(at):
-                continue
-            self.sizes.add(own)
-            hashes.append(h[at])
-            owner.append(np.full(len(at), len(self.ids), np.int32))
-            place.append(at)
-            self.ids.append(item)
-            self.values.append(values)
-            self.count.append((len(at), own))
+        self.sizes = [set() for _ in READINGS]
+        for row, (item, text) in enumerate(items):
+            for reading, (codes, values) in enumerate(reader.read(text)):
+                own = min(size, len(codes))
+                if own < (LITERAL_LEAST if reading == LITERAL else least):
+                    continue
+                h = windows(codes, own, reading)
+                at = np.flatnonzero(h)
+                if not len(at):
+                    continue
+                self.sizes[reading].add(own)
+                hashes.append(h[at])
+                owner.append(np.full(len(at), len(self.ids), np.int32))
+                place.append(at)
+                self.ids.append(item)
+                self.row.append(row)
+                self.values.append(values())
+                self.count.append((len(at), own))
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes = self.hashes[order]
@@ -137,11 +161,11 @@ class Index:
         self.table = np.zeros(1 << self.TABLE_BITS, bool)
         self.table[self.hashes >> np.uint64(64 - self.TABLE_BITS)] = True
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document positions, item numbers and item positions of equal windows."""
+    def hits(self, codes: np.ndarray, reading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document positions, entry numbers and item positions of equal windows."""
         found = []
-        for size in self.sizes:
-            h = windows(codes, size)
+        for size in self.sizes[reading]:
+            h = windows(codes, size, reading)
             at = np.flatnonzero(self.table[h >> np.uint64(64 - self.TABLE_BITS)])
             if not len(at):
                 continue
@@ -154,10 +178,23 @@ class Index:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def occurrences(index: Index, codes: np.ndarray, values: np.ndarray, coverage: float, slip: int) -> list[tuple]:
-    """item_id, kind, coverage, slots, changed slots of each item that occurs; its best occurrence."""
-    at, items, places = index.hits(codes)
+def occurrences(index: Index, read: list[tuple], coverage: float, slip: int) -> list[tuple]:
+    """item_id, kind, coverage, slots, changed slots of each item that occurs; its best occurrence in any reading."""
+    best: dict[int, tuple] = {}
+    for reading, (codes, values) in enumerate(read):
+        for row, got in in_reading(index, reading, codes, values, 1.0 if reading == LITERAL else coverage, slip):
+            if row not in best or (got[2], -got[4]) > (best[row][2], -best[row][4]):
+                best[row] = got
+    return list(best.values())
+
+
+def in_reading(index: Index, reading: int, codes: np.ndarray, values_of: Callable[[], np.ndarray], coverage: float, slip: int) -> list[tuple]:
+    """Row of the item and its best occurrence, of each item that occurs in one reading."""
+    at, items, places = index.hits(codes, reading)
     out = []
+    if not len(at):
+        return out
+    values = values_of()
     for item in np.unique(items).tolist():
         own = items == item
         doc, pos = at[own], places[own]
@@ -186,7 +223,7 @@ def occurrences(index: Index, codes: np.ndarray, values: np.ndarray, coverage: f
             if best is None or (share, -changed) > (best[2], -best[4]):
                 best = (index.ids[item], "template" if changed else "exact", share, len(pairs), changed)
         if best:
-            out.append(best)
+            out.append((index.row[item], best))
     return out
 
 
@@ -219,7 +256,7 @@ def find_items(docs: DataFrame, index: Broadcast, coverage: float = 0.5, slip: i
                 b = whole.slice(lo, 1000)
                 got = []
                 for t in texts(b.column(at)):
-                    found = occurrences(index.value, *reader.read(t), coverage, slip) if t else []
+                    found = occurrences(index.value, reader.read(t), coverage, slip) if t else []
                     got.append([dict(zip(keys, m, strict=True)) for m in found])
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(got, shape)], [*names, "__matches"])
 

@@ -221,3 +221,12 @@ def test_languages_learn_from_every_word(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["aa", "th", "zz"] and model.scripts["thai"].tolist() == [False, True, False]
     assert model.word_scores("klmno").tolist()[2] == 0.0
+
+
+def test_templates_catch_new_names_at_sentence_starts(spark):
+    item = "Alice has 12 apples. Bob has 5 apples. Alice gives Bob 3 apples. How many apples does Alice have now?"
+    new = "Carol has 31 apples. Dave has 8 apples. Carol gives Dave 4 apples. How many apples does Carol have now?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, new), (2, "Look: " + item), (3, new.replace("does Carol", "does Dave"))]
+    got = {r["doc_id"]: r["kind"] for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: "template", 2: "exact"}
