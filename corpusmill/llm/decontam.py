@@ -85,7 +85,7 @@ class Templates:
         begins = np.ones(len(codes), bool)
         begins[1:] = mark[:-1]
         capital = codes & CAPITAL != 0
-        return [self.template(tokens, codes, mark, capital & ~begins), self.template(tokens, codes, mark, capital)]
+        return [self.template(tokens, codes, mark, capital & ~begins), self.template(tokens, codes, mark, capital), self.plain(tokens, codes, mark)]
 
     def plain(self, tokens: list[str], codes: np.ndarray, mark: np.ndarray) -> tuple:
         out = codes & HASH

@@ -230,3 +230,12 @@ def test_templates_catch_new_names_at_sentence_starts(spark):
     rows = [(1, new), (2, "Look: " + item), (3, new.replace("does Carol", "does Dave"))]
     got = {r["doc_id"]: r["kind"] for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {1: "template", 2: "exact"}
+
+
+def test_short_numeric_and_recased_items_are_found(spark):
+    items = ["What is the capital of France?", "Name this flower", "12 + 7 = 19, 19 + 8 = 27", "When Anna Schmidt met Otto Braun in Wien they spoke about Franz Kafka and Max Brod all night"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(0, "Question: What is the capital of France?"), (1, "so (name this flower) now"), (2, "sum 12 + 7 = 19, 19 + 8 = 27."), (3, items[3].lower()), (4, "x " + items[3].upper()), (5, "12 + 7 = 19, 19 + 9 = 28, the capital of Spain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(i, min(i, 3), "exact") for i in range(5)}
