@@ -2,9 +2,9 @@
 
 Lines are normalised (lower case, digits to 0, other marks and white space to one blank) and hashed.
 For each host (the source column) the distinct documents of a line are counted, where documents with
-equal texts count once, so that mere copies do not make a line boilerplate. Lines of at least
-`line_words` words (all its occurrences in a text together) in more than `max_documents` documents of a host are removed; a document that keeps less
-than `least_kept` of its words is rejected. A document is kept if the base rules pass too.
+equal texts count once, so that mere copies do not make a line boilerplate. Lines of any length in more than
+`max_share` of a host's documents are removed, where that limit is `least_documents` at least and `max_documents` at
+most; a document that keeps less than `least_kept` of its words is rejected. `cleaned` gives the texts that are left. A document is kept if the base rules pass too.
 
 Words are runs of characters other than blank and U+0009 to U+000D. Nulls: a null text has no words,
 a null host is a host of its own. Repeated rows are judged alike. Counts are over all documents.
@@ -50,6 +50,11 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def line_key(line: str) -> int:
+    plain = LINE_NOISE.sub(" ", DIGITS.sub("0", line.lower())).strip()
+    return xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def measures(text: str) -> tuple[int, int, int, int, int, list[int], list[int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and hash and words of each distinct line with a word."""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -65,8 +70,7 @@ def measures(text: str) -> tuple[int, int, int, int, int, list[int], list[int]]:
         if line in seen:
             dup += 1
         seen.add(line)
-        plain = LINE_NOISE.sub(" ", DIGITS.sub("0", line.lower())).strip()
-        key = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63)
+        key = line_key(line)
         sizes[key] = sizes.get(key, 0) + n
     return len(words), chars, symbols, dup, repeated_words(words), list(sizes), list(sizes.values())
 
@@ -90,19 +94,51 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return rows.mapInArrow(run, ROW)
 
 
+def boilerplate(rows: DataFrame, max_documents: int, max_share: float, least_documents: int) -> DataFrame:
+    """text_host, line, words: the lines to remove from each distinct text of a host; rows: measured, with text_host."""
+    lines = rows.select("host", "text_host", F.explode(F.arrays_zip("line", "line_words")).alias("l"))
+    # The key holds the host, so that no host is a group; one row for each line of each text of a host.
+    lines = lines.groupBy(F.xxhash64("host", "l.line").alias("key"), "text_host").agg(F.first("host").alias("host"), F.first("l.line").alias("line"), F.max("l.line_words").alias("words"))
+    lines = materialise(lines)
+    texts_of = rows.select("host", "text_host").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
+    limit = F.least(F.lit(max_documents), F.greatest(F.lit(least_documents), F.col("n_texts") * max_share))
+    counts = lines.groupBy("key").agg(F.count("*").alias("count"), F.first("host").alias("host")).where(F.col("count") > min(least_documents, max_documents))
+    common = counts.alias("c").join(texts_of.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).where(F.col("count") > limit)
+    return lines.join(materialise(common.select("key")), "key").select("text_host", "line", "words")
+
+
+def hosted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return materialise(measured(docs, id_col, text_col, host_col).withColumn("text_host", F.xxhash64("host", "text_key")))
+
+
+def cleaned(
+    docs: DataFrame, max_documents: int = 50, max_share: float = 0.05, least_documents: int = 3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+) -> DataFrame:
+    """docs without the lines that quality_rules counts as removed; a null text stays null."""
+    removed = boilerplate(hosted(docs, id_col, text_col, host_col), max_documents, max_share, least_documents)
+    lists = removed.groupBy(F.col("text_host").alias("__th")).agg(F.collect_set("line").alias("__lines"))
+    rows = docs.withColumn("__th", F.xxhash64(F.col(host_col).cast("string"), F.xxhash64(text_of(text_col)))).join(lists, "__th", "left")
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, lines in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                drop = set(lines or ())
+                out.append("\n".join(x for x in text.split("\n") if not x.split() or line_key(x) not in drop) if text and drop else text)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.string()), *b.columns[at + 1 : len(names)]], names)
+
+    return rows.select(*names, "__lines").mapInArrow(run, docs.schema)
+
+
 def quality_rules(
-    docs: DataFrame, max_documents: int = 50, least_kept: float = 0.3, line_words: int = 5, least_words: int = 50, most_repeated: int = 50,
+    docs: DataFrame, max_documents: int = 50, max_share: float = 0.05, least_documents: int = 3, least_kept: float = 0.3, least_words: int = 50, most_repeated: int = 50,
     id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words of every row."""
-    text_host = F.xxhash64("host", "text_key").alias("text_host")
-    rows = materialise(measured(docs, id_col, text_col, host_col).withColumn("text_host", text_host))
-    lines = rows.select("host", "text_host", F.explode(F.arrays_zip("line", "line_words")).alias("l")).where(F.col("l.line_words") >= line_words)
-    # The key holds the host, so that no host is a group; one row for each line of each text of a host.
-    lines = lines.groupBy(F.xxhash64("host", "l.line").alias("key"), "text_host").agg(F.max("l.line_words").alias("words"))
-    lines = materialise(lines)
-    common = materialise(lines.groupBy("key").count().where(F.col("count") > max_documents).select("key"))
-    removed = materialise(lines.join(common, "key").groupBy("text_host").agg(F.sum("words").alias("removed_words")))
+    rows = hosted(docs, id_col, text_col, host_col)
+    lines = boilerplate(rows, max_documents, max_share, least_documents)
+    removed = materialise(lines.groupBy("text_host").agg(F.sum("words").alias("removed_words")))
     out = rows.drop("line", "line_words").join(removed, "text_host", "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))

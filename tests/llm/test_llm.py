@@ -239,3 +239,12 @@ def test_short_numeric_and_recased_items_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontam.leaks(docs, bench).collect()}
     assert got == {(i, min(i, 3), "exact") for i in range(5)}
+
+
+def test_short_lines_of_small_hosts_are_removed(spark):
+    rows = [(i, f"Menu\nown words {chr(97 + i)}x stay\nAll rights reserved here today", "small" if i < 20 else None) for i in range(24)]
+    df = spark.createDataFrame([*rows, (99, None, None)], "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["removed_words"] for r in quality.quality_rules(df).collect()}
+    assert all(out[i] == 6 for i in range(24)) and out[99] == 0
+    left = {r["doc_id"]: r["text"] for r in quality.cleaned(df).collect()}
+    assert left == {i: f"own words {chr(97 + i)}x stay" for i in range(24)} | {99: None}
