@@ -520,8 +520,8 @@ def exported_revisions(spark, sf_dir):
 
 @query()
 def spelling_candidates(spark, sf_dir):
-    words = documents(spark, sf_dir).select(F.explode(t.words("text")).alias("word")).where("length(word) BETWEEN 6 AND 24").groupBy("word").count()
-    return writing.candidates(words.where("count <= 1").select("word"), words.where("count >= 20").select("word"))
+    words = documents(spark, sf_dir).select(F.explode(t.words("text")).alias("word")).where("length(word) BETWEEN 3 AND 28").groupBy("word").count()
+    return writing.candidates(words.where("count <= 1 AND length(word) BETWEEN 4 AND 24").select("word"), words.where("count >= 20").select("word"))
 
 
 @query()

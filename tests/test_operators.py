@@ -133,3 +133,12 @@ def test_replies_follow_parent_ids(spark):
     rows = [("a", None, "prompter", "hi"), ("b", "a", "assistant", "hello"), ("c", "a", "assistant", " HI "), ("d", "b", "assistant", "more"), ("e", None, "assistant", None)]
     tree = spark.createDataFrame(rows, "message_id string, parent_id string, role string, text string")
     assert [tuple(r) for r in dialogue.reply_pairs(tree).collect()] == [("b", "hi", "hello")]
+
+
+def test_spelling_candidates_of_short_words(spark, tmp_path):
+    """Terms of 4 to 24 letters, against words of 3 to 28."""
+    from corpusmill.plans import catalog
+
+    rows = [(1, "house " * 20 + "hoyse", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.spelling_candidates(spark, str(tmp_path)).collect()] == [("hoyse", ["house"])]
