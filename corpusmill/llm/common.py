@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries that each of the two generations of a worker's word cache may hold.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 
 class WordCache:
@@ -41,7 +43,14 @@ _KEPT: dict = {}
 def kept(key: tuple, make):
     """make(), once in each Python worker for each key; only the last is kept, so stages don't add up in memory."""
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:  # what was freed goes back to the system where the C library can do that
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -51,16 +60,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir.
+    """A new path in the shared folder of spark.checkpoint.dir, with its scheme.
 
-    Only where that setting is absent (tests on one machine) a temporary folder serves."""
+    Without that setting a temporary folder serves, on a local master only; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = getattr(spark, "_corpusmill_work", None)
         if root is None:
             root = tempfile.mkdtemp(prefix="corpusmill-")
             spark._corpusmill_work = root
-    return f"{root.rstrip('/')}/corpusmill/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/corpusmill/{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -71,6 +83,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete all that materialise and work_dir have written; for the end of a job, when no result is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark)).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each made longer until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(col: str) -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -82,24 +112,13 @@ def fold(id_col: str, modulus: int) -> Column:
 
 
 def sample_ids(labels: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """At most per_class ids of each class, in the order of their hashes: a bounded driver-side table.
-
-    The classes are few; each one's ids are a top-k, so nothing but the k best per task moves."""
-    spark = labels.sparkSession
-    labels = labels.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).select(
-        F.col(id_col).alias("s_id"), F.col(class_col).alias("s_class")
-    )
-    classes = [r[0] for r in labels.groupBy("s_class").count().orderBy(F.desc("count"), "s_class").limit(64).collect()]
-    rows = []
-    for c in classes:
-        top = labels.where(F.col("s_class") == F.lit(c)).orderBy(F.xxhash64("s_id"), "s_id").limit(per_class)
-        rows += [(int(r[0]), r[1]) for r in top.collect()]
-    kind = labels.schema["s_class"].dataType
-    from pyspark.sql import types as T
-
-    return spark.createDataFrame(
-        sorted(set(rows), key=str), T.StructType([T.StructField("s_id", T.LongType()), T.StructField("s_class", kind)])
-    )
+    """s_id, s_class: at most per_class ids of each class, in the order of their hashes; ids and classes of any type.
+
+    One ranked pass for all classes; tasks keep their per_class best of a class before the exchange."""
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).select(F.col(id_col).alias("s_id"), F.col(class_col).alias("s_class"))
+    order = Window.partitionBy("s_class").orderBy(F.xxhash64("s_id"), "s_id")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
+    return materialise(ranked.select("s_id", "s_class").distinct())
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

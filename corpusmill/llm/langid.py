@@ -9,26 +9,35 @@ words labels each with one language, every change of language costing `switch`.
 is the one with the most letters along the path; its score is that share of the letters, times how sure the
 path's scores are of it against the next best language over the same words.
 
-Texts that are null or have no letter are `und` with score 0. Words without letters belong to no
-span. With no labelled text at all every text is `und`. Ties go to the language first by name.
+Texts that are null, empty or have no letter (Unicode category L) are `und` with score 0. Words without letters
+belong to no span. With no labelled text at all every text is `und`; an empty table gives an empty result. Ties go to
+the language first by name. Repeated rows each get their result; texts of any length are read whole, several
+thousand words or one long text at a time. Columns of docs may have any names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, fold, kept, sample_ids, text_of, texts
+from .common import fold, kept, sample_ids, text_of, texts
 
 SLOTS, ORDER = 1 << 15, 3
-WORD = re.compile(r"[^\W\d_]+")
+#: Superscripts, fractions, letter numbers: signs of words for the re module that are no letters.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+WORD = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
+#: Word scores that a worker keeps at most.
+KEPT_SCORES = 2_000_000
 #: First code points of script ranges (Unicode blocks) and their names; a range ends where the next begins.
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -43,16 +52,21 @@ def script_of(word: str) -> str:
     return SCRIPTS[int(np.searchsorted(STARTS, ord(word[0]), side="right")) - 1][1]
 
 
-def gram_slots(word: str) -> np.ndarray:
-    """Hashed 1- to 3-grams of a word with its borders."""
-    codes = np.frombuffer(f"^{word}$".encode("utf-32-le"), np.uint32)
+def gram_slots(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1 to 3 the hashed n-grams of all words with their borders, and where each word's begin."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters from here to the word's end
     key = codes.astype(np.uint64)
-    out = [key[1:-1]]
-    for n in range(1, ORDER):
-        key = key[:-1] * np.uint64(1_000_003) + codes[n:]
-        out.append(key)
-    h = np.concatenate(out) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(49)).astype(np.int64)
+    for n in range(1, ORDER + 1):
+        if n > 1:
+            key = key[:-1] * np.uint64(1_000_003) + codes[n - 1 :]
+        own = left[: len(key)] >= n
+        if n == 1:
+            own = (left > 1) & (left < np.repeat(sizes, sizes))
+        taken = sizes - 2 if n == 1 else sizes - n + 1
+        yield ((key[own] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64), np.cumsum(taken) - taken
 
 
 class Model:
@@ -74,29 +88,36 @@ class Model:
         self.scripts = {s: v if v.any() else np.ones(len(v), bool) for s, v in self.scripts.items()}
         self.logp = np.log(table / table.sum(0)).astype(np.float32)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        out = self.logp[gram_slots(word)].sum(0)
-        allowed = self.scripts.get(script_of(word))
-        if allowed is not None:
-            out = np.where(allowed, out, out.min() - 50)
-        return out - out.max()
-
-
-def spans(scores: np.ndarray, lengths: list[int], switch: float) -> np.ndarray:
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, 0 for its best language."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        for slots, starts in gram_slots(words):
+            out += np.add.reduceat(self.logp[slots], starts)
+        names = np.array([script_of(w) for w in words])
+        for script in np.unique(names).tolist():
+            allowed = self.scripts.get(script)
+            if allowed is not None and not allowed.all():
+                own = np.flatnonzero(names == script)
+                out[np.ix_(own, np.flatnonzero(~allowed))] = out[own].min(1, keepdims=True) - 50
+        return out - out.max(1, keepdims=True)
+
+
+def spans(scores: np.ndarray, switch: float) -> np.ndarray:
     """Viterbi labels of several texts at once; scores: texts x words x languages, zero beyond a text's words.
 
     A change of language costs the same from any language, so a step needs only the best state."""
     n, steps, k = scores.shape
     best = scores[:, 0].copy()
-    came = np.zeros((steps, n, k), np.uint8)
-    stay = np.arange(k, dtype=np.uint8)
+    kind = np.uint8 if k <= 256 else np.uint16
+    came = np.zeros((steps, n, k), kind)
+    stay = np.arange(k, dtype=kind)
     for t in range(1, steps):
         top = best.argmax(1)
         jump = best[np.arange(n), top][:, None] - switch
         change = jump > best
         came[t] = np.where(change, top[:, None], stay)
         best = np.where(change, jump, best) + scores[:, t]
-    label = np.empty((n, steps), np.uint8)
+    label = np.empty((n, steps), kind)
     state = best.argmax(1)
     rows = np.arange(n)
     for t in range(steps - 1, -1, -1):
@@ -106,19 +127,42 @@ def spans(scores: np.ndarray, lengths: list[int], switch: float) -> np.ndarray:
 
 
 class Labeller:
+    """Labels texts; the scores of words that it has met are rows of a table, row 0 (all zeros) stands beyond a text's words."""
+
     def __init__(self, model: Model, switch: float) -> None:
         self.model, self.switch = model, switch
-        self.cache = WordCache()
+        self.most = max(1000, KEPT_SCORES // max(1, len(model.langs)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.parts = [np.zeros((1, len(self.model.langs)), np.float32)]
+        self.table = self.parts[0]
+
+    def learn(self, words: list[list[str]]) -> None:
+        new = set().union(*words).difference(self.row)
+        if not new:
+            return
+        if len(self.row) + len(new) > self.most:
+            self.forget()
+            new = set().union(*words)
+        fresh = list(new)
+        for i in range(0, len(fresh), 8192):
+            part = fresh[i : i + 8192]
+            self.row.update(zip(part, range(len(self.row) + 1, len(self.row) + 1 + len(part)), strict=True))
+            self.parts.append(self.model.word_scores(part))
+        self.table = np.concatenate(self.parts)
+        self.parts = [self.table]
 
     def label(self, rows: list[str]) -> list[tuple[list[tuple[int, int, int]], str, float]]:
         """For each text its spans (first character, end, language number), language and score."""
         out: list = [([], "und", 0.0)] * len(rows)
         if not self.model.langs:
             return out
-        words = [[(m.start(), m.end()) for m in WORD.finditer(t)] for t in rows]
-        low = [[t[a:b].lower() for a, b in ws] for t, ws in zip(rows, words, strict=True)]
-        for w in self.cache.absent(set().union(*low)):
-            self.cache.young[w] = self.model.word_scores(w)
+        low = [t.lower() for t in rows]
+        # Where lower case has another length, the words are found first, so that places are those of the text.
+        words = [WORD.findall(s) if len(s) == len(t) else [w.lower() for w in WORD.findall(t)] for s, t in zip(low, rows, strict=True)]
+        self.learn(words)
         order = sorted((i for i in range(len(rows)) if words[i]), key=lambda i: len(words[i]))
         k = len(self.model.langs)
         at = 0
@@ -127,47 +171,56 @@ class Labeller:
             end, steps = at + 1, len(words[order[at]])
             while end < len(order) and end - at < 256 and (m := len(words[order[end]])) * (end + 1 - at) * k <= 4_000_000:
                 end, steps = end + 1, m
-            block = np.zeros((end - at, steps, k), np.float32)
-            for r, i in enumerate(order[at:end]):
-                block[r, : len(low[i])] = [self.cache.young[w] for w in low[i]]
-            labels = spans(block, [], self.switch)
-            for r, i in enumerate(order[at:end]):
-                out[i] = self.summary(words[i], labels[r, : len(words[i])], block[r, : len(words[i])])
+            own = order[at:end]
+            sizes = np.array([len(words[i]) for i in own])
+            place = np.zeros((len(own), steps), np.int64)
+            flat = chain.from_iterable(words[i] for i in own)
+            place[np.arange(steps) < sizes[:, None]] = np.fromiter(map(self.row.__getitem__, flat), np.int64, int(sizes.sum()))
+            block = self.table[place]
+            labels = spans(block, self.switch)
+            for r, i in enumerate(own):
+                n = len(words[i])
+                out[i] = self.summary(rows[i], low[i], words[i], labels[r, :n], block[r, :n])
             at = end
         return out
 
-    def summary(self, words: list[tuple[int, int]], label: np.ndarray, scores: np.ndarray) -> tuple:
-        edges = np.array(words)
-        letters = np.bincount(label, edges[:, 1] - edges[:, 0], len(self.model.langs))
+    def summary(self, text: str, low: str, words: list[str], label: np.ndarray, scores: np.ndarray) -> tuple:
+        letters = np.bincount(label, np.fromiter(map(len, words), np.int64, len(words)), len(self.model.langs))
         lang = int(letters.argmax())
         own = scores[label == lang].sum(0)
         rivals = np.delete(own, lang)
         margin = float(own[lang] - rivals.max()) if len(rivals) else 30.0
-        sure = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        cut = np.flatnonzero(np.diff(label)) + 1
-        first, last = np.r_[0, cut], np.r_[cut, len(label)] - 1
-        found = list(zip(edges[first, 0].tolist(), edges[last, 1].tolist(), label[first].tolist(), strict=True))
+        sure = 1 / (1 + np.exp(-min(max(margin, -30), 30)))
+        cut = np.flatnonzero(label[1:] != label[:-1]) + 1
+        if not len(cut) and len(low) == len(text):
+            found = [(low.find(words[0]), low.rfind(words[-1]) + len(words[-1]), lang)]
+        else:
+            edges = [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
+            first, last = np.r_[0, cut], np.r_[cut, len(label)] - 1
+            found = [(edges[a][0], edges[b][1], int(label[a])) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
         return found, self.model.langs[lang], float(letters[lang] / letters.sum() * sure)
 
 
 def train(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows=None) -> Model:
-    """A model from at most per_language labelled documents of each language (64 languages at most)."""
+    """A model from at most per_language labelled documents of each language, of as many languages as there are."""
     labelled = docs if train_rows is None else docs.where(train_rows)
     ids = sample_ids(labelled.where(F.col(text_col).isNotNull()), id_col, lang_col, per_language)
-    own = docs.select(F.col(id_col).cast("long").alias("s_id"), F.col(lang_col).alias("s_class"), F.lower(text_col).alias("s_text"))
-    rows = own.join(F.broadcast(ids), ["s_id", "s_class"])
-    word = F.explode(F.regexp_extract_all("s_text", F.lit(r"\p{L}+"), F.lit(0)))
-    counts = rows.select("s_class", word.alias("word")).groupBy("s_class", "word").count()
+    own = docs.select(F.col(id_col).alias("s_id"), F.col(lang_col).alias("s_class"), text_of(text_col).alias("s_text"))
+    rows = own.join(ids, ["s_id", "s_class"]).select(F.col("s_class").cast("string").alias("lang"), "s_text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: dict[str, np.ndarray] = {}
         scripts: Counter = Counter()
         for b in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = WORD.findall(text.lower())
                 if lang not in slots:
                     slots[lang] = np.zeros(SLOTS, np.int64)
-                np.add.at(slots[lang], gram_slots(word), n)
-                scripts[lang, script_of(word)] += n
+                for i in range(0, len(words), 8192):
+                    for found, _ in gram_slots(words[i : i + 8192]):
+                        slots[lang] += np.bincount(found, minlength=SLOTS)
+                for script, n in Counter(map(script_of, words)).items():
+                    scripts[lang, script] += n
         out = [(lang, int(i), None, int(t[i])) for lang, t in slots.items() for i in np.flatnonzero(t)]
         out += [(lang, None, script, n) for (lang, script), n in scripts.items()]
         cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -175,7 +228,7 @@ def train(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", text
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "slot", "script", "n"])
 
     # What comes to the driver is bounded by the slots and scripts of each language.
-    partial = counts.select(F.col("s_class").cast("string"), "word", "count").mapInArrow(sums, "lang string, slot int, script string, n long")
+    partial = rows.mapInArrow(sums, "lang string, slot int, script string, n long")
     got = partial.groupBy("lang", "slot", "script").agg(F.sum("n").alias("n")).collect()
     return Model([(r[0], r[1], r[3]) for r in got if r[1] is not None], [(r[0], r[2], r[3]) for r in got if r[1] is None])
 

@@ -169,8 +169,8 @@ def test_languages_and_toxicity_learn(spark):
     make = lambda ws, n=40: " ".join(rng.choice(ws) for _ in range(n))
     rows = [(i, make(en if i % 2 else de) + (" vile" * 3 if i % 5 == 0 else ""), "en" if i % 2 else "de") for i in range(300)] + [(900, None, None), (901, "123", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    out = {r["doc_id"]: r for r in langid.identify_held_out(df).collect()}
-    assert out[900]["lang_pred"] == "und" == out[901]["lang_pred"] and all(out[i]["lang_pred"] == r[2] for i, r in enumerate(rows[:300]))
+    out = {r["doc_id"]: r for r in langid.identify_held_out(df.unionByName(spark.createDataFrame([(902, "² ½ Ⅷ 4", "en")], df.schema))).collect()}
+    assert out[902]["lang_pred"] == "und" and out[900]["lang_pred"] == "und" == out[901]["lang_pred"] and all(out[i]["lang_pred"] == r[2] for i, r in enumerate(rows[:300]))
     mixed = spark.createDataFrame([(1, make(en) + " " + make(de))], "doc_id long, text string")
     assert [s["lang"] for s in langid.identify(mixed, langid.train(df)).first()["spans"]] == ["en", "de"]
     labels = df.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic")).where("doc_id < 300")
@@ -197,20 +197,44 @@ def test_toxicity_counts_all_labelled_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     model = toxicity.train(docs, labels, per_class=10)
-    words = ["n0", "n39", "bring", "fine"]
+    words = ["n0", "n39", "fine", "bring"]
     t, o, pooled = model.words.rows(np.array([toxicity._number(w) for w in words]))[:, :3].T
-    assert (o[0], t[1], o[3]) == (1, 1, 1) and (t[2], o[2], pooled[3]) == (0, 0, 2)
-    out = {r["doc_id"]: r["__score"] for r in toxicity.score(docs, model).collect()}
+    assert (o[0], t[1], o[2], t[2], pooled[2]) == (1, 1, 1, 0, 2) and (t[3], o[3]) == (0, 0)
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert all((out[i] >= toxicity.THRESHOLD) == bool(i % 2) for i in range(400))
 
 
-def test_toxicity_looks_up_the_same_in_many_blocks(spark, monkeypatch):
-    table = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    monkeypatch.setattr(toxicity, "BLOCK", 100)
-    blocks = toxicity.Blocks(table, "k", ["v"])
-    assert len(blocks.parts) == 10 and blocks.rows(np.array([3, 999, 1000])).ravel().tolist() == [6, 1998, 0]
-    got = spark.range(5000).mapInArrow(lambda bs: (toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array(blocks.rows(b.column(0).to_numpy()).ravel())], ["v"]) for b in bs), "v double")
-    assert got.agg(F.sum("v")).first()[0] == 999 * 1000
+def test_expression_counts_match_brute_force(spark, monkeypatch):
+    """Distinct words before words and pairs, of each class and of all rows, over many packs and buckets."""
+    monkeypatch.setattr(toxicity, "PACK_WORDS", 500)
+    monkeypatch.setattr(toxicity, "BUCKET_WORDS", 20)
+    rng = random.Random(7)
+    rows = [([None, 1, 2][i % 3], " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    got = toxicity.expression_counts(spark.createDataFrame([*rows, rows[1], (2, None)], "s_label int, s_text string")).collect()
+    number = {c: toxicity._number(c) for c in "abcdefghij"}
+    before, contexts = {}, {}
+    for label, text in rows:
+        w = [0, 0, *[number[c] for c in text.split()]]
+        for z, a, b in zip(w, w[1:], w[2:]):
+            before.setdefault(b, [set(), set(), set()])[2].add(a)
+            if label:
+                before[b][2 - label].add(a)
+                contexts.setdefault((a, b), [set(), set()])[2 - label].add(z)
+    want = {(0, b): [*map(len, v), 0, 0, 0, 0] for b, v in before.items()}
+    for (a, b), v in contexts.items():
+        t, o = map(len, v)
+        if a:
+            for i, n in enumerate((t, o, t > 0, o > 0), 3):
+                want[0, a][i] += n
+            if max(t, o) > 1:
+                want[1, (a << toxicity.BITS) | b] = [t, o, 0, 0, 0, 0, 0]
+    assert {(r["kind"], r["key"]): [r[c] for c in toxicity.COUNTS] for r in got} == want
+
+
+def test_slots_keep_the_expression_of_most_contexts(spark):
+    table = spark.range(1, 101).select(F.col("id").alias("key"), F.col("id").alias("t"), *[F.lit(0).alias(c) for c in toxicity.COUNTS[1:]])
+    slots = toxicity.Slots(table, ["t"], 1)
+    assert slots.rows(np.array([100, 99])).ravel().tolist() == [100, 0]
 
 
 def test_languages_learn_from_every_word(spark):
@@ -220,7 +244,7 @@ def test_languages_learn_from_every_word(spark):
     rows = [(i, some("abcdefghij", 5200), "aa") for i in range(20)] + [(100, some("klmnop", 300), "zz"), (101, "ไทย" * 20, "th")]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["aa", "th", "zz"] and model.scripts["thai"].tolist() == [False, True, False]
-    assert model.word_scores("klmno").tolist()[2] == 0.0
+    assert model.word_scores(["klmno", "ไทย"]).argmax(1).tolist() == [2, 1]
 
 
 def test_templates_catch_new_names_at_sentence_starts(spark):
