@@ -9,7 +9,6 @@ are never toxic, have no near duplicates and pack as an end id alone. Empty tabl
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusmill.llm import common, decontam, ngram_join, packing, pii, toxicity
 from corpusmill.llm.queries import PACK_TOKENIZER, SURROGATE_KEY
@@ -19,8 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; the model learns from labels outside the held-out fold."""
     labels = common.table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, train_rows=common.fold("doc_id", 3) != 1)
-    scored = toxicity.score(docs, model, carry=docs.columns)
-    return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
