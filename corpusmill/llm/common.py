@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -145,3 +148,47 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 def texts(column: pa.Array) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (np.unique hashes integers, which takes many times as long as sorting them)."""
+    out = np.sort(values)
+    if len(out) < 2:
+        return out
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+MIX1, MIX2, BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """64 bits mixed so that each depends on all."""
+    h = (h ^ (h >> np.uint64(30))) * MIX1
+    h = (h ^ (h >> np.uint64(27))) * MIX2
+    return h ^ (h >> np.uint64(31))
+
+
+@functools.cache
+def word_signs() -> np.ndarray:
+    """For each code point, whether the re module's \\w takes it."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def word_hashes(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of \\w in lower case) of all texts, one after the other, and where each text ends."""
+    low = [t.lower() for t in rows]
+    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = word_signs()[codes]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    own = codes[inside].astype(np.uint64)
+    starts = np.flatnonzero(begins[inside])
+    text_ends = np.cumsum([len(t) + 1 for t in low], dtype=np.int64) if low else np.zeros(0, np.int64)
+    ends = np.searchsorted(np.flatnonzero(begins), text_ends)
+    if not len(starts):
+        return np.zeros(0, np.uint64), ends
+    sizes = np.diff(starts, append=len(own))
+    place = np.arange(len(own)) - np.repeat(starts, sizes)
+    power = np.full(int(sizes.max()), BASE)
+    power[0] = 1
+    return mix(np.add.reduceat((own + np.uint64(1)) * np.cumprod(power)[place], starts) + sizes.astype(np.uint64) * MIX1), ends

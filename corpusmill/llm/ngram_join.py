@@ -23,7 +23,6 @@ rows are allowed: copies are counted by rows; the smallest (id, text hash) stand
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, by_group, kept, materialise, text_of, texts
-
-WORD = re.compile(r"\w+")
-MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * MIX1
-    h = (h ^ (h >> np.uint64(27))) * MIX2
-    return h ^ (h >> np.uint64(31))
-
+from .common import BASE, by_group, distinct, kept, materialise, mix, text_of, texts, word_hashes
 
 class Shingler:
     def __init__(self, n: int, hashes: int) -> None:
@@ -50,21 +39,25 @@ class Shingler:
         rng = np.random.default_rng(20240607)
         self.factor = (rng.integers(0, 1 << 31, hashes, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.mask = rng.integers(0, 1 << 32, hashes, dtype=np.uint32)
-        self.cache = WordCache()
 
     def sets(self, rows: list[str]) -> list[np.ndarray]:
         """Sorted distinct n-gram hashes of each text; empty without words."""
-        words = [WORD.findall(t.lower()) for t in rows]
-        for w in self.cache.absent(set().union(*words)):
-            self.cache.young[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        known, out = self.cache.young, []
-        for ws in words:
-            codes = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-            size = min(self.n, len(codes))
-            h = np.full(len(codes) - size + 1 if size else 0, size, np.uint64)
-            for k in range(size):
-                h = h * STEP + mix(codes[k : k + len(h)] + np.uint64(k))
-            out.append(np.unique(mix(h)))
+        words, ends = word_hashes(rows)
+        rolled = np.full(len(words), self.n, np.uint64)
+        # The hash of the n words from each place on; what crosses a text's end is cut off below.
+        for k in range(self.n):
+            rolled[: len(words) - k] = rolled[: len(words) - k] * BASE + mix(words[k:] + np.uint64(k))
+        rolled = mix(rolled)
+        out, start = [], 0
+        for end in ends.tolist():
+            if end - start >= self.n:
+                out.append(distinct(rolled[start : end - self.n + 1]))
+            else:
+                h = np.full(min(1, end - start), end - start, np.uint64)
+                for k in range(end - start):
+                    h = h * BASE + mix(words[start + k : start + k + 1] + np.uint64(k))
+                out.append(mix(h))
+            start = end
         return out
 
     def signature(self, grams: np.ndarray) -> np.ndarray:
@@ -114,7 +107,7 @@ def classes_of(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                     values = tool.signature(grams).reshape(bands, rows).astype(np.uint64)
                     h = number + np.uint64(1)
                     for r in range(rows):
-                        h = mix(h * STEP + values[:, r])
+                        h = mix(h * BASE + values[:, r])
                     buckets.append(_signed(h))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], ["rid", "tk", "class", "bands"])
 

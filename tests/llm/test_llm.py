@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 P = pytest.importorskip("public_tokenizers")
 
-from corpusmill.llm import decontam, langid, ngram_join, packing, pii, quality, sharding, tokencount, toxicity, warc  # noqa: E402
+from corpusmill.llm import common, decontam, langid, ngram_join, packing, pii, quality, sharding, tokencount, toxicity, warc  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tk string, map int, score double"
 
@@ -63,6 +63,16 @@ def test_hilbert_neighbours_differ_by_one_step():
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def test_word_hashes_part_texts_as_the_re_module_does():
+    rows = [r[1] or "" for r in edge_rows()] + ["İstanbul ΣΑΣ x²½ a_b ٣ 你好 \U0001d54f", "\ud800 a", "", "a" * 3000]
+    hashes, ends = common.word_hashes(rows)
+    want = [re.findall(r"\w+", t.lower()) for t in rows]
+    assert np.diff(ends, prepend=0).tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+    assert [len(a) for a in common.word_hashes([])] == [0, 0]
+
+
 def shingles(text):
     w = re.findall(r"\w+", (text or "").lower())
     n = min(5, len(w))
@@ -198,7 +208,7 @@ def test_toxicity_counts_all_labelled_rows(spark):
     labels = docs.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     model = toxicity.train(docs, labels, per_class=10)
     words = ["n0", "n39", "fine", "bring"]
-    t, o, pooled = model.words.rows(np.array([toxicity._number(w) for w in words]))[:, :3].T
+    t, o, pooled = model.words.rows(toxicity.numbers_of(words)[0])[:, :3].T
     assert (o[0], t[1], o[2], t[2], pooled[2]) == (1, 1, 1, 0, 2) and (t[3], o[3]) == (0, 0)
     out = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert all((out[i] >= toxicity.THRESHOLD) == bool(i % 2) for i in range(400))
@@ -211,7 +221,7 @@ def test_expression_counts_match_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     rows = [([None, 1, 2][i % 3], " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 60)))) for i in range(150)]
     got = toxicity.expression_counts(spark.createDataFrame([*rows, rows[1], (2, None)], "s_label int, s_text string")).collect()
-    number = {c: toxicity._number(c) for c in "abcdefghij"}
+    number = dict(zip("abcdefghij", toxicity.numbers_of(list("abcdefghij"))[0].tolist()))
     before, contexts = {}, {}
     for label, text in rows:
         w = [0, 0, *[number[c] for c in text.split()]]
