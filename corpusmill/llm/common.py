@@ -9,6 +9,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -117,11 +118,13 @@ def fold(id_col: str, modulus: int) -> Column:
 def sample_ids(labels: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
     """s_id, s_class: at most per_class ids of each class, in the order of their hashes; ids and classes of any type.
 
-    One ranked pass for all classes; tasks keep their per_class best of a class before the exchange."""
+    All classes are ranked at once, first in 64 parts of each by hash, so that a large class is no hot group."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).select(F.col(id_col).alias("s_id"), F.col(class_col).alias("s_class"))
-    order = Window.partitionBy("s_class").orderBy(F.xxhash64("s_id"), "s_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
-    return materialise(ranked.select("s_id", "s_class").distinct())
+    rows = rows.withColumn("h", F.xxhash64("s_id"))
+    for part in (["s_class", F.pmod("h", F.lit(64))], ["s_class"]):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("h", "s_id"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank")
+    return materialise(rows.select("s_id", "s_class").distinct())
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -174,21 +177,55 @@ def word_signs() -> np.ndarray:
     return np.fromiter((chr(i).isalnum() or i == 95 for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
+@functools.cache
+def letter_signs() -> np.ndarray:
+    """For each code point, whether it is a letter (Unicode category L)."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def lowered(text: str) -> str:
+    """Lower case with as many characters as the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+@dataclass
+class Runs:
+    """Words (runs of signs) of texts: all code points, where words start and their sizes, and each text's first character and last word's end."""
+
+    codes: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    offsets: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[str], signs: np.ndarray) -> Runs:
+        codes = np.frombuffer("\n".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.zeros(len(codes) + 2, np.int8)
+        inside[1:-1] = signs[codes]
+        edge = np.diff(inside)
+        starts = np.flatnonzero(edge == 1)
+        text_ends = np.cumsum([len(t) + 1 for t in rows], dtype=np.int64) if rows else np.zeros(0, np.int64)
+        offsets = np.concatenate(([0], text_ends[:-1])) if rows else text_ends
+        return cls(codes, starts, np.flatnonzero(edge == -1) - starts, offsets, np.searchsorted(starts, text_ends))
+
+    def spread(self) -> tuple[np.ndarray, np.ndarray]:
+        """The code points of all words in turn, and each one's place in its word."""
+        place = np.arange(int(self.sizes.sum())) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        return self.codes[place + np.repeat(self.starts, self.sizes)], place
+
+    def hashes(self) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        own, place = self.spread()
+        power = np.full(int(self.sizes.max()), BASE)
+        power[0] = 1
+        sums = np.add.reduceat((own.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[place], np.cumsum(self.sizes) - self.sizes)
+        return mix(sums + self.sizes.astype(np.uint64) * MIX1)
+
+
 def word_hashes(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of \\w in lower case) of all texts, one after the other, and where each text ends."""
-    low = [t.lower() for t in rows]
-    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = word_signs()[codes]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    own = codes[inside].astype(np.uint64)
-    starts = np.flatnonzero(begins[inside])
-    text_ends = np.cumsum([len(t) + 1 for t in low], dtype=np.int64) if low else np.zeros(0, np.int64)
-    ends = np.searchsorted(np.flatnonzero(begins), text_ends)
-    if not len(starts):
-        return np.zeros(0, np.uint64), ends
-    sizes = np.diff(starts, append=len(own))
-    place = np.arange(len(own)) - np.repeat(starts, sizes)
-    power = np.full(int(sizes.max()), BASE)
-    power[0] = 1
-    return mix(np.add.reduceat((own + np.uint64(1)) * np.cumprod(power)[place], starts) + sizes.astype(np.uint64) * MIX1), ends
+    runs = Runs.of([t.lower() for t in rows], word_signs())
+    return runs.hashes(), runs.ends

@@ -17,27 +17,17 @@ thousand words or one long text at a time. Columns of docs may have any names.
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, kept, sample_ids, text_of, texts
+from .common import Runs, fold, letter_signs, lowered, sample_ids, text_of, texts
 
 SLOTS, ORDER = 1 << 15, 3
-#: Superscripts, fractions, letter numbers: signs of words for the re module that are no letters.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-WORD = re.compile(rf"[^\W\d_{re.escape(NUMERALS)}]+")
-#: Word scores that a worker keeps at most.
-KEPT_SCORES = 2_000_000
 #: First code points of script ranges (Unicode blocks) and their names; a range ends where the next begins.
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -48,23 +38,29 @@ SCRIPTS = [
 STARTS = np.array([a for a, _ in SCRIPTS])
 
 
-def script_of(word: str) -> str:
-    return SCRIPTS[int(np.searchsorted(STARTS, ord(word[0]), side="right")) - 1][1]
+def words_of(rows: list[str]) -> Runs:
+    return Runs.of([lowered(t) for t in rows], letter_signs())
 
 
-def gram_slots(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def scripts_of(words: Runs) -> np.ndarray:
+    """The script of each word, that of its first letter."""
+    return np.array([name for _, name in SCRIPTS])[np.searchsorted(STARTS, words.codes[words.starts], side="right") - 1]
+
+
+def gram_slots(words: Runs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order from 1 to 3 the hashed n-grams of all words with their borders, and where each word's begin."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters from here to the word's end
+    letters, place = words.spread()
+    sizes = words.sizes + 2
+    first = np.cumsum(sizes) - sizes
+    codes = np.full(int(sizes.sum()), ord("$"), np.uint32)
+    codes[first] = ord("^")
+    codes[np.repeat(first + 1, words.sizes) + place] = letters
+    left = np.repeat(first + sizes, sizes) - np.arange(len(codes))  # characters from here to the word's end
     key = codes.astype(np.uint64)
     for n in range(1, ORDER + 1):
         if n > 1:
             key = key[:-1] * np.uint64(1_000_003) + codes[n - 1 :]
-        own = left[: len(key)] >= n
-        if n == 1:
-            own = (left > 1) & (left < np.repeat(sizes, sizes))
+        own = (left > 1) & (left < np.repeat(sizes, sizes)) if n == 1 else left[: len(key)] >= n
         taken = sizes - 2 if n == 1 else sizes - n + 1
         yield ((key[own] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64), np.cumsum(taken) - taken
 
@@ -88,15 +84,14 @@ class Model:
         self.scripts = {s: v if v.any() else np.ones(len(v), bool) for s, v in self.scripts.items()}
         self.logp = np.log(table / table.sum(0)).astype(np.float32)
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
+    def word_scores(self, words: Runs) -> np.ndarray:
         """A row of scores for each word, 0 for its best language."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
+        out = np.zeros((len(words.starts), len(self.langs)), np.float32)
         for slots, starts in gram_slots(words):
             out += np.add.reduceat(self.logp[slots], starts)
-        names = np.array([script_of(w) for w in words])
-        for script in np.unique(names).tolist():
-            allowed = self.scripts.get(script)
-            if allowed is not None and not allowed.all():
+        names = scripts_of(words)
+        for script, allowed in self.scripts.items():
+            if not allowed.all():
                 own = np.flatnonzero(names == script)
                 out[np.ix_(own, np.flatnonzero(~allowed))] = out[own].min(1, keepdims=True) - 50
         return out - out.max(1, keepdims=True)
@@ -126,79 +121,58 @@ def spans(scores: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
-class Labeller:
-    """Labels texts; the scores of words that it has met are rows of a table, row 0 (all zeros) stands beyond a text's words."""
-
-    def __init__(self, model: Model, switch: float) -> None:
-        self.model, self.switch = model, switch
-        self.most = max(1000, KEPT_SCORES // max(1, len(model.langs)))
-        self.forget()
-
-    def forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.parts = [np.zeros((1, len(self.model.langs)), np.float32)]
-        self.table = self.parts[0]
-
-    def learn(self, words: list[list[str]]) -> None:
-        new = set().union(*words).difference(self.row)
-        if not new:
-            return
-        if len(self.row) + len(new) > self.most:
-            self.forget()
-            new = set().union(*words)
-        fresh = list(new)
-        for i in range(0, len(fresh), 8192):
-            part = fresh[i : i + 8192]
-            self.row.update(zip(part, range(len(self.row) + 1, len(self.row) + 1 + len(part)), strict=True))
-            self.parts.append(self.model.word_scores(part))
-        self.table = np.concatenate(self.parts)
-        self.parts = [self.table]
-
-    def label(self, rows: list[str]) -> list[tuple[list[tuple[int, int, int]], str, float]]:
-        """For each text its spans (first character, end, language number), language and score."""
-        out: list = [([], "und", 0.0)] * len(rows)
-        if not self.model.langs:
-            return out
-        low = [t.lower() for t in rows]
-        # Where lower case has another length, the words are found first, so that places are those of the text.
-        words = [WORD.findall(s) if len(s) == len(t) else [w.lower() for w in WORD.findall(t)] for s, t in zip(low, rows, strict=True)]
-        self.learn(words)
-        order = sorted((i for i in range(len(rows)) if words[i]), key=lambda i: len(words[i]))
-        k = len(self.model.langs)
-        at = 0
-        while at < len(order):
-            # Texts of like length together, so that little of the block is empty.
-            end, steps = at + 1, len(words[order[at]])
-            while end < len(order) and end - at < 256 and (m := len(words[order[end]])) * (end + 1 - at) * k <= 4_000_000:
-                end, steps = end + 1, m
-            own = order[at:end]
-            sizes = np.array([len(words[i]) for i in own])
-            place = np.zeros((len(own), steps), np.int64)
-            flat = chain.from_iterable(words[i] for i in own)
-            place[np.arange(steps) < sizes[:, None]] = np.fromiter(map(self.row.__getitem__, flat), np.int64, int(sizes.sum()))
-            block = self.table[place]
-            labels = spans(block, self.switch)
-            for r, i in enumerate(own):
-                n = len(words[i])
-                out[i] = self.summary(rows[i], low[i], words[i], labels[r, :n], block[r, :n])
-            at = end
-        return out
+#: Distinct words that are scored at once, and scores (words times languages) of texts that are labelled at once.
+WORD_BATCH, BLOCK_SCORES = 65_536, 4_000_000
 
-    def summary(self, text: str, low: str, words: list[str], label: np.ndarray, scores: np.ndarray) -> tuple:
-        letters = np.bincount(label, np.fromiter(map(len, words), np.int64, len(words)), len(self.model.langs))
-        lang = int(letters.argmax())
-        own = scores[label == lang].sum(0)
-        rivals = np.delete(own, lang)
-        margin = float(own[lang] - rivals.max()) if len(rivals) else 30.0
-        sure = 1 / (1 + np.exp(-min(max(margin, -30), 30)))
-        cut = np.flatnonzero(label[1:] != label[:-1]) + 1
-        if not len(cut) and len(low) == len(text):
-            found = [(low.find(words[0]), low.rfind(words[-1]) + len(words[-1]), lang)]
-        else:
-            edges = [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
-            first, last = np.r_[0, cut], np.r_[cut, len(label)] - 1
-            found = [(edges[a][0], edges[b][1], int(label[a])) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        return found, self.model.langs[lang], float(letters[lang] / letters.sum() * sure)
+
+def label(model: Model, rows: list[str], switch: float) -> list[tuple[list[tuple[int, int, int]], str, float]]:
+    """For each text its spans (first character, end, language number), language and score."""
+    out: list = [([], "und", 0.0)] * len(rows)
+    words = words_of(rows)
+    if not model.langs or not len(words.starts):
+        return out
+    _, first, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    # The scores of each distinct word; row 0 (all zeros) stands beyond a text's words.
+    table = [np.zeros((1, len(model.langs)), np.float32)]
+    for i in range(0, len(first), WORD_BATCH):
+        own = first[i : i + WORD_BATCH]
+        table.append(model.word_scores(Runs(words.codes, words.starts[own], words.sizes[own], words.offsets, words.ends)))
+    scores = np.concatenate(table)
+    counts = np.diff(words.ends, prepend=0)
+    begins = words.ends - counts
+    order = np.argsort(counts, kind="stable")
+    order = order[counts[order] > 0]
+    at, k = 0, len(model.langs)
+    while at < len(order):
+        # Texts of like length together, so that little of the block is empty.
+        end = at + 1
+        while end < len(order) and end - at < 256 and int(counts[order[end]]) * (end + 1 - at) * k <= BLOCK_SCORES:
+            end += 1
+        own = order[at:end]
+        steps = int(counts[own[-1]])
+        inside = np.arange(steps) < counts[own][:, None]
+        place = np.where(inside, np.arange(steps) + begins[own][:, None], 0)
+        block = scores[np.where(inside, number[place] + 1, 0)]
+        labels = spans(block, switch)
+        for r, i in enumerate(own.tolist()):
+            n, lo = int(counts[i]), int(begins[i])
+            starts = words.starts[lo : lo + n] - words.offsets[i]
+            out[i] = summary(model, starts, words.sizes[lo : lo + n], labels[r, :n], block[r, :n])
+        at = end
+    return out
+
+
+def summary(model: Model, starts: np.ndarray, sizes: np.ndarray, path: np.ndarray, scores: np.ndarray) -> tuple:
+    letters = np.bincount(path, sizes, len(model.langs))
+    lang = int(letters.argmax())
+    own = scores[path == lang].sum(0)
+    rivals = np.delete(own, lang)
+    margin = float(own[lang] - rivals.max()) if len(rivals) else 30.0
+    sure = 1 / (1 + np.exp(-min(max(margin, -30), 30)))
+    cut = np.flatnonzero(path[1:] != path[:-1]) + 1
+    first, last = np.r_[0, cut], np.r_[cut, len(path)] - 1
+    found = list(zip(starts[first].tolist(), (starts[last] + sizes[last]).tolist(), path[first].tolist(), strict=True))
+    return found, model.langs[lang], float(letters[lang] / letters.sum() * sure)
 
 
 def train(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows=None) -> Model:
@@ -213,14 +187,13 @@ def train(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", text
         scripts: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = WORD.findall(text.lower())
+                words = words_of([text])
                 if lang not in slots:
                     slots[lang] = np.zeros(SLOTS, np.int64)
-                for i in range(0, len(words), 8192):
-                    for found, _ in gram_slots(words[i : i + 8192]):
-                        slots[lang] += np.bincount(found, minlength=SLOTS)
-                for script, n in Counter(map(script_of, words)).items():
-                    scripts[lang, script] += n
+                for found, _ in gram_slots(words):
+                    slots[lang] += np.bincount(found, minlength=SLOTS)
+                for script, n in zip(*np.unique(scripts_of(words), return_counts=True), strict=True):
+                    scripts[lang, str(script)] += int(n)
         out = [(lang, int(i), None, int(t[i])) for lang, t in slots.items() for i in np.flatnonzero(t)]
         out += [(lang, None, script, n) for (lang, script), n in scripts.items()]
         cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -236,16 +209,14 @@ def train(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", text
 def identify(docs: DataFrame, model: Model, switch: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, spans (array of start, end, lang) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    mark = zlib.crc32(model.logp.tobytes())
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = kept(("lang", mark, switch), lambda: Labeller(sent.value, switch))
         langs = sent.value.langs
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
-                got = tool.label(texts(b.column(1)))
+                got = label(sent.value, texts(b.column(1)), switch)
                 found = [[{"start": a, "end": e, "lang": langs[i]} for a, e, i in s] for s, _, _ in got]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.float64()), pa.array(found, pa.list_(span))],

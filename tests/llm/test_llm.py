@@ -1,5 +1,6 @@
 """Operators of the training-data subpackage against brute force, on small tables with edge cases."""
 
+import itertools
 import os
 import random
 import re
@@ -182,7 +183,16 @@ def test_languages_and_toxicity_learn(spark):
     out = {r["doc_id"]: r for r in langid.identify_held_out(df.unionByName(spark.createDataFrame([(902, "² ½ Ⅷ 4", "en")], df.schema))).collect()}
     assert out[902]["lang_pred"] == "und" and out[900]["lang_pred"] == "und" == out[901]["lang_pred"] and all(out[i]["lang_pred"] == r[2] for i, r in enumerate(rows[:300]))
     mixed = spark.createDataFrame([(1, make(en) + " " + make(de))], "doc_id long, text string")
-    assert [s["lang"] for s in langid.identify(mixed, langid.train(df)).first()["spans"]] == ["en", "de"]
+    model = langid.train(df)
+    spans = langid.identify(mixed, model).first()["spans"]
+    text = mixed.first()["text"]
+    assert [s["lang"] for s in spans] == ["en", "de"] and spans[0]["start"] == 0 and spans[1]["end"] == len(text) and text[spans[1]["start"] - 1] == " "
+    (found, _, _), (none, lang, score) = langid.label(model, ["İ 12 das haus!", "² ½"], 8.0)
+    assert found[0][0] == 0 and found[-1][1] == 13 and (none, lang, score) == ([], "und", 0.0)
+    scores = np.random.default_rng(1).normal(size=(3, 9, 3)).astype(np.float32)
+    for one, path in zip(scores, langid.spans(scores, 0.7)):
+        cost = lambda p: sum(one[i, x] for i, x in enumerate(p)) - 0.7 * sum(a != b for a, b in zip(p, p[1:]))
+        assert cost(path.tolist()) > max(map(cost, itertools.product(range(3), repeat=9))) - 1e-5
     labels = df.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic")).where("doc_id < 300")
     scored = {r["doc_id"]: r for r in toxicity.score_held_out(df, labels).collect()}
     assert all(scored[i]["predicted"] == int(i % 5 == 0) for i in range(300)) and scored[900]["score"] == 0.0
@@ -254,7 +264,7 @@ def test_languages_learn_from_every_word(spark):
     rows = [(i, some("abcdefghij", 5200), "aa") for i in range(20)] + [(100, some("klmnop", 300), "zz"), (101, "ไทย" * 20, "th")]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["aa", "th", "zz"] and model.scripts["thai"].tolist() == [False, True, False]
-    assert model.word_scores(["klmno", "ไทย"]).argmax(1).tolist() == [2, 1]
+    assert model.word_scores(langid.words_of(["klmno ไทย"])).argmax(1).tolist() == [2, 1]
 
 
 def test_templates_catch_new_names_at_sentence_starts(spark):
