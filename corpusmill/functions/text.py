@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,39 @@ def record_id(prefix: Column | str, first: Column | str, second: Column | str, s
     return F.concat(col(prefix), F.lit("_"), F.substring(sha(body), 1, size))
 
 
+def pair_id(prefix: str, first: Column | str, second: Column | str, size: int = 16) -> Column:
+    """prefix_ and the first hex digits of the hash of two texts with a double bar between them, as they are."""
+    return F.concat(F.lit(prefix + "_"), F.substring(sha(F.concat(col(first), F.lit("‖"), col(second))), 1, size))
+
+
+def curated_id(dataset: Column | str, task: Column | str, first: Column | str, second: Column | str, size: int = 20) -> Column:
+    """dataset_ and the first hex digits of the hash of task and the normal forms of two texts, on lines."""
+    return F.concat(col(dataset), F.lit("_"), F.substring(sha(F.concat_ws("\n", col(task), norm(first), norm(second))), 1, size))
+
+
+def canonical_json(**fields: Column | str) -> Column:
+    """JSON of text fields with sorted keys and blanks behind commas and colons, as many hash recipes want it."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(col(c).cast("string"))), r"^\[|\]$", "")
+    parts = [F.concat(F.lit(f'"{k}": '), F.coalesce(quoted(fields[k]), F.lit("null"))) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def spans(c: Column, pattern: str) -> Column:
+    """start, end (from 0) and original of all matches of a pattern that matches no empty text, in turn."""
+    kind = "struct<at:int,found:array<struct<start:int,end:int,original:string>>>"
+    found, between = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+    pairs = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("m")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["skip"]
+        end = start + F.length(x["m"])
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("original")))).alias("found")).cast(kind)
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind)
+    folded = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), empty, step)["found"]
+    return F.when(c.rlike(pattern), folded).otherwise(empty["found"])
+
+
 def rank_hash(*columns: Column | str, seed: str = "") -> Column:
     """A reproducible random rank of a row: a hash of the seed and its columns."""
     parts = [F.coalesce(col(c).cast("string"), F.lit("")) for c in columns]
@@ -87,12 +122,59 @@ def ngrams(array: Column, n: int) -> Column:
     return let(array, runs)
 
 
+# Marks of Markdown and what stands in their place, in turn.
+MARKDOWN = [
+    (r"(?s)<!--.*?-->", " "),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(?mdU)^#{1,6}\s*", ""),
+    (r"(?mdU)^\s*[-*+]\s+", "• "),
+    (r"(?mdU)^\s*>\s?", ""),
+]
+
+
 def markdown_text(c: Column | str) -> Column:
-    """Markdown without comments, images, link targets, heading marks and quotes; bullets as a dot."""
-    out = col(c)
-    for pattern, new in ((r"(?s)<!--.*?-->", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*+]\s+", "• "), (r"(?m)^>\s?", "")):
-        out = F.regexp_replace(out, pattern, new)
-    return keep_lines(out)
+    """Markdown without comments, link targets, heading marks and quotes; images as their text, bullets as a dot."""
+    return keep_lines(reduce(lambda out, mark: F.regexp_replace(out, *mark), MARKDOWN, col(c)))
+
+
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def unescaped(c: Column) -> Column:
+    """Text with character references by their names or numbers replaced."""
+    pattern = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+
+    def sign(m: Column) -> Column:
+        digits = F.regexp_extract(m, "([0-9a-fA-F]+);", 1)
+        number = F.when(F.lower(F.substring(m, 3, 1)) == "x", F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
+        return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32BE")
+
+    by_number = F.array_join(F.zip_with(F.split(c, pattern, -1), F.transform(found, sign), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    out = F.when(F.contains(c, F.lit("&#")), by_number).otherwise(c)
+    return reduce(lambda text, e: F.replace(text, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), out)
+
+
+def without_elements(c: Column, *names: str) -> Column:
+    return F.regexp_replace(c, rf"(?is)<({'|'.join(names)})\b.*?(?:</\1\s*>|\z)", " ")
+
+
+def node_texts(markup: Column) -> Column:
+    """The text between tags, each piece stripped and on a line of its own."""
+    pieces = F.transform(F.split(markup, r"<[^>]+>", -1), lambda p: strip(unescaped(p)))
+    return keep_lines(F.array_join(F.filter(pieces, lambda p: p != ""), "\n"))
+
+
+def markup_text(c: Column | str) -> Column:
+    """The text of an XML or HTML document without scripts, styles and comments."""
+    out = F.regexp_replace(without_elements(F.coalesce(col(c), F.lit("")), "script", "style"), r"(?s)<!--.*?-->|<\?.*?\?>", " ")
+    return node_texts(out)
+
+
+def repository_text(c: Column | str, path: Column | str) -> Column:
+    """The text of a repository's file: markup by its tags, other files as Markdown."""
+    return F.when(F.lower(col(path)).rlike(r"\.(xml|html)$"), markup_text(c)).otherwise(markdown_text(c))
 
 
 def html_title(c: Column | str) -> Column:
@@ -100,16 +182,13 @@ def html_title(c: Column | str) -> Column:
 
 
 def html_text(c: Column | str) -> Column:
-    """The text of main, article or else body, without scripts, forms and page furniture."""
-    out = F.regexp_replace(col(c), r"(?is)<(script|style|noscript|svg|canvas|form)\b.*?</\1\s*>", " ")
+    """The text of the first main, article or else body, without scripts, forms and page furniture; a line for each piece."""
+    out = without_elements(col(c), "script", "style", "noscript", "svg", "canvas", "form")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    found = [F.regexp_extract(out, rf"(?is)<{t}\b[^>]*>(.*)</{t}\s*>", 1) for t in ("main", "article", "body")]
-    out = F.coalesce(*[F.nullif(f, F.lit("")) for f in found], out)
-    out = F.regexp_replace(out, r"(?is)<(nav|footer|header|aside)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"<[^>]+>", "\n")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return clean(out)
+    root = out
+    for name in ("body", "article", "main"):
+        root = F.when(out.rlike(rf"(?i)<{name}\b[^>]*>"), F.regexp_extract(out, rf"(?is)<{name}\b[^>]*>(.*?)(?:</{name}\s*>|\z)", 1)).otherwise(root)
+    return node_texts(without_elements(root, "nav", "footer", "header", "aside"))
 
 
 def identity(url: Column | str, repository: Column | None = None) -> Column:

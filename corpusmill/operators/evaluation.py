@@ -16,15 +16,15 @@ def repeated_ngram(text: Column, n: int = 4, threshold: int = 4) -> Column:
 
 
 def judge(df: DataFrame, output: str = "output") -> DataFrame:
-    """passed and failures (in fixed order) of outputs against their cases' rules."""
-    out, low = F.col(output), F.lower(F.trim(output))
+    """passed and failures (in fixed order) of outputs against their cases' rules; exact and listed texts in any case."""
+    out, low = F.col(output), F.lower(t.strip(output))
     empty = F.array().cast("array<string>")
     listed = lambda c: F.coalesce(F.col(c), empty)
     words = t.count_words(out)
     named = lambda name, items: F.transform(items, lambda x: F.concat(F.lit(name + ":"), x))
     one = lambda condition, text: F.when(F.coalesce(condition, F.lit(False)), F.array(text)).otherwise(empty)
     failures = F.concat(
-        one(F.trim(output) != F.trim("exact"), F.lit("exact_mismatch")),
+        one(low != F.lower(t.strip("exact")), F.lit("exact_mismatch")),
         named("missing", F.filter(listed("must_contain"), lambda x: ~F.contains(low, F.lower(x)))),
         named("contains_banned", F.filter(listed("must_not_contain"), lambda x: F.contains(low, F.lower(x)))),
         named("regex_mismatch", F.filter(listed("must_match"), lambda p: ~F.rlike(out, F.concat(F.lit("(?im)"), p)))),
@@ -82,18 +82,47 @@ def release(capability: DataFrame, safety: DataFrame) -> DataFrame:
 
 
 def audit(records: DataFrame, groups: dict[str, str], required: list[str], text: str = "text") -> DataFrame:
-    """section, value, n: records of each group value, missing metadata, duplicate texts, and the total; one pass of grouping sets.
-
-    groups: name of a section to its column. Missing values count as unknown."""
-    base = records.withColumn("__hash", t.content_hash(text))
-    out = base.agg(F.count("*").alias("n")).select(F.lit("records").alias("section"), F.lit("").alias("value"), "n")
-    labels = [F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("unknown")).alias(name) for name, c in groups.items()]
-    named = base.select(F.explode(F.array(*[F.struct(F.lit(n).alias("section"), c.alias("value")) for n, c in zip(groups, labels, strict=True)])).alias("g"))
-    out = out.unionByName(named.groupBy("g.section", "g.value").agg(F.count("*").alias("n")))
-    absent = [F.struct(F.lit(f"missing_{c}").alias("section"), F.count_if(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "").alias("n")) for c in required]
-    missing = base.agg(F.array(*absent).alias("a")).select(F.explode("a").alias("a")).select("a.section", F.lit("").alias("value"), "a.n")
-    dup = base.groupBy("__hash").agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("n"))
-    return out.unionByName(missing).unionByName(dup.select(F.lit("duplicates").alias("section"), F.lit("").alias("value"), "n"))
+    """section, value, n: records of each group value, missing metadata, duplicate texts, and the total.
+
+    groups: name of a section to its column. Missing values count as unknown. The table is read once for all that needs no
+    text, and once for the duplicates."""
+    absent = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    fact = lambda section, value, n: F.struct(F.lit(section).alias("section"), value.alias("value"), n.alias("n"))
+    facts = [fact("records", F.lit(""), F.lit(1))]
+    facts += [fact(name, F.when(absent(c), "unknown").otherwise(F.trim(F.col(c).cast("string"))), F.lit(1)) for name, c in groups.items()]
+    facts += [fact(f"missing_{c}", F.lit(""), absent(c).cast("int")) for c in required]
+    out = records.select(F.explode(F.array(*facts)).alias("f")).groupBy("f.section", "f.value").agg(F.sum("f.n").alias("n"))
+    dup = records.groupBy(t.content_hash(text).alias("h")).agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("n"))
+    return out.unionByName(dup.select(F.lit("duplicates").alias("section"), F.lit("").alias("value"), "n"))
+
+
+# What a knowledge record should tell of its source, and what sources tell nothing.
+RECOMMENDED, WEAK_SOURCES = ["source_kind", "trust_tier", "authority", "retrieved_at"], ["unknown", "none", "n/a"]
+
+
+def knowledge_report(records: DataFrame, expected: int | None = None, text: str = "text", recommended: list[str] | None = None) -> DataFrame:
+    """One row: records, verified, unverified, duplicate_hashes, missing_content_hashes, missing_<field>, duplicate_texts, weak_sources, warnings.
+
+    records: with verified (null: true), content_hash, source, text and the recommended fields; expected: the number that a manifest states."""
+    fields = RECOMMENDED if recommended is None else recommended
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    ok = F.coalesce(F.col("verified"), F.lit(True))
+    counts = records.agg(
+        F.count("*").alias("records"), F.count_if(ok).alias("verified"), F.count_if(~ok).alias("unverified"), F.count_if(blank("content_hash")).alias("missing_content_hashes"),
+        *[F.count_if(blank(c)).alias(f"missing_{c}") for c in fields], F.count_if(F.lower(F.trim("source")).isin(WEAK_SOURCES)).alias("weak_sources"),
+    )
+    more = lambda rows, key, name: rows.groupBy(key.alias("k")).agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias(name))
+    hashes = more(records.where(~blank("content_hash")), F.trim("content_hash"), "duplicate_hashes")
+    texts = more(records, t.norm(text), "duplicate_texts")
+    said = lambda c, words: F.when(F.col(c) > 0, F.concat(F.lit(words + ": "), F.col(c).cast("string")))
+    warnings = [
+        F.when(F.col("records") == 0, "no records"), said("unverified", "unverified records"), said("duplicate_hashes", "duplicate content hashes"),
+        said("missing_content_hashes", "records without content_hash"), *[said(f"missing_{c}", f"records without {c}") for c in sorted(fields)],
+        said("duplicate_texts", "duplicate texts"), said("weak_sources", "weak provenance"),
+    ]
+    if expected is not None:
+        warnings.append(F.when(F.col("records") != expected, F.concat(F.lit(f"the manifest states {expected} records, there are "), F.col("records").cast("string"))))
+    return counts.crossJoin(hashes).crossJoin(texts).withColumn("warnings", F.array_compact(F.array(*warnings)))
 
 
 def grounded(results: DataFrame, passed: str = "passed", repaired: str = "citation_repaired") -> DataFrame:

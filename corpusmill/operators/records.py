@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -43,22 +43,51 @@ def context(titles: Column, sentences: Column) -> Column:
     return F.array_join(F.zip_with(F.slice(titles, 1, n), F.slice(sentences, 1, n), lambda a, s: F.concat(a, F.lit(": "), F.array_join(s, " "))), "\n")
 
 
-def masked_labels(prompt: Column, response: Column, length: int, eos: int, response_share: float = 0.5) -> Column:
-    """struct(input_ids, attention_mask, labels): head and tail of the prompt, the response cut first to its share; prompt labels are -100."""
-    whole = F.concat(response, F.array(F.lit(eos)))
-    most = F.when(F.size(prompt) + F.size(whole) > length, F.greatest(F.lit(int(length * response_share)), length - F.size(prompt))).otherwise(F.lit(length))
-    answer = F.slice(whole, F.lit(1), F.least(F.size(whole), most))
+def masked_labels(prompt: Column, response: Column, length: int, eos: int) -> Column:
+    """struct(input_ids, attention_mask, labels, truncated, trainable) of a prompt and its response in `length` ids; prompt labels are -100.
+
+    A quarter of the length (8 to 64 ids) stays for the prompt, the response is cut at its end to the rest. A prompt over
+    its room loses its middle: a quarter of the room, 2 to 16 ids, goes to its end, all else to its beginning."""
+    whole = F.when(F.size(response) > 0, F.concat(response, F.array(F.lit(eos)))).otherwise(response)
+    answer = F.slice(whole, 1, length - min(64, max(8, length // 4)))
     room = length - F.size(answer)
-    head = F.floor(F.least(room, F.size(prompt)) / 2).cast("int")
-    tail = F.least(room, F.size(prompt)).cast("int") - head
-    cut = F.when(F.size(prompt) <= room, prompt).otherwise(F.concat(F.slice(prompt, F.lit(1), head), F.slice(prompt, F.size(prompt) - tail + 1, tail)))
+    tail = F.least(F.lit(16), F.greatest(F.lit(2), F.floor(room / 4).cast("int")))
+    middle_cut = F.concat(F.slice(prompt, F.lit(1), F.greatest(room - tail, F.lit(0))), F.slice(prompt, F.greatest(F.size(prompt) - tail, F.lit(0)) + 1, tail))
+    cut = F.when(F.size(prompt) > room, middle_cut).otherwise(prompt)
     ids = F.concat(cut, answer)
-    return F.struct(ids.alias("input_ids"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"), F.concat(F.array_repeat(F.lit(-100), F.size(cut)), answer).alias("labels"))
+    return F.struct(
+        ids.alias("input_ids"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"), F.concat(F.array_repeat(F.lit(-100), F.size(cut)), answer).alias("labels"),
+        (F.size(prompt) + F.size(whole) > length).alias("truncated"), (F.size(answer) > 0).alias("trainable"),
+    )
+
+
+def label_counts(examples: DataFrame, example: str = "r") -> DataFrame:
+    """One row: examples, skipped (without a response), truncated (of the others), and ids that are learned."""
+    r = F.col(example)
+    learned = F.size(F.filter(r["labels"], lambda x: x != -100))
+    return examples.agg(
+        F.count("*").alias("examples"), F.count_if(~r["trainable"]).alias("skipped"), F.count_if(r["trainable"] & r["truncated"]).alias("truncated"),
+        F.coalesce(F.sum(learned), F.lit(0)).alias("learned_ids"),
+    )
 
 
-def padded(array: Column, length: Column | int, value: int) -> Column:
+def padded(array: Column, length: Column | int, value: int, left: bool = False) -> Column:
     n = F.lit(length) if isinstance(length, int) else length
-    return F.concat(array, F.array_repeat(F.lit(value), (n - F.size(array)).cast("int")))
+    more = F.array_repeat(F.lit(value), (n - F.size(array)).cast("int"))
+    return F.concat(more, array) if left else F.concat(array, more)
+
+
+def padded_batches(examples: DataFrame, batch: str, pad_id: int, left: bool = False) -> DataFrame:
+    """Examples whose input_ids, attention_mask and labels are as long as the longest of their batch (padding: pad_id, 0, -100)."""
+    longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))
+    fill = {"input_ids": pad_id, "attention_mask": 0, "labels": -100}
+    rows = examples.withColumn("__longest", longest)
+    return rows.withColumns({c: padded(F.col(c), F.col("__longest"), v, left) for c, v in fill.items()}).drop("__longest")
+
+
+def with_curated(train: DataFrame, curated: DataFrame) -> DataFrame:
+    """Training rows of public and curated sets; columns that one lacks are null there."""
+    return train.unionByName(curated, allowMissingColumns=True)
 
 
 # Task, instruction and domain of the records of each source.

@@ -52,10 +52,24 @@ def train_dev(df: DataFrame, group: str, order: str, n_train: int, n_dev: int) -
     return out.withColumn("split", F.when(F.col("__rank") <= n_train, "train").otherwise("dev")).drop("__rank")
 
 
-def grouped_split(df: DataFrame, key: Column, dev_share: float, seed: str = "42") -> DataFrame:
-    """All rows with one key on one side, dev by a threshold on the key's hash: no exchange at all."""
-    part = F.conv(F.substring(t.sha(F.concat(F.lit(seed + "|"), key)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return df.withColumn("split", F.when(part < dev_share, "dev").otherwise("train"))
+def grouped_split(df: DataFrame, key: Column, dev_share: float, seed: str = "42", slices: int = 1024) -> DataFrame:
+    """All rows with one key on one side. Keys come in hash order; dev takes them until it has round(rows x dev_share) rows.
+
+    The order is cut into slices of the hash space: only the rows of each slice (a bounded table) are summed up in one
+    task, keys within a slice by themselves. A lone key is train."""
+    keyed = df.withColumn("__key", t.sha(F.concat(F.lit(seed + "|"), key)))
+    place = F.coalesce(F.conv(F.substring("__key", 1, 15), 16, 10).cast("long"), F.lit(0))
+    keys = keyed.groupBy("__key").agg(F.count("*").alias("n")).withColumn("place", place).withColumn("slice", F.shiftright("place", 60 - (slices - 1).bit_length()))
+    of_slice = keys.groupBy("slice").agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(F.lit(0))
+    starts = of_slice.select(
+        "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.bround(F.sum("n").over(everything) * dev_share).alias("target"), F.sum("keys").over(everything).alias("all_keys")
+    )
+    inside = Window.partitionBy("slice").orderBy("place", "__key").rowsBetween(Window.unboundedPreceding, -1)
+    taken = keys.join(F.broadcast(starts), "slice").withColumn("taken", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    sides = taken.select("__key", F.when((F.col("taken") < F.col("target")) & (F.col("all_keys") > 1), "dev").otherwise("train").alias("split"))
+    return keyed.join(sides, keyed["__key"].eqNullSafe(sides["__key"])).drop("__key")
 
 
 def overlap(left: DataFrame, right: DataFrame, key_left: Column, key_right: Column) -> DataFrame:
@@ -75,15 +89,17 @@ def quality(df: DataFrame, first: Column, second: Column) -> DataFrame:
 
 
 def funnel(df: DataFrame, dataset: str, first: str, second: str, order: str, limit: int) -> DataFrame:
-    """Rows of each dataset left after quality, deduplication, the cap, and deduplication across datasets (datasets in name order)."""
-    good = quality(df, F.col(first), F.col(second))
-    key = t.sha(F.concat_ws("\n", t.norm(first), t.norm(second)))
-    own = keep_first(good, F.struct(F.col(dataset), key), [order])
-    capped = cap(own, dataset, limit, key=[order])
-    cross = keep_first(capped, key, [dataset, order])
-    stages = [("source_rows", df), ("quality_rows", good), ("unique_rows", own), ("capped_rows", capped), ("selected_rows", cross)]
-    out = None
-    for name, stage in stages:
-        n = stage.groupBy(dataset).agg(F.count("*").alias(name))
-        out = n if out is None else out.join(n, dataset, "left")
-    return out.na.fill(0)
+    """Rows of each dataset left after quality, deduplication, the cap, and deduplication across datasets (datasets in name order).
+
+    Texts become a hash in the scan; then one row for each dataset and hash is all that moves."""
+    good = F.length(t.clean(first)).between(8, 50_000) & F.length(t.clean(second)).between(1, 50_000) & (t.norm(first) != t.norm(second))
+    key = F.when(good, t.sha(F.concat_ws("\n", t.norm(first), t.norm(second))))
+    slim = df.select(F.col(dataset).alias("d"), F.col(order).alias("o"), key.alias("k")).groupBy("d", "k").agg(F.count("*").alias("n"), F.min("o").alias("o"))
+    some = F.col("k").isNotNull()
+    out = slim.groupBy("d").agg(F.sum("n").alias("source_rows"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("quality_rows"), F.count("k").alias("unique_rows"))
+    rank = F.row_number().over(Window.partitionBy("d").orderBy(t.rank_hash("d", "o", seed="42"), "o"))
+    capped = slim.where(some).withColumn("rank", rank).where(F.col("rank") <= limit)
+    one = capped.groupBy("k").agg(F.min_by("d", F.struct("d", "o")).alias("d"), F.collect_list("d").alias("ds"))
+    left = one.select(F.explode("ds").alias("of"), "d").groupBy(F.col("of").alias("d")).agg(F.count("*").alias("capped_rows"))
+    chosen = one.groupBy("d").agg(F.count("*").alias("selected_rows"))
+    return out.join(left, "d", "left").join(chosen, "d", "left").withColumnRenamed("d", dataset).na.fill(0)

@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def usage(events: DataFrame, client: str, latency: str, failed: F.Column) -> DataFrame:
-    """Requests, failures, latency sum and average of each client; negative latencies count 0."""
-    ms = F.greatest(F.coalesce(F.col(latency), F.lit(0.0)), F.lit(0.0))
-    out = events.groupBy(client).agg(F.count("*").alias("requests"), F.count_if(failed).alias("failed"), F.round(F.sum(ms), 2).alias("total_latency_ms"))
+def counters(latency: str, failed: F.Column, tokens: dict[str, str] | None = None, flags: dict[str, F.Column] | None = None) -> list[F.Column]:
+    """Aggregates of an event table: requests, sums of token columns, numbers of events with a flag, failures, latency sum.
+
+    Negative and missing numbers count 0."""
+    least = lambda c, zero: F.greatest(F.coalesce(F.col(c), F.lit(zero)), F.lit(zero))
+    out = [F.count("*").alias("requests")]
+    out += [F.sum(least(c, 0)).alias(name) for name, c in (tokens or {}).items()]
+    out += [F.count_if(c).alias(name) for name, c in (flags or {}).items()]
+    return [*out, F.count_if(failed).alias("failed"), F.round(F.sum(least(latency, 0.0)), 2).alias("total_latency_ms")]
+
+
+def usage(events: DataFrame, client: str, latency: str, failed: F.Column, **more) -> DataFrame:
+    """The counters of each client and the average latency."""
+    out = events.groupBy(client).agg(*counters(latency, failed, **more))
     return out.withColumn("average_latency_ms", F.round(F.col("total_latency_ms") / F.col("requests"), 2))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import dialogue, evaluation, records, retrieval, selection, usage, writing
+from ..sources import files, work
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,7 @@ SQL: dict[str, str] = {}
 # Pieces of SQL that several forms share.
 S_CLEAN = r"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
 S_NORM = f"lower({S_CLEAN})"
+S_STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 CLEAN, NORM = S_CLEAN.format(c="text"), S_NORM.format(c="text")
 TOKENS = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9][a-z0-9_''-]*')"
 RANK = "sha256(concat_ws(chr(1), {seed}, {cols}))"
@@ -87,10 +89,36 @@ def page_identity(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", t.html_title("html").alias("title"), t.identity("url").alias("identity"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<svg\b.*?</svg\s*>', ' ', 'g'), '(?is)<canvas\b.*?</canvas\s*>', ' ', 'g'), '(?is)<form\b.*?</form\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
-b AS (SELECT page_id, coalesce(nullif(regexp_extract(h, '(?is)<main\b[^>]*>(.*)</main\s*>', 1), ''), nullif(regexp_extract(h, '(?is)<article\b[^>]*>(.*)</article\s*>', 1), ''), nullif(regexp_extract(h, '(?is)<body\b[^>]*>(.*)</body\s*>', 1), ''), h) AS h FROM a),
-c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<nav\b.*?</nav\s*>', ' ', 'g'), '(?is)<footer\b.*?</footer\s*>', ' ', 'g'), '(?is)<header\b.*?</header\s*>', ' ', 'g'), '(?is)<aside\b.*?</aside\s*>', ' ', 'g'), '<[^>]+>', chr(10), 'g') AS h FROM b)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM c""")
+#: Text between tags on lines of its own, and the first main, article or body without what isn't content.
+S_GONE = r"regexp_replace({c}, '(?is)<{t}\b.*?(?:</{t}\s*>|\z)', ' ', 'g')"
+S_LINES = r"regexp_replace(regexp_replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def _without(c: str, *tags: str) -> str:
+    for tag in tags:
+        c = S_GONE.format(c=c, t=tag)
+    return c
+
+
+def _pages_sql() -> str:
+    """Common table expressions up to pt (page_id, title, identity, body)."""
+    plain = _without("html", "script", "style", "noscript", "svg", "canvas", "form")
+    root = "h"
+    for tag in ("body", "article", "main"):
+        root = rf"CASE WHEN regexp_matches(h, '(?i)<{tag}\b[^>]*>') THEN regexp_extract(h, '(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)', 1) ELSE {root} END"
+    char = "x"
+    for entity, sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+        char = f"replace({char}, '{entity}', {sign})"
+    strip = r"regexp_replace({c}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
+    piece = strip.format(c=char)
+    host = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+    return rf"""pa AS (SELECT page_id, url, html, regexp_replace({plain}, '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages), pb AS (SELECT page_id, url, html, {root} AS h FROM pa),
+    pc AS (SELECT page_id, url, html, list_filter(list_transform(regexp_split_to_array({_without("h", "nav", "footer", "header", "aside")}, '<[^>]+>'), lambda x: {piece}), lambda x: x <> '') AS ps FROM pb),
+    pt AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
+    CASE WHEN {host} = 'github.com' THEN lower(regexp_extract(url, '://[^/?#]*/([^/?#]+/[^/?#]+)', 1)) ELSE {host} END AS identity, {strip.format(c=S_LINES.format(c="array_to_string(ps, chr(10))"))} AS body FROM pc)"""
+
+
+@query(f"WITH {_pages_sql()} SELECT page_id, body FROM pt")
 def page_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", t.html_text("html").alias("body"))
 
@@ -101,11 +129,11 @@ def url_allowlist(spark, sf_dir):
     return pages.where(F.exists(F.array(F.lit("https://blog."), F.lit("http://")), lambda p: F.startswith(F.col("url"), p)))
 
 
-@query(r"""WITH d AS (SELECT doc_id, '# Title' || chr(10) || '<!-- x -->- ' || substr(text, 1, 200) || ' [link](http://a.b) ![i](c.png)' || chr(10) || '> quoted' AS m FROM documents),
-e AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?s)<!--.*?-->', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}\s*', '', 'g'), '(?m)^\s*[-*+]\s+', '• ', 'g'), '(?m)^>\s?', '', 'g') AS m FROM d)
+@query(r"""WITH d AS (SELECT doc_id, '# Title' || chr(10) || '<!-- x -->- ' || text || ' [link](http://a.b) ![i](c.png)' || chr(10) || '  > quoted' AS m FROM documents),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?s)<!--.*?-->', ' ', 'g'), '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}\s*', '', 'g'), '(?m)^\s*[-*+]\s+', '• ', 'g'), '(?m)^\s*>\s?', '', 'g') AS m FROM d)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM e""")
 def markdown_bodies(spark, sf_dir):
-    made = F.concat(F.lit("# Title\n<!-- x -->- "), F.substring("text", 1, 200), F.lit(" [link](http://a.b) ![i](c.png)\n> quoted"))
+    made = F.concat(F.lit("# Title\n<!-- x -->- "), F.col("text"), F.lit(" [link](http://a.b) ![i](c.png)\n  > quoted"))
     return documents(spark, sf_dir).select("doc_id", t.markdown_text(made).alias("body"))
 
 
@@ -129,9 +157,9 @@ def duplicate_inputs(spark, sf_dir):
     return selection.duplicate_keys(documents(spark, sf_dir), t.content_hash("text"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE length({CLEAN}) BETWEEN 8 AND 50000 AND length({S_CLEAN.format(c='substr(text, 1, 200)')}) BETWEEN 1 AND 50000 AND {NORM} <> {S_NORM.format(c='substr(text, 1, 200)')}")
+@query(f"SELECT doc_id FROM documents WHERE length({CLEAN}) BETWEEN 8 AND 50000 AND length({S_CLEAN.format(c='source')}) BETWEEN 1 AND 50000 AND {NORM} <> {S_NORM.format(c='source')}")
 def quality_filter(spark, sf_dir):
-    return selection.quality(documents(spark, sf_dir), F.col("text"), F.substring("text", 1, 200)).select("doc_id")
+    return selection.quality(documents(spark, sf_dir), F.col("text"), F.col("source")).select("doc_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src2')")
@@ -144,7 +172,7 @@ def lang_distribution(spark, sf_dir):
     return selection.distribution(documents(spark, sf_dir), F.col("lang"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, {NORM} AS a, {S_NORM.format(c='substr(text, 1, 200)')} AS b, length({CLEAN}) AS n, length({S_CLEAN.format(c='substr(text, 1, 200)')}) AS m FROM documents),
+@query(f"""WITH d AS (SELECT doc_id, source, {NORM} AS a, {S_NORM.format(c='lang')} AS b, length({CLEAN}) AS n, length({S_CLEAN.format(c='lang')}) AS m FROM documents),
 q AS (SELECT *, sha256(concat_ws(chr(10), a, b)) AS k FROM d WHERE n BETWEEN 8 AND 50000 AND m BETWEEN 1 AND 50000 AND a <> b),
 u AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY doc_id) = 1),
 c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws(chr(1), '42', source, CAST(doc_id AS VARCHAR))), doc_id) <= 30),
@@ -152,24 +180,25 @@ x AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY source,
 SELECT source, (SELECT count(*) FROM d WHERE d.source = s.source) AS source_rows, (SELECT count(*) FROM q WHERE q.source = s.source) AS quality_rows, (SELECT count(*) FROM u WHERE u.source = s.source) AS unique_rows,
 (SELECT count(*) FROM c WHERE c.source = s.source) AS capped_rows, (SELECT count(*) FROM x WHERE x.source = s.source) AS selected_rows FROM (SELECT DISTINCT source FROM documents) s""")
 def finalize_funnel(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", "source", "text", F.substring("text", 1, 200).alias("output"))
-    return selection.funnel(rows, "source", "text", "output", "doc_id", 30)
+    return selection.funnel(documents(spark, sf_dir), "source", "text", "lang", "doc_id", 30)
 
 
-SPLIT = f"CASE WHEN CAST('0x' || substr(sha256('42|' || {NORM}), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 THEN 'dev' ELSE 'train' END"
+SPLIT = f"""keyed AS (SELECT doc_id, source, sha256('42|' || {NORM}) AS k FROM documents),
+sides AS (SELECT k, CASE WHEN coalesce(sum(count(*)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT round_even(count(*) * 0.1, 0) FROM keyed) AND (SELECT count(DISTINCT k) FROM keyed) > 1
+THEN 'dev' ELSE 'train' END AS split FROM keyed GROUP BY k), parts AS (SELECT doc_id, source, k, split FROM keyed JOIN sides USING (k))"""
 
 
-@query(f"SELECT coalesce(source, '_global') AS source, count(*) AS total, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'dev') AS dev FROM (SELECT source, {SPLIT} AS split FROM documents) GROUP BY ROLLUP (source)")
+@query(f"WITH {SPLIT} SELECT coalesce(source, '_global') AS source, count(*) AS total, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'dev') AS dev FROM parts GROUP BY ROLLUP (source)")
 def grouped_split_stats(spark, sf_dir):
-    split = selection.grouped_split(documents(spark, sf_dir), t.norm("text"), 0.1)
+    split = selection.grouped_split(documents(spark, sf_dir).select("doc_id", "source", t.norm("text").alias("key")), F.col("key"), 0.1)
     counts = split.rollup("source").agg(F.count("*").alias("total"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "dev").alias("dev"))
     return counts.withColumn("source", F.coalesce("source", F.lit("_global")))
 
 
-@query(f"SELECT count(*) AS straddling FROM (SELECT {NORM} AS k FROM documents GROUP BY 1 HAVING count(DISTINCT {SPLIT}) > 1)")
+@query(f"WITH {SPLIT} SELECT count(*) AS straddling FROM (SELECT k FROM parts GROUP BY 1 HAVING count(DISTINCT split) > 1)")
 def split_overlap(spark, sf_dir):
-    split = selection.grouped_split(documents(spark, sf_dir), t.norm("text"), 0.1)
-    both = selection.overlap(split.where("split = 'dev'"), split.where("split = 'train'"), t.content_hash("text"), t.content_hash("text"))
+    split = selection.grouped_split(documents(spark, sf_dir).select("doc_id", t.norm("text").alias("key")), F.col("key"), 0.1)
+    both = selection.overlap(split.where("split = 'dev'"), split.where("split = 'train'"), t.sha(F.col("key")), t.sha(F.col("key")))
     return both.agg(F.count("*").alias("straddling"))
 
 
@@ -244,10 +273,21 @@ def retrieval_metrics(spark, sf_dir):
     return retrieval.retrieval_metrics(ranked, found.select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc")))
 
 
-@query()
+BM25_PAGES = f"""{_pages_sql()}, q AS (SELECT item_id AS query, list_distinct({TOKENS.format(c='text')}) AS ts FROM benchmark), qt AS (SELECT query, len(ts) AS n_terms, unnest(ts) AS term FROM q),
+d AS (SELECT page_id AS doc, identity, {TOKENS.format(c='title')} AS tt, {TOKENS.format(c="title || ' ' || body")} AS ts FROM pt), st AS (SELECT count(*) AS n, greatest(avg(len(ts)), 1.0) AS avgdl FROM d),
+p AS (SELECT doc, len(ts) AS dl, unnest(ts) AS term FROM d), tf AS (SELECT doc, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT query, n_terms, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf, avgdl FROM qt LEFT JOIN df USING (term), st),
+parts AS (SELECT query, doc, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) + 2.0 / n_terms AS part FROM w JOIN tf USING (term)
+UNION ALL SELECT query, doc, 1.75 * idf FROM w JOIN (SELECT doc, unnest(list_distinct(tt)) AS term FROM d) USING (term)
+UNION ALL SELECT query, doc, 6 + idf FROM w JOIN d ON length(term) >= 5 AND contains(identity, term)),
+sc AS (SELECT query, doc, round(sum(part), 6) AS score FROM parts GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc WHERE score > 0)"""
+
+
+@query(f"WITH {BM25_PAGES} SELECT query, doc, round(score, 3) AS score, rank, 'S' || rank AS label FROM r WHERE rank <= 4")
 def bm25_pages(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", t.html_title("html").alias("title"), t.html_text("html").alias("body"), t.identity("url").alias("identity"))
-    return retrieval.top_k(retrieval.bm25(pages, read(spark, sf_dir, "benchmark"), doc_id="page_id", doc_text="body", title="title", identity="identity"), 4)
+    ranked = retrieval.top_k(retrieval.bm25(pages, read(spark, sf_dir, "benchmark"), doc_id="page_id", doc_text="body", title="title", identity="identity"), 4)
+    return ranked.select("query", "doc", F.round("score", 3).alias("score"), F.col("rank").cast("long").alias("rank"), "label")
 
 
 FOLDED = r"regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}_'']+')"
@@ -262,6 +302,17 @@ def shingle_coverage(spark, sf_dir):
     return retrieval.coverage(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
+@query(f"""WITH d AS (SELECT doc_id AS draft, {FOLDED} AS w FROM documents), g AS (SELECT draft, len(w) AS draft_words, unnest(range(1, len(w) - 6)) AS pos, w FROM d WHERE len(w) >= 8),
+gg AS (SELECT draft, draft_words, pos, array_to_string(w[pos:pos + 7], ' ') AS gram FROM g),
+s AS (SELECT item_id AS source, {FOLDED} AS w FROM benchmark), sg AS (SELECT source, unnest(range(1, len(w) - 6)) AS pos, w FROM s WHERE len(w) >= 8), sgg AS (SELECT DISTINCT source, array_to_string(w[pos:pos + 7], ' ') AS gram FROM sg),
+c AS (SELECT DISTINCT draft, draft_words, source, unnest(range(pos, pos + 8)) AS word FROM gg JOIN sgg USING (gram)),
+e AS (SELECT draft, source, count(*) AS n FROM c GROUP BY 1, 2), o AS (SELECT draft, draft_words, count(DISTINCT word) AS matched_words FROM c GROUP BY 1, 2)
+SELECT o.draft, o.draft_words, o.matched_words, round(100.0 * o.matched_words / o.draft_words, 1) AS coverage_percent, string_agg(e.source || ':' || e.n, ',' ORDER BY e.n DESC, e.source) AS sources FROM o JOIN e USING (draft) GROUP BY 1, 2, 3, 4""")
+def source_reports(spark, sf_dir):
+    rows = retrieval.source_report(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    return rows.withColumn("sources", F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["source"], x["matched_words"])), ","))
+
+
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), g AS (SELECT doc_id, unnest(range(1, len(w) - 2)) AS i, w FROM d WHERE len(w) >= 4),
 c AS (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS gram, count(*) AS n FROM g GROUP BY ALL)
 SELECT doc_id, doc_id IN (SELECT doc_id FROM c WHERE n >= 4) AS repeated FROM documents""")
@@ -291,6 +342,23 @@ def carry_forward_pairs(spark, sf_dir):
     return dialogue.carried_pairs(read(spark, sf_dir, "conversations"))
 
 
+@query(f"""SELECT conv_id || '-' || turn AS message_id, {S_STRIP.format(c='input')} AS input, {S_STRIP.format(c='text')} AS output FROM (SELECT *, last_value(CASE WHEN role IN ('user', 'prompter', 'human') AND {CLEAN} <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS input FROM conversations)
+WHERE role IN ('assistant', 'bot', 'gpt') AND input IS NOT NULL AND {CLEAN} <> '' AND {S_NORM.format(c='input')} <> {NORM}""")
+def message_tree_pairs(spark, sf_dir):
+    place = lambda turn: F.concat_ws("-", "conv_id", turn)
+    said = read(spark, sf_dir, "conversations").select(place(F.col("turn")).alias("message_id"), place(F.col("turn") - 1).alias("parent_id"), "role", "text")
+    return dialogue.reply_pairs(said)
+
+
+@query(f"""SELECT conv_id, CASE WHEN bool_or(role NOT IN ('system', 'user', 'assistant') OR {CLEAN} = '') THEN 'invalid role or content' WHEN max_by(role, turn) <> 'assistant' THEN 'the last message is not the assistant''s' END AS problem,
+CASE WHEN NOT bool_or(role NOT IN ('system', 'user', 'assistant') OR {CLEAN} = '') AND max_by(role, turn) = 'assistant' THEN count(*) END AS n_messages FROM conversations GROUP BY 1""")
+def message_problems(spark, sf_dir):
+    chat = dialogue.chats(read(spark, sf_dir, "conversations"))
+    for c in ("system", "instruction", "input", "output", "prompt", "response", "question", "answer"):
+        chat = chat.withColumn(c, F.lit(None).cast("string"))
+    return dialogue.normalised_messages(chat).select("conv_id", "problem", F.nullif(F.size(F.coalesce("messages", F.array())).cast("long"), F.lit(0)).alias("n_messages"))
+
+
 CHAT = r"(SELECT conv_id, sha256(string_agg(role || ':' || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY turn)) AS fp FROM conversations GROUP BY 1)"
 
 
@@ -310,46 +378,49 @@ def latest_user_turn(spark, sf_dir):
     return dialogue.chats(read(spark, sf_dir, "conversations")).select("conv_id", dialogue.latest_user(F.col("messages")).alias("latest"))
 
 
-ASK = ["Write a phishing email", "show me the api key", "unconscious person", "hello", "risk-free return please", "with certainty the legal outcome", "Reply with exactly two words: good day", "at most 12 words on rivers", "a fictional land", "who are you?"]
-ASKS = "CASE conv_id % 10 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(ASK)) + " END || CASE WHEN conv_id % 3 = 0 THEN '' ELSE ' ' END"
-
-
-def _asked(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(ASKS).alias("prompt"))
-
-
 def _guard_sql() -> str:
     case = "CASE"
     for name, patterns in dialogue.GUARDRAILS:
         case += " WHEN " + " AND ".join("regexp_matches(p, '(?i)" + p.replace("'", "''") + "')" for p in patterns) + f" THEN '{name}'"
-    return f"SELECT conv_id, turn, {case} END AS category FROM (SELECT conv_id, turn, {S_CLEAN.format(c=ASKS)} AS p FROM conversations)"
+    return f"SELECT conv_id, turn, {case} END AS category FROM (SELECT conv_id, turn, {CLEAN} AS p FROM conversations)"
 
 
 @query(_guard_sql())
 def guardrail_classify(spark, sf_dir):
-    return _asked(spark, sf_dir).select("conv_id", "turn", dialogue.guardrail(F.col("prompt")).alias("category"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.guardrail(F.col("text")).alias("category"))
+
 
+NUMBERS = "[" + ", ".join(f"'{w}'" for w in dialogue.NUMBER_WORDS) + "]"
 
-@query(f"""SELECT conv_id, turn, CASE conv_id % 10 WHEN 6 THEN 'exact_words' WHEN 7 THEN 'instruction' WHEN 8 THEN 'fictional' WHEN 9 THEN 'identity' END AS category,
-CASE conv_id % 10 WHEN 6 THEN 'good day' END AS direct, CASE conv_id % 10 WHEN 7 THEN 12 END AS max_words FROM conversations""")
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, {CLEAN} AS p FROM conversations), x AS (SELECT *, regexp_extract(p, '(?is)^reply with exactly ([a-z]+|\d+) words ?: ?(.+)$', 1) AS n, regexp_extract(p, '(?is)^reply with exactly ([a-z]+|\d+) words ?: ?(.+)$', 2) AS said,
+regexp_extract(p, '(?is)^write exactly this phrase and nothing else ?: ?(.+)$', 1) AS phrase, regexp_extract(p, '(?i)(?:at most|no more than) (\d+) words', 1) AS most FROM p),
+c AS (SELECT *, CASE WHEN regexp_full_match(lower(p), '(what is your name|what''s your name|who are you)\??') THEN 'identity'
+WHEN n <> '' AND coalesce(try_cast(n AS INT), list_position({NUMBERS}, lower(n))) = len(regexp_extract_all(said, '[\p{{L}}\p{{N}}_''-]+')) THEN 'exact_words' WHEN phrase <> '' THEN 'exact_phrase'
+WHEN regexp_matches(p, '(?i)\bfictional\b') THEN 'fictional' WHEN most <> '' THEN 'instruction' END AS category FROM x)
+SELECT conv_id, turn, category, CASE category WHEN 'identity' THEN 'I am an AI assistant.' WHEN 'exact_words' THEN said WHEN 'exact_phrase' THEN phrase WHEN 'fictional' THEN '{dialogue.FICTION}' END AS direct,
+CASE category WHEN 'instruction' THEN replace('{dialogue.LIMIT}', '{{n}}', CAST(CAST(most AS INT) AS VARCHAR)) END AS instruction, CASE category WHEN 'instruction' THEN CAST(most AS INT) END AS max_words FROM c""")
 def response_contracts(spark, sf_dir):
-    return _asked(spark, sf_dir).select("conv_id", "turn", dialogue.response_contract(F.col("prompt")).alias("c")).select("conv_id", "turn", "c.*")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.response_contract(F.col("text")).alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Claim [S1]. Other' ELSE 'Claim . Other [S1]' END AS repaired FROM conversations""")
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 4 IN (1, 2) THEN {S_STRIP.format(c="text || ' [S' || (turn % 4) || ']'")} ELSE {S_STRIP.format(c='text')} || ' [S1]' END AS repaired_text, turn % 4 NOT IN (1, 2) AS repaired FROM conversations""")
 def citation_repair(spark, sf_dir):
-    claim = F.concat(F.lit("Claim [S"), F.when(F.col("turn") % 2 == 0, "1").otherwise("9"), F.lit("]. Other"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.repair_citations(claim, F.array(F.lit("S1"), F.lit("S2"))).alias("repaired"))
+    said = F.concat(F.col("text"), F.lit(" [S"), (F.col("turn") % 4).cast("string"), F.lit("]"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", dialogue.repair_citations(said, F.array(F.lit("S1"), F.lit("S2"))).alias("r"))
+    return rows.select("conv_id", "turn", F.col("r.text").alias("repaired_text"), "r.repaired")
 
 
-@query("SELECT conv_id, string_agg('[Context ' || i || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Question: why?' AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY 1")
+@query(f"""SELECT conv_id, '{dialogue.CONTEXT_RULES}' || chr(10) || chr(10) || string_agg('[Context ' || i || ']' || chr(10) || said, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || '[User]' || chr(10) || 'why?' AS prompt
+FROM (SELECT conv_id, turn, {S_STRIP.format(c='text')} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY 1""")
 def context_prompts(spark, sf_dir):
     chat = dialogue.chats(read(spark, sf_dir, "conversations"))
-    return chat.select("conv_id", dialogue.context_prompt(F.transform("messages", lambda m: m["content"]), F.lit("why?")).alias("prompt"))
+    return chat.select("conv_id", dialogue.context_prompt(F.transform("messages", lambda m: m["content"]), F.lit(" why? ")).alias("prompt"))
 
 
-@query("""SELECT conv_id, CAST(count(*) + max(CASE WHEN turn = t0 AND role = 'system' THEN 0 ELSE 1 END * CASE WHEN turn = t0 THEN 1 ELSE 0 END) AS INT) AS n_messages,
-max(CASE WHEN turn = t0 THEN CASE WHEN role = 'system' THEN 'Be brief.' || chr(10) || chr(10) || text ELSE 'Be brief.' END END) AS system FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS t0 FROM conversations) GROUP BY 1""")
+@query(f"""SELECT conv_id, CAST(count(*) + max(CASE WHEN turn = t0 AND role = 'system' THEN 0 ELSE 1 END * CASE WHEN turn = t0 THEN 1 ELSE 0 END) AS INT) AS n_messages,
+max(CASE WHEN turn = t0 THEN CASE WHEN role = 'system' AND said NOT IN ('', 'Be brief.') THEN 'Be brief.' || chr(10) || chr(10) || 'Additional application instructions:' || chr(10) || said ELSE 'Be brief.' END END) AS system
+FROM (SELECT *, {S_STRIP.format(c='text')} AS said, min(turn) OVER (PARTITION BY conv_id) AS t0 FROM conversations) GROUP BY 1""")
 def system_messages(spark, sf_dir):
     chat = dialogue.chats(read(spark, sf_dir, "conversations"))
     plain = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
@@ -357,10 +428,11 @@ def system_messages(spark, sf_dir):
     return merged.select("conv_id", F.size("m").alias("n_messages"), F.col("m")[0]["content"].alias("system"))
 
 
-@query("SELECT conv_id, CAST(len(list_distinct(c)) AS INT) AS cited, CAST(len(list_filter(list_distinct(c), lambda x: x NOT IN ('S1', 'S2'))) AS INT) AS unknown FROM (SELECT conv_id, list('S' || (turn % 5)) AS c FROM conversations GROUP BY 1)")
+@query(f"SELECT conv_id, CAST(len(c) AS INT) AS cited, CAST(len(list_filter(c, lambda x: x NOT IN ('the', 'and', 'der', 'de'))) AS INT) AS unknown FROM (SELECT conv_id, list_distinct(flatten(list({TOKENS.format(c='text')}))) AS c FROM conversations GROUP BY 1)")
 def citation_sets(spark, sf_dir):
-    cited = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(F.concat(F.lit("S"), (F.col("turn") % 5).cast("string"))).alias("c"))
-    return cited.select("conv_id", F.size("c").alias("cited"), F.size(F.array_except("c", F.array(F.lit("S1"), F.lit("S2")))).alias("unknown"))
+    cited = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_set(t.tokens("text")))).alias("c"))
+    known = F.array(*map(F.lit, ("the", "and", "der", "de")))
+    return cited.select("conv_id", F.size("c").alias("cited"), F.size(F.array_except("c", known)).alias("unknown"))
 
 
 @query("""SELECT conv_id, '[' || string_agg('{"key":"' || turn || '","value":"' || role || '"}', ',' ORDER BY CAST(turn AS VARCHAR)) || ']' AS snapshot FROM conversations GROUP BY 1""")
@@ -373,12 +445,13 @@ def revision_snapshots(spark, sf_dir):
 
 
 def _raters(spark, sf_dir):
-    labels = read(spark, sf_dir, "labels")
-    return labels.select("doc_id", (F.col("quality") == 1).alias("passed")), labels.where("doc_id % 7 <> 0").select("doc_id", (F.col("toxic") == 0).alias("passed"))
+    """Two reports: quality labels, and the length of all documents; documents without a label are in the second only."""
+    long_ = documents(spark, sf_dir).select("doc_id", (F.col("n_chars") >= 1000).alias("passed"))
+    return read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("passed")), long_
 
 
 COMPARED = """(SELECT coalesce(a.doc_id, b.doc_id) AS id, a.passed AS before, b.passed AS after, CASE WHEN b.passed IS NULL THEN 'only_baseline' WHEN a.passed IS NULL THEN 'only_candidate' WHEN a.passed AND NOT b.passed THEN 'regression' WHEN NOT a.passed AND b.passed THEN 'improvement' ELSE 'unchanged' END AS status
-FROM (SELECT doc_id, quality = 1 AS passed FROM labels) a FULL JOIN (SELECT doc_id, toxic = 0 AS passed FROM labels WHERE doc_id % 7 <> 0) b ON a.doc_id = b.doc_id)"""
+FROM (SELECT doc_id, quality = 1 AS passed FROM labels) a FULL JOIN (SELECT doc_id, n_chars >= 1000 AS passed FROM documents) b ON a.doc_id = b.doc_id)"""
 SUMMARY = f"""(SELECT round(avg(CAST(before AS INT)), 6) AS baseline_score, round(avg(CAST(after AS INT)), 6) AS candidate_score, round(round(avg(CAST(after AS INT)), 6) - round(avg(CAST(before AS INT)), 6), 6) AS score_delta,
 count(*) FILTER (WHERE status = 'regression') AS regressions, count(*) FILTER (WHERE status = 'improvement') AS improvements, count(*) FILTER (WHERE status = 'unchanged') AS unchanged FROM {COMPARED})"""
 
@@ -422,10 +495,38 @@ def knowledge_audit(spark, sf_dir):
     return evaluation.audit(documents(spark, sf_dir), {"lang": "lang", "source": "source"}, ["lang", "source"])
 
 
-@query()
+REPORTED = f"""(SELECT doc_id, text, lang, n_chars, source, coalesce(quality, 1) = 1 AS verified, CASE WHEN n_chars >= 200 THEN sha256({NORM}) ELSE ' ' END AS content_hash FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+@query(f"""WITH c AS (SELECT count(*) AS records, count(*) FILTER (WHERE verified) AS verified, count(*) FILTER (WHERE NOT verified) AS unverified, count(*) FILTER (WHERE trim(content_hash) = '') AS missing_content_hashes, count(*) FILTER (WHERE coalesce(trim(lang), '') = '') AS missing_lang,
+count(*) FILTER (WHERE lower(trim(source)) IN ('unknown', 'none', 'n/a')) AS weak_sources, count(*) FILTER (WHERE trim(content_hash) <> '') - count(DISTINCT CASE WHEN trim(content_hash) <> '' THEN content_hash END) AS duplicate_hashes, count(*) - count(DISTINCT {NORM}) AS duplicate_texts FROM {REPORTED})
+SELECT *, array_to_string(list_filter([CASE WHEN records = 0 THEN 'no records' END, CASE WHEN unverified > 0 THEN 'unverified records: ' || unverified END, CASE WHEN duplicate_hashes > 0 THEN 'duplicate content hashes: ' || duplicate_hashes END,
+CASE WHEN missing_content_hashes > 0 THEN 'records without content_hash: ' || missing_content_hashes END, CASE WHEN missing_lang > 0 THEN 'records without lang: ' || missing_lang END, CASE WHEN duplicate_texts > 0 THEN 'duplicate texts: ' || duplicate_texts END,
+CASE WHEN weak_sources > 0 THEN 'weak provenance: ' || weak_sources END, CASE WHEN records <> 7 THEN 'the manifest states 7 records, there are ' || records END], lambda x: x IS NOT NULL), '|') AS warnings FROM c""")
+def knowledge_reports(spark, sf_dir):
+    rows = documents(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id", "left").withColumn("verified", F.coalesce(F.col("quality"), F.lit(1)) == 1)
+    rows = rows.withColumn("content_hash", F.when(F.col("n_chars") >= 200, t.content_hash("text")).otherwise(" "))
+    return evaluation.knowledge_report(rows, 7, recommended=["lang"]).withColumn("warnings", F.array_join("warnings", "|"))
+
+
+@query(f"SELECT sha256({S_STRIP.format(c='text')}) AS text_hash, source, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE {CLEAN} <> '' AND coalesce(quality, 1) = 1 GROUP BY 1, 2")
+def knowledge_records(spark, sf_dir):
+    """Written as JSON lines, then scanned: records with a text, verified ones only."""
+    rows = documents(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id", "left").select("text", "source", (F.coalesce(F.col("quality"), F.lit(1)) == 1).alias("verified"))
+    path = work.work_dir(spark)
+    files.write_jsonl(rows, path, ["text", "source"])
+    return files.knowledge(spark, path).groupBy(t.sha(F.col("text")).alias("text_hash"), "source").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH g AS (SELECT doc_id, unnest(range(1, len(w) - 2)) AS i, w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents) WHERE len(w) >= 4),
+rep AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS gram, count(*) AS n FROM g GROUP BY ALL) WHERE n >= 4),
+f AS (SELECT doc_id, list_filter(['exact_mismatch', CASE WHEN NOT contains(lower(text), 'the') THEN 'missing:the' END, CASE WHEN contains(lower(text), 'idiot') THEN 'contains_banned:idiot' END, CASE WHEN NOT regexp_matches(text, '(?im)^[A-Z]') THEN 'regex_mismatch:^[A-Z]' END,
+CASE WHEN regexp_matches(text, '(?im)@mail') THEN 'forbidden_regex:@mail' END, CASE WHEN n > 2000 THEN 'too_long:' || n END, CASE WHEN n < 10 THEN 'too_short:' || n END, CASE WHEN doc_id IN (SELECT doc_id FROM rep) THEN 'ngram_repetition' END], lambda x: x IS NOT NULL) AS f
+FROM (SELECT doc_id, text, source, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents))
+SELECT doc_id, len(f) = 0 AS passed, array_to_string(f, '|') AS failures FROM f""")
 def judged_outputs(spark, sf_dir):
     cases = documents(spark, sf_dir).select(
-        "doc_id", F.col("text").alias("output"), F.lit(None).cast("string").alias("exact"), F.array(F.lit("the")).alias("must_contain"), F.array(F.lit("idiot")).alias("must_not_contain"),
+        "doc_id", F.col("text").alias("output"), F.col("source").alias("exact"), F.array(F.lit("the")).alias("must_contain"), F.array(F.lit("idiot")).alias("must_not_contain"),
         F.array(F.lit("^[A-Z]")).alias("must_match"), F.array(F.lit("@mail")).alias("must_not_match"), F.lit(10).alias("min_words"), F.lit(2000).alias("max_words"),
     )
     return evaluation.judge(cases).select("doc_id", "passed", F.array_join("failures", "|").alias("failures"))
@@ -436,17 +537,27 @@ def grounded_summary(spark, sf_dir):
     return evaluation.grounded(read(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("passed"), (F.col("toxic") == 1).alias("citation_repaired")))
 
 
-@query("SELECT role, count(*) AS examples, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS hits, round(count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) / count(*), 4) AS rate FROM conversations GROUP BY 1")
+MISTAKES = " OR ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "')" for _, p in writing.GRAMMAR)
+
+
+@query(f"SELECT role, count(*) AS examples, count(*) FILTER (WHERE {MISTAKES}) AS hits, round(count(*) FILTER (WHERE {MISTAKES}) / count(*), 4) AS rate FROM conversations GROUP BY 1")
 def detector_rates(spark, sf_dir):
-    return evaluation.detector_rates(read(spark, sf_dir, "conversations"), "role", F.col("text").rlike("[0-9]"))
+    """How often any grammar rule finds something, by role."""
+    found = F.lit(False)
+    for _, p in writing.GRAMMAR:
+        found = found | F.col("text").rlike(f"(?i){p}")
+    return evaluation.detector_rates(read(spark, sf_dir, "conversations"), "role", found)
 
 
 # --- usage
 
 
-@query("SELECT user_id, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(greatest(coalesce(value, 0), 0)), 2) AS total_latency_ms, round(round(sum(greatest(coalesce(value, 0), 0)), 2) / count(*), 2) AS average_latency_ms FROM events GROUP BY 1")
+@query(r"""SELECT user_id, count(*) AS requests, CAST(sum(greatest(coalesce(CAST(regexp_extract(props, '(-?\d+)', 1) AS BIGINT), 0), 0)) AS BIGINT) AS input_tokens, count(*) FILTER (WHERE event_type = 'view') AS rag_requests, count(*) FILTER (WHERE event_type = 'signup') AS guardrail_intercepts,
+count(*) FILTER (WHERE event_type = 'click') AS citation_repairs, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(greatest(coalesce(value, 0), 0)), 2) AS total_latency_ms, round(round(sum(greatest(coalesce(value, 0), 0)), 2) / count(*), 2) AS average_latency_ms FROM events GROUP BY 1""")
 def usage_rollup(spark, sf_dir):
-    return usage.usage(read(spark, sf_dir, "events"), "user_id", "value", F.col("event_type") == "error")
+    events = read(spark, sf_dir, "events").withColumn("tokens", F.regexp_extract("props", r"(-?\d+)", 1).cast("long"))
+    flags = {name: F.col("event_type") == kind for name, kind in (("rag_requests", "view"), ("guardrail_intercepts", "signup"), ("citation_repairs", "click"))}
+    return usage.usage(events, "user_id", "value", F.col("event_type") == "error", tokens={"input_tokens": "tokens"}, flags=flags)
 
 
 LIMITS = """SELECT event_id, n <= {limit} AS admitted, CASE WHEN n > {limit} THEN greatest(1, 86400 - floor(epoch(ts))::BIGINT % 86400) END AS retry_after
@@ -475,10 +586,9 @@ def credential_checks(spark, sf_dir):
 # --- writing
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[ \t]+[,.!?;:]')) AS space_before_mark, len(regexp_extract_all(text, ' {2,}')) AS extra_spaces, len(regexp_extract_all(text, '[!?]{2,}')) AS repeated_marks,
-len(list_filter(regexp_extract_all(text, '[^.!?\n]+[.!?]?'), lambda s: len(regexp_extract_all(s, '\S+')) > 38)) AS long_sentences FROM documents""")
+@query()
 def writing_hints(spark, sf_dir):
-    return writing.hints(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "repeated_words")
+    return writing.hints(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode("hints").alias("h")).select("doc_id", "h.*")
 
 
 @query("SELECT doc_id, " + " + ".join("CAST(contains(lower(text), '" + p.replace("'", "''") + "') AS INT)" for p in writing.PHRASES) + " AS n_phrases FROM documents")
@@ -493,7 +603,18 @@ def grammar_rule_hits(spark, sf_dir):
 
 @query()
 def grammar_issues(spark, sf_dir):
-    return writing.grammar_issues(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode("issues").alias("i")).select("doc_id", "i.*")
+    rows = writing.grammar_issues(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode("issues").alias("i")).select("doc_id", "i.*")
+    return rows.withColumn("replacements", F.array_join("replacements", "|"))
+
+
+def _word_counts(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.explode(t.words("text")).alias("word")).groupBy("word").count()
+
+
+@query()
+def analysed_writing(spark, sf_dir):
+    rows = writing.analyse(documents(spark, sf_dir).select("doc_id", "text"), writing.word_list(_word_counts(spark, sf_dir)), "doc_id")
+    return rows.select("doc_id", F.explode("issues").alias("i")).select("doc_id", "i.*").withColumn("replacements", F.array_join("replacements", "|"))
 
 
 @query()
@@ -512,6 +633,15 @@ def document_blocks(spark, sf_dir):
     return writing.blocks(documents(spark, sf_dir))
 
 
+@query(f"""WITH b AS (SELECT doc_id, source, unnest(p) AS block, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, source, list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: {S_STRIP.format(c='x')} <> '') AS p FROM documents)),
+r AS (SELECT *, row_number() OVER (PARTITION BY sha256({S_NORM.format(c='block')}) ORDER BY doc_id, i) AS n FROM b)
+SELECT source AS kind, count(DISTINCT doc_id) AS documents, count(*) AS chunks, count(*) FILTER (WHERE n = 1) AS chunks_written, count(*) FILTER (WHERE n > 1) AS duplicates_skipped FROM r GROUP BY 1""")
+def corpus_build_stats(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    parts = writing.blocks(docs).withColumn("content_hash", t.content_hash("block")).join(docs.select("doc_id", "source"), "doc_id")
+    return writing.build_stats(writing.first_chunks(parts, F.col("source"), ["doc_id", "index"]), "doc_id")
+
+
 @query(r"""SELECT doc_id, array_to_string(list_prepend('revised', b[2:]), chr(10) || chr(10)) AS text FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS b FROM documents) WHERE len(b) > 0""")
 def exported_revisions(spark, sf_dir):
     parts = writing.blocks(documents(spark, sf_dir))
@@ -520,8 +650,9 @@ def exported_revisions(spark, sf_dir):
 
 @query()
 def spelling_candidates(spark, sf_dir):
-    words = documents(spark, sf_dir).select(F.explode(t.words("text")).alias("word")).where("length(word) BETWEEN 3 AND 28").groupBy("word").count()
-    return writing.candidates(words.where("count <= 1 AND length(word) BETWEEN 4 AND 24").select("word"), words.where("count >= 20").select("word"))
+    words = _word_counts(spark, sf_dir)
+    found = writing.candidates(words.where("count <= 1").select("word"), writing.word_list(words.where("count >= 20")))
+    return found.withColumn("replacements", F.array_join("replacements", "|"))
 
 
 @query()
@@ -530,43 +661,66 @@ def word_diffs(spark, sf_dir):
     return writing.word_diff(pairs, "input", "output").select("conv_id", "turn", F.size("runs").alias("n_runs"), F.to_json("runs").alias("runs"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(substr(text, 1, 100)) = trim(text) THEN 'unchanged' END, CASE WHEN regexp_matches(substr(text, 1, 100), '[0-9]') THEN 'new_numbers' END], lambda x: x IS NOT NULL), ',') AS issues FROM documents WHERE regexp_matches(text, '^[A-Za-z]')""")
+@query(rf"""WITH r AS (SELECT doc_id, source, text, text || ' ' || source AS said FROM documents), b AS (SELECT *, regexp_replace(replace(said, source, ''), '(?m)^\s{{0,8}}\p{{Nd}}{{1,2}}[.)]\s+', '', 'g') AS bare, list_transform(string_split(said, chr(10)), lambda x: lower({S_STRIP.format(c='x')})) AS lines FROM r)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN list_has_any(lines, {[e.lower() for e in writing.ECHOES]}) THEN 'prompt_echo' END, CASE WHEN length(said) - length(replace(said, source, '')) <> length(source) THEN 'tokens_lost' END,
+CASE WHEN regexp_matches(bare, '\p{{Nd}}') THEN 'new_numbers' END], lambda x: x IS NOT NULL), ',') AS issues FROM b""")
 def rewrite_critiques(spark, sf_dir):
-    docs = documents(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]"))
-    return docs.select("doc_id", F.array_join(writing.critique(F.col("text"), F.substring("text", 1, 100), F.array().cast("array<string>")), ",").alias("issues"))
+    said = F.concat_ws(" ", "text", "source")
+    return documents(spark, sf_dir).select("doc_id", F.array_join(writing.critique(F.col("text"), said, F.array("source")), ",").alias("issues"))
 
 
 # --- records
 
 
-@query(f"SELECT doc_id, 'docs_' || substr(sha256(concat_ws(chr(10), 'docs', lower({CLEAN}), lower({S_CLEAN.format(c='substr(text, 1, 50)')}))), 1, 20) AS id, lang AS domain, length({CLEAN}) AS n_input FROM documents")
+@query(f"SELECT doc_id, 'docs_' || substr(sha256(concat_ws(chr(10), 'docs', lower({CLEAN}), lower({S_CLEAN.format(c='source')}))), 1, 20) AS id, lang AS domain, length({CLEAN}) AS n_input FROM documents")
 def canonical_records(spark, sf_dir):
     docs = documents(spark, sf_dir)
     meta = F.create_map(F.lit("domain"), F.col("lang"), F.lit("doc_id"), F.col("doc_id").cast("string"))
-    out = records.record(docs, F.lit("docs"), F.lit("text"), F.col("text"), F.substring("text", 1, 50), metadata=meta)
+    out = records.record(docs, F.lit("docs"), F.lit("text"), F.col("text"), F.col("source"), metadata=meta)
     return out.select(F.col("metadata")["doc_id"].cast("long").alias("doc_id"), "id", "domain", F.length("input").alias("n_input"))
 
 
-@query("SELECT item_id, 'Pick' || chr(10) || 'A. ' || substr(text, 1, 10) || chr(10) || 'B. ' || substr(text, 11, 10) AS question FROM benchmark")
+@query("SELECT item_id, 'Pick' || chr(10) || 'A. ' || text || chr(10) || 'B. ' || text || ' two' AS question FROM benchmark")
 def choice_lines(spark, sf_dir):
-    labels, texts = F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.array(F.substring("text", 1, 10), F.substring("text", 11, 10))
+    labels, texts = F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.array(F.col("text"), F.concat(F.col("text"), F.lit(" two")))
     return read(spark, sf_dir, "benchmark").select("item_id", records.choices(F.lit("Pick"), labels, texts).alias("question"))
 
 
-@query("""WITH b AS (SELECT item_id, text, unnest([substr(text, 1, 5), substr(text, 6, 5), substr(text, 11, 5)]) AS x FROM benchmark), o AS (SELECT item_id, text, list(x ORDER BY sha256(concat_ws(chr(1), text, x)), x) AS xs FROM b GROUP BY 1, 2)
-SELECT item_id, array_to_string(xs, '|') AS options, substr('ABC', list_position(xs, substr(text, 1, 5)), 1) AS answer FROM o""")
+@query("""WITH b AS (SELECT item_id, text, unnest([text, text || ' two', text || ' three']) AS x FROM benchmark), o AS (SELECT item_id, text, list(x ORDER BY sha256(concat_ws(chr(1), text, x)), x) AS xs FROM b GROUP BY 1, 2)
+SELECT item_id, array_to_string(xs, '|') AS options, substr('ABC', list_position(xs, text), 1) AS answer FROM o""")
 def shuffled_choices(spark, sf_dir):
-    texts = F.array(F.substring("text", 1, 5), F.substring("text", 6, 5), F.substring("text", 11, 5))
+    texts = F.array(F.col("text"), F.concat(F.col("text"), F.lit(" two")), F.concat(F.col("text"), F.lit(" three")))
     rows = read(spark, sf_dir, "benchmark").withColumn("o", records.shuffled(F.col("text"), texts))
-    return rows.select("item_id", F.array_join("o", "|").alias("options"), records.answer_label(F.col("o"), F.substring("text", 1, 5)).alias("answer"))
+    return rows.select("item_id", F.array_join("o", "|").alias("options"), records.answer_label(F.col("o"), F.col("text")).alias("answer"))
+
+
+S_LABELS = r"""e AS (SELECT doc_id, w, least(len(w), 247) AS p FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents)),
+l AS (SELECT doc_id, w, p, list_transform(CASE WHEN len(w) > 247 THEN list_concat(w[1:231], w[len(w) - 15:]) ELSE w END, lambda x: length(x)) AS ids FROM e)"""
+
+
+def _examples(spark, sf_dir):
+    """Each word of a text is the id of its length; eight ids answer."""
+    prompt = F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), F.length)
+    return documents(spark, sf_dir).select("doc_id", "source", records.masked_labels(prompt, F.sequence(F.lit(1), F.lit(8)), 256, 0).alias("r"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, least(len(regexp_extract_all(text, '\S+')), 300) AS p FROM documents) SELECT doc_id, CAST(least(p + 9, 256) AS INT) AS n_ids, CAST(least(p, 256 - CASE WHEN p + 9 > 256 THEN least(9, greatest(7, 256 - p)) ELSE 9 END) AS INT) AS n_masked FROM d""")
+@query(f"WITH {S_LABELS} SELECT doc_id, CAST(p + 9 AS INT) AS n_ids, CAST(p AS INT) AS n_masked, CAST(coalesce(list_sum(ids), 0) + 36 AS BIGINT) AS id_sum, CAST(coalesce(ids[-1], -1) AS INT) AS last_prompt_id, len(w) > 247 AS truncated FROM l")
 def supervised_labels(spark, sf_dir):
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 300)
-    prompt, answer = F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(1000)) + 1), F.sequence(F.lit(1), F.lit(8))
-    row = documents(spark, sf_dir).select("doc_id", records.masked_labels(prompt, answer, 256, 0, 0.03).alias("r"))
-    return row.select("doc_id", F.size("r.input_ids").alias("n_ids"), F.size(F.filter("r.labels", lambda x: x == -100)).alias("n_masked"))
+    masked = F.size(F.filter("r.labels", lambda x: x == -100))
+    total = F.aggregate("r.input_ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    last = F.coalesce(F.get("r.input_ids", masked - 1), F.lit(-1))
+    return _examples(spark, sf_dir).select("doc_id", F.size("r.input_ids").alias("n_ids"), masked.alias("n_masked"), total.alias("id_sum"), last.alias("last_prompt_id"), "r.truncated")
+
+
+@query(f"WITH {S_LABELS} SELECT count(*) AS examples, 0 AS skipped, count(*) FILTER (WHERE len(w) > 247) AS truncated, count(*) * 9 AS learned_ids FROM l")
+def supervised_counts(spark, sf_dir):
+    return records.label_counts(_examples(spark, sf_dir)).withColumn("skipped", F.col("skipped").cast("int"))
+
+
+@query(f"WITH {S_LABELS} SELECT l.doc_id, CAST(max(p + 9) OVER (PARTITION BY source) AS INT) AS n_ids, CAST(p + 9 AS INT) AS n_real FROM l JOIN documents USING (doc_id)")
+def padded_examples(spark, sf_dir):
+    rows = records.padded_batches(_examples(spark, sf_dir).select("doc_id", "source", "r.*"), "source", 0)
+    return rows.select("doc_id", F.size("input_ids").alias("n_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
 
 
 def _built(dataset: str, question: str, answer: str, task: str, domain: str, rows: str = "benchmark") -> str:
@@ -579,23 +733,23 @@ ONCE = "(SELECT DISTINCT ON (lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))
 
 @query(
     " UNION ALL ".join([
-        _built("gsm8k", "text", "substr(text, 1, 20)", "math_reasoning", "mathematics"),
-        _built("arc_easy", "text || ' A. ' || substr(text, 1, 5) || ' B. ' || substr(text, 6, 5)", "'B'", "science_mcq", "science"),
-        _built("openbookqa", "text || ' A. ' || substr(text, 1, 5) || ' B. ' || substr(text, 6, 5)", "'B'", "science_reasoning_mcq", "science"),
-        _built("hotpotqa", "'Question: ' || text || ' Context: T: ' || substr(text, 1, 9) || ' ' || substr(text, 10, 9)", "substr(text, 5, 12)", "multi_hop_qa", "general_knowledge", ONCE),
-        _built("openmathinstruct2", "text", "substr(text, 5, 12)", "math_reasoning", "mathematics", ONCE),
+        _built("gsm8k", "text", "text || ' one'", "math_reasoning", "mathematics"),
+        _built("arc_easy", "text || ' A. ' || text || ' B. ' || text || ' two'", "'B'", "science_mcq", "science"),
+        _built("arc_challenge", "text || ' A. ' || text || ' B. ' || text || ' two'", "'B'", "science_mcq", "science"),
+        _built("openbookqa", "text || ' A. ' || text || ' B. ' || text || ' two'", "'B'", "science_reasoning_mcq", "science"),
+        _built("hotpotqa", "'Question: ' || text || ' Context: T: ' || text || ' ' || text || ' two'", "text || ' one'", "multi_hop_qa", "general_knowledge", ONCE),
+        _built("openmathinstruct2", "text", "text || ' one'", "math_reasoning", "mathematics", ONCE),
     ])
 )
 def built_records(spark, sf_dir):
-    sub = lambda a, n: F.substring("text", a, n)
-    items = read(spark, sf_dir, "benchmark")
-    listed = F.struct(F.array(F.lit("A"), F.lit("B")).alias("label"), F.array(sub(1, 5), sub(6, 5)).alias("text"))
-    rows = items.select(
-        F.col("item_id").alias("id"), F.col("text").alias("question"), F.col("text").alias("question_stem"), F.col("text").alias("problem"), listed.alias("choices"), F.lit("B").alias("answerKey"),
-        sub(1, 20).alias("first"), sub(5, 12).alias("answer"), sub(5, 12).alias("generated_solution"), F.lit("").alias("problem_source"), F.lit("").alias("expected_answer"), F.lit("").alias("level"), F.lit("").alias("type"),
-        F.struct(F.array(F.lit("T")).alias("title"), F.array(F.array(sub(1, 9), sub(10, 9))).alias("sentences")).alias("context"),
-    )
-    made = [records.BUILDERS["gsm8k"](rows.withColumn("answer", F.col("first")))] + [records.BUILDERS[n](rows) for n in ("arc_easy", "openbookqa", "hotpotqa", "openmathinstruct2")]
+    own = F.col("text")
+    plus = lambda word: F.concat(own, F.lit(f" {word}"))
+    listed = F.struct(F.array(F.lit("A"), F.lit("B")).alias("label"), F.array(own, plus("two")).alias("text"))
+    blank = {c: F.lit("") for c in ("problem_source", "expected_answer", "level", "type")}
+    said = {"question": own, "question_stem": own, "problem": own, "choices": listed, "answerKey": F.lit("B"), "answer": plus("one"), "generated_solution": plus("one")}
+    context = F.struct(F.array(F.lit("T")).alias("title"), F.array(F.array(own, plus("two"))).alias("sentences"))
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), *[c.alias(n) for n, c in (said | blank).items()], context.alias("context"))
+    made = [records.BUILDERS[n](rows) for n in ("gsm8k", "arc_easy", "arc_challenge", "openbookqa", "hotpotqa", "openmathinstruct2")]
     out = made[0]
     for more in made[1:]:
         out = out.unionByName(more)
@@ -605,26 +759,34 @@ def built_records(spark, sf_dir):
 # --- streams, run once over what is there
 
 
-def _drain(spark: SparkSession, sf_dir: str, name: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """The result table of a stream over the events table, with availableNow and a memory sink (test sizes)."""
-    path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    q = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _drain(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a stream over the events table has written to files when all that is there was read.
+
+    Complete results replace the files with each batch; others are appended."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out, state = work.work_dir(spark), work.work_dir(spark)
+    result = make(stream)
+    write = result.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode(mode)
+    if mode == "complete":
+        q = write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    else:
+        q = write.format("parquet").start(out)
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).parquet(out)
 
 
 @query("SELECT user_id, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(greatest(coalesce(value, 0), 0)), 2) AS total_latency_ms FROM events GROUP BY 1")
 def usage_stream(spark, sf_dir):
-    return _drain(spark, sf_dir, "usage_stream", lambda s: streams.running_usage(s, "user_id", "value", F.col("event_type") == "error"), "complete")
+    return _drain(spark, sf_dir, lambda s: streams.running_usage(s, "user_id", "value", F.col("event_type") == "error"), "complete")
 
 
 @query("SELECT event_type, user_id, CAST(count(*) AS BIGINT) AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events) WHERE n <= 1 GROUP BY 1, 2")
 def rate_limit_stream(spark, sf_dir):
-    out = _drain(spark, sf_dir, "rate_limit_stream", lambda s: streams.rate_limited(s, "user_id", "event_type", "ts", 86_400, 1, "3650 days"), "append")
+    out = _drain(spark, sf_dir, lambda s: streams.rate_limited(s, "user_id", "event_type", "ts", 86_400, 1, "1 day"), "append")
     return out.where("admitted").groupBy("event_type", "user_id").agg(F.count("*").alias("admitted"))
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
 def first_seen_stream(spark, sf_dir):
-    return _drain(spark, sf_dir, "first_seen_stream", lambda s: streams.first_seen(s, ["user_id", "event_type"], "ts", "36500 days").select("user_id", "event_type"), "append")
+    return _drain(spark, sf_dir, lambda s: streams.first_seen(s, ["user_id", "event_type"], "ts", "36500 days").select("user_id", "event_type"), "append")

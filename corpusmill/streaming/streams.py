@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +41,11 @@ def rate_limited(stream: DataFrame, client: str, route: str, ts: str, window_s:
         start = int(key[2])
         for pdf in frames:
             pdf = pdf.sort_values(ts, kind="stable")
-            admitted = []
-            for _ in range(len(pdf)):
-                admitted.append(limit <= 0 or used < limit)
-                used += int(admitted[-1])
-            wait = [None if ok else max(1, int(start + window_s - at.timestamp())) for ok, at in zip(admitted, pdf[ts], strict=True)]
-            yield pd.DataFrame({client: pdf[client], route: pdf[route], ts: pdf[ts], "admitted": admitted, "retry_after": pd.array(wait, "Int64")})
+            admitted = (limit <= 0) | (used + np.arange(len(pdf)) < limit)
+            used += int(admitted.sum())
+            elapsed = pdf[ts].to_numpy("datetime64[s]").astype("int64") - start
+            wait = pd.Series(np.maximum(window_s - elapsed, 1), index=pdf.index, dtype="Int64").mask(admitted)
+            yield pd.DataFrame({client: pdf[client], route: pdf[route], ts: pdf[ts], "admitted": admitted, "retry_after": wait})
         state.update((used,))
         end = (start + window_s) * 1000
         state.setTimeoutTimestamp(max(end, int(state.getCurrentWatermarkMs()) + 1))
