@@ -6,8 +6,6 @@ import ctypes
 import functools
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import clear_work, work_dir  # noqa: F401
+
 #: Entries that each of the two generations of a worker's word cache may hold.
 CACHE_ENTRIES = 200_000
 
@@ -63,22 +63,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir, with its scheme.
-
-    Without that setting a temporary folder serves, on a local master only; on a cluster it is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-        root = getattr(spark, "_corpusmill_work", None)
-        if root is None:
-            root = tempfile.mkdtemp(prefix="corpusmill-")
-            spark._corpusmill_work = root
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/corpusmill/{uuid.uuid4().hex}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -87,12 +71,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_work(spark: SparkSession) -> None:
-    """Delete all that materialise and work_dir have written; for the end of a job, when no result is read any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark)).getParent()
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """The names, each made longer until no column has it (in any case)."""
     taken = {c.lower() for c in columns}
