@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import functools
 import gc
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,16 +148,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@functools.cache
+#: Which code points a test takes, by the test's name.
+_SIGNS: dict[str, np.ndarray] = {}
+
+
+def signs_where(name: str, test: Callable[[str], bool]) -> np.ndarray:
+    """For each code point, whether the test named so takes it; worked out once in each process."""
+    if name not in _SIGNS:
+        _SIGNS[name] = np.fromiter((test(chr(i)) for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return _SIGNS[name]
+
+
 def word_signs() -> np.ndarray:
-    """For each code point, whether the re module's \\w takes it."""
-    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    """The signs that the re module's \\w takes."""
+    return signs_where("words", lambda c: c.isalnum() or c == "_")
 
 
-@functools.cache
 def letter_signs() -> np.ndarray:
-    """For each code point, whether it is a letter (Unicode category L)."""
-    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    """Letters (Unicode category L)."""
+    return signs_where("letters", str.isalpha)
 
 
 def lowered(text: str) -> str:

@@ -5,282 +5,279 @@ into typed placeholders, other words are lower-cased, marks go. A capital that b
 name or not, so texts and items are read both ways: with such words as words, and with every capital as a
 name wherever it stands. A third reading has lower-cased words and literal numbers only: copies in other
 case, short items and those of numbers mostly are found by it, if all of the item is there.
-Windows of `window` template words of all documents are looked up in the hashed windows of the
-benchmark. An occurrence is a run of hits along one diagonal (document position less item position,
-within `slip` words). It counts if it covers at least `coverage` of the item's windows and its slots
-are consistent: wherever the item repeats a value, the document repeats one value too. An
-occurrence with the item's own values is `exact`, one with others `template`.
+
+1. The windows of `window` template words of all items are written as a table of hashes, with the values
+   of their slots.
+2. One pass over the documents writes their windows in the same way, but only those that a bit filter of the
+   items' hashes lets pass (of FILTER_SLOTS places, the one thing that is broadcast, so bounded at any size).
+   Equal texts are combined before they are exchanged.
+3. Both tables are joined by hash: a shuffle join, unless Spark's own size check finds the items' side small.
+4. For each text and item, hits along one diagonal (document position less item position, within `slip`
+   words) are an occurrence if they cover at least `coverage` of the item's windows and the slots are
+   consistent: wherever the item repeats a value, the document repeats one value too. An occurrence with
+   the item's own values is `exact`, one with others `template`. The best of all readings is reported.
 
 An item of fewer than `window` words is one window of its own length (at least `least` words, or
-LITERAL_LEAST of the literal reading). Template windows with more placeholders than words say too little and are left out. The benchmark is read in
-blocks of about block_windows windows (by hash of the item), each broadcast for one pass over the
-documents, so what is broadcast is bounded at any size. Whole texts are read.
+LITERAL_LEAST of the literal reading). Template windows with more placeholders than words say too little and
+are left out. Whole texts are read.
 
-Nulls count as empty texts, which match nothing; items without enough words match nothing. Repeated
-items or rows are each reported. An empty benchmark leaves all documents.
+Nulls and empty texts match nothing; items without enough words match nothing. An item repeated with id
+and text counts as one; repeated rows, and rows with a null id, are each reported. An empty benchmark leaves all
+documents; an empty table stays empty. A very long text is read at once; what is kept of it are its hits.
+Columns of docs may have any names.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WordCache, kept, materialise, text_of, texts
+from .common import BASE, Runs, by_group, lowered, materialise, mix, signs_where, texts, unused
 
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:]\d+)*|[.!?\n]")
-UNITS = frozenset(
+UNITS = sorted(
     "mm cm m km mi inch inches ft feet yd yards mile miles g mg kg lb lbs oz ton tons l ml litre litres liter liters gallon gallons "
     "s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "usd eur gbp dollar dollars euro euros pound pounds cent cents percent degree degrees celsius fahrenheit mph kmh "
     "w kw kwh v volt volts amp amps j joule joules kcal cal hz khz mhz ghz kb mb gb tb meter meters metre metres gram grams".split()
 )
-NUMBER, UNIT, NAME, MARK, CAPITAL = 1, 2, 3, 0, 1 << 62
-HASH = (1 << 62) - 1
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+NUMBER, UNIT, NAME = 1, 2, 3
 #: Readings: capitals that begin a sentence as words, all capitals as names, no placeholders at all.
 WORDS, NAMES, LITERAL = READINGS = 0, 1, 2
 #: Items of fewer tokens (one or two) would be found in most texts.
 LITERAL_LEAST = 3
-
-
-def code(token: str) -> int:
-    """A token's number: 62 bits of hash (above the placeholders), and a bit for a capital."""
-    if token in ".!?\n":
-        return MARK
-    if token[0].isdecimal():
-        return NUMBER
-    low = token.lower()
-    if low in UNITS:
-        return UNIT
-    h = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & HASH) | 4
-    return h | CAPITAL if token[0].isupper() else h
-
-
-class Templates:
-    def __init__(self) -> None:
-        self.cache = WordCache()
-
-    def literal(self, token: str) -> int:
-        return (xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "surrogatepass")) & HASH) | 4
-
-    def read(self, text: str) -> list[tuple[np.ndarray, Callable[[], np.ndarray]]]:
-        """Codes of a text in each reading, and what gives the hashed value of each (0 where it isn't a number or a name)."""
-        tokens = TOKEN.findall(text)
-        known = self.cache.young
-        for t in self.cache.absent(set(tokens)):
-            self.cache.young[t] = code(t)
-        known = self.cache.young
-        codes = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        mark = codes == MARK
-        begins = np.ones(len(codes), bool)
-        begins[1:] = mark[:-1]
-        capital = codes & CAPITAL != 0
-        return [self.template(tokens, codes, mark, capital & ~begins), self.template(tokens, codes, mark, capital), self.plain(tokens, codes, mark)]
-
-    def plain(self, tokens: list[str], codes: np.ndarray, mark: np.ndarray) -> tuple:
-        out = codes & HASH
-        for i in np.flatnonzero((out == NUMBER) | (out == UNIT)).tolist():
-            out[i] = self.literal(tokens[i])
-        out = out[~mark]
-        return out, lambda: np.zeros(len(out), np.int64)
-
-    def template(self, tokens: list[str], codes: np.ndarray, mark: np.ndarray, name: np.ndarray) -> tuple:
-        out = np.where(name, NAME, codes & HASH)
-        inner = np.zeros(len(codes), bool)
-        inner[1:] = name[1:] & name[:-1]
-        keep = ~mark & ~inner
-
-        def values() -> np.ndarray:
-            values = np.zeros(len(codes), np.int64)
-            for i in np.flatnonzero((out == NUMBER) | name).tolist():
-                if not inner[i]:
-                    end = i + 1
-                    while end < len(codes) and inner[end]:
-                        end += 1
-                    values[i] = xxhash.xxh3_64_intdigest(" ".join(tokens[i:end]).encode("utf-8", "surrogatepass")) >> 2
-            return values[keep]
-
-        return out[keep], values
-
-
-def windows(codes: np.ndarray, size: int, reading: int) -> np.ndarray:
-    """Hashes of all runs of `size` codes in a reading; 0 for those with more placeholders than words."""
-    n = len(codes) - size + 1
+#: Places of the bit filter; a hash takes two.
+FILTER_BITS = 23
+FILTER_SLOTS = 1 << FILTER_BITS
+
+
+@dataclass
+class Reading:
+    """Template codes of texts one after the other, the text of each, and the values of numbers and names (else 0)."""
+
+    codes: np.ndarray
+    text: np.ndarray
+    values: np.ndarray
+
+
+def _marks() -> np.ndarray:
+    return signs_where("sentence marks", lambda c: c in ".!?\n")
+
+
+def read(rows: list[str]) -> list[Reading]:
+    """All texts in each reading. Tokens are runs of letters, numbers (digits, also with . , : between them) and marks that end sentences."""
+    codes = np.frombuffer("\n".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.frombuffer("\n".join(map(lowered, rows)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    digit = signs_where("digits", str.isdecimal)[codes]
+    letter = signs_where("letters and numerals", lambda c: c.isalnum() and not c.isdecimal())[codes]
+    inner = np.isin(codes, (46, 44, 58))
+    inner[1:-1] &= digit[:-2] & digit[2:]
+    if len(inner):
+        inner[[0, -1]] = False
+    kind = letter + 2 * (digit | inner)
+    kind[_marks()[codes] & ~inner] = 3
+    starts = np.flatnonzero((kind > 0) & ((kind == 3) | (np.diff(kind, prepend=0) != 0)))
+    edge = np.append(np.diff(kind) != 0, True) | (kind == 3)
+    sizes = np.flatnonzero((kind > 0) & edge) + 1 - starts
+    ends = np.cumsum([len(t) + 1 for t in rows], dtype=np.int64)
+    of = np.searchsorted(ends, starts, side="right")
+    mark, number = kind[starts] == 3, kind[starts] == 2
+    begins = np.concatenate(([True], mark[:-1]))[: len(mark)] | (np.diff(of, prepend=-1) > 0)
+    said = ~mark
+    hashed = lambda signs: (Runs(signs, starts, sizes, ends, ends).hashes() >> np.uint64(2)).astype(np.int64) | 4
+    plain, exact = hashed(low), hashed(codes)
+    known = words_hash(UNITS)
+    unit = ~number & np.isin(plain, known)
+    capital = signs_where("capitals", str.isupper)[codes[starts]] & ~number & ~unit & said
+    out = []
+    for name in (capital & ~begins, capital):
+        inside = np.zeros(len(name), bool)
+        inside[1:] = name[1:] & name[:-1] & (of[1:] == of[:-1])
+        keep = said & ~inside
+        template = np.where(name, NAME, np.where(number, NUMBER, np.where(unit, UNIT, plain)))
+        # A name's value is that of its words in turn.
+        group = np.flatnonzero(keep[said])
+        place = np.arange(int(said.sum())) - np.repeat(group, np.diff(group, append=int(said.sum())))
+        parts = mix(exact[said].astype(np.uint64) + place.astype(np.uint64) * BASE)
+        values = (np.add.reduceat(parts, group) >> np.uint64(2)).astype(np.int64) if len(group) else np.zeros(0, np.int64)
+        template = template[keep]
+        out.append(Reading(template, of[keep], np.where((template == NUMBER) | (template == NAME), values, 0)))
+    return [*out, Reading(plain[said], of[said], np.zeros(int(said.sum()), np.int64))]
+
+
+def words_hash(words: list[str]) -> np.ndarray:
+    runs = Runs.of(words, signs_where("letters and numerals", lambda c: c.isalnum() and not c.isdecimal()))
+    return (runs.hashes() >> np.uint64(2)).astype(np.int64) | 4
+
+
+def windows(r: Reading, size: int, reading: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of `size` codes of one text, without those of more placeholders than words."""
+    n = len(r.codes) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = np.full(n, len(READINGS) * size + reading, np.uint64)
     for k in range(size):
-        h = (h ^ codes[k : k + n].astype(np.uint64)) * FACTOR
+        h = (h ^ r.codes[k : k + n].astype(np.uint64)) * BASE
         h ^= h >> np.uint64(29)
-    slots = np.concatenate(([0], np.cumsum((codes <= NAME) & (codes > MARK))))
-    return np.where(2 * (slots[size:] - slots[:-size]) > size, np.uint64(0), h | np.uint64(1))
+    slots = np.concatenate(([0], np.cumsum(r.codes <= NAME)))
+    good = (2 * (slots[size:] - slots[:-size]) <= size) & (r.text[:n] == r.text[size - 1 :])
+    at = np.flatnonzero(good)
+    return at, h[at]
 
 
-class Index:
-    """Windows of benchmark items: sorted hashes with item number and position, and a bit table to pass most by."""
+def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a hash in the filter."""
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (h & np.uint64(FILTER_SLOTS - 1)).astype(np.int64)
 
-    TABLE_BITS = 21
 
-    def __init__(self, items: list[tuple[int | None, str]], size: int, least: int) -> None:
-        reader = Templates()
-        self.ids, self.values, self.count, self.row = [], [], [], []
-        hashes, owner, place = [], [], []
-        self.sizes = [set() for _ in READINGS]
-        for row, (item, text) in enumerate(items):
-            for reading, (codes, values) in enumerate(reader.read(text)):
-                own = min(size, len(codes))
-                if own < (LITERAL_LEAST if reading == LITERAL else least):
-                    continue
-                h = windows(codes, own, reading)
-                at = np.flatnonzero(h)
-                if not len(at):
-                    continue
-                self.sizes[reading].add(own)
-                hashes.append(h[at])
-                owner.append(np.full(len(at), len(self.ids), np.int32))
-                place.append(at)
-                self.ids.append(item)
-                self.row.append(row)
-                self.values.append(values())
-                self.count.append((len(at), own))
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int32)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
-        self.table = np.zeros(1 << self.TABLE_BITS, bool)
-        self.table[self.hashes >> np.uint64(64 - self.TABLE_BITS)] = True
-
-    def hits(self, codes: np.ndarray, reading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document positions, entry numbers and item positions of equal windows."""
-        found = []
-        for size in self.sizes[reading]:
-            h = windows(codes, size, reading)
-            at = np.flatnonzero(self.table[h >> np.uint64(64 - self.TABLE_BITS)])
-            if not len(at):
-                continue
-            lo = np.searchsorted(self.hashes, h[at], "left")
-            n = np.searchsorted(self.hashes, h[at], "right") - lo
-            rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append((np.repeat(at, n), self.owner[rows], self.place[rows]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-
-def occurrences(index: Index, read: list[tuple], coverage: float, slip: int) -> list[tuple]:
-    """item_id, kind, coverage, slots, changed slots of each item that occurs; its best occurrence in any reading."""
-    best: dict[int, tuple] = {}
-    for reading, (codes, values) in enumerate(read):
-        for row, got in in_reading(index, reading, codes, values, 1.0 if reading == LITERAL else coverage, slip):
-            if row not in best or (got[2], -got[4]) > (best[row][2], -best[row][4]):
-                best[row] = got
-    return list(best.values())
-
-
-def in_reading(index: Index, reading: int, codes: np.ndarray, values_of: Callable[[], np.ndarray], coverage: float, slip: int) -> list[tuple]:
-    """Row of the item and its best occurrence, of each item that occurs in one reading."""
-    at, items, places = index.hits(codes, reading)
-    out = []
-    if not len(at):
-        return out
-    values = values_of()
-    for item in np.unique(items).tolist():
-        own = items == item
-        doc, pos = at[own], places[own]
-        total, size = index.count[item]
-        if len(np.unique(pos)) < coverage * total:
-            continue
-        diagonal = doc - pos
-        best = None
-        for d in np.unique(diagonal).tolist():
-            near = (diagonal >= d) & (diagonal <= d + slip)
-            share = len(np.unique(pos[near])) / total
-            if share < coverage or (best and share < best[2]):
-                continue
-            wanted = index.values[item]
-            pairs: dict[int, int] = {}
-            for p, q in zip(pos[near].tolist(), doc[near].tolist(), strict=True):
-                for k in range(size):
-                    if wanted[p + k]:
-                        pairs[p + k] = int(values[q + k])
-            given: dict[int, set[int]] = defaultdict(set)
-            for p, v in pairs.items():
-                given[int(wanted[p])].add(v)
-            if any(len(v) > 1 for v in given.values()):
-                continue
-            changed = sum(int(wanted[p]) != v for p, v in pairs.items())
-            if best is None or (share, -changed) > (best[2], -best[4]):
-                best = (index.ids[item], "template" if changed else "exact", share, len(pairs), changed)
-        if best:
-            out.append((index.row[item], best))
-    return out
-
-
-MATCHES = "array<struct<item_id:bigint,kind:string,coverage:double,slots:int,changed_slots:int>>"
-
-
-def indexes(benchmark: DataFrame, window: int = 8, least: int = 5, block_windows: int = 1_000_000, item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Broadcast]:
-    """The benchmark's index, in blocks of about block_windows windows, each a broadcast; at least one."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(item_text_col).alias("item_text"))
-    chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    blocks = max(1, -(-chars // (4 * block_windows)))
-    for k in range(blocks):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == k).orderBy("item", "item_text").collect()]
-        yield spark.sparkContext.broadcast(Index(block, window, least))
-
-
-def find_items(docs: DataFrame, index: Broadcast, coverage: float = 0.5, slip: int = 3, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns of docs and `__matches` (array, items of one block of the benchmark) of every row."""
-    names = carry if carry is not None else docs.columns
-    rows = docs.select(*names, F.col(text_col).alias("__text")) if text_col not in names else docs.select(*names)
-    at = rows.columns.index(text_col if text_col in names else "__text")
-    shape = pa.list_(pa.struct([("item_id", pa.int64()), ("kind", pa.string()), ("coverage", pa.float64()), ("slots", pa.int32()), ("changed_slots", pa.int32())]))
-    keys = ["item_id", "kind", "coverage", "slots", "changed_slots"]
+def _slot_lists(r: Reading, at: np.ndarray, size: int) -> pa.Array:
+    return pa.array(list(r.values[at[:, None] + np.arange(size)]), pa.list_(pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = kept(("templates",), Templates)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                got = []
-                for t in texts(b.column(at)):
-                    found = occurrences(index.value, reader.read(t), coverage, slip) if t else []
-                    got.append([dict(zip(keys, m, strict=True)) for m in found])
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(got, shape)], [*names, "__matches"])
 
-    return rows.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *T.StructType.fromDDL(f"__matches {MATCHES}").fields]))
+WINDOWS = "key long, item_id long, reading int, size int, total int, hash long, pos int, wanted array<long>"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.5, slip: int = 3, **options) -> DataFrame:
+def item_windows(benchmark: DataFrame, window: int, least: int, item_col: str, text_col: str) -> DataFrame:
+    """WINDOWS: a row for each window of each distinct item; total: its number of windows in the reading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in WINDOWS.split(", ")]
+        for b in batches:
+            for key, item, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for reading, r in enumerate(read([text])):
+                    size = min(window, len(r.codes))
+                    if size < (LITERAL_LEAST if reading == LITERAL else least):
+                        continue
+                    at, h = windows(r, size, reading)
+                    same = lambda v, kind: pa.array([v] * len(at), kind)  # noqa: B023, E731
+                    columns = [same(key, pa.int64()), same(item, pa.int64()), same(reading, pa.int32()), same(size, pa.int32()), same(len(at), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), _slot_lists(r, at, size)], names)
+
+    items = benchmark.where(F.length(text_col) > 0).select(F.xxhash64(item_col, text_col).alias("key"), F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    return materialise(items.dropDuplicates(["key"]).mapInArrow(run, WINDOWS))
+
+
+def document_hits(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
+    """tk (hash of the text), hash, at, given: windows of the documents that the filter of the items' windows lets pass."""
+    both = F.array(F.shiftrightunsigned("hash", 64 - FILTER_BITS), F.col("hash").bitwiseAND(FILTER_SLOTS - 1))
+    places = items.select(F.explode(both).alias("place")).distinct().toArrow().column(0).to_numpy()  # FILTER_SLOTS at most
+    bits = np.zeros(FILTER_SLOTS, bool)
+    bits[places] = True
+    sizes = [(r[0], r[1]) for r in items.select("reading", "size").distinct().collect()]  # a few for each reading
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(sent.value).astype(bool)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                keys, readings = b.column(0).to_numpy(), read(texts(b.column(1)))
+                for reading, size in sizes:
+                    r = readings[reading]
+                    at, h = windows(r, size, reading)
+                    first, second = probes(h)
+                    hit = np.flatnonzero(table[first])
+                    hit = hit[table[second[hit]]]
+                    if len(hit):
+                        at, of = at[hit], r.text[at[hit]]
+                        begin = np.searchsorted(r.text, of)
+                        columns = [pa.array(keys[of]), pa.array(h[hit].view(np.int64)), pa.array((at - begin).astype(np.int32)), _slot_lists(r, at, size)]
+                        yield pa.RecordBatch.from_arrays(columns, ["tk", "hash", "at", "given"])
+
+    rows = docs.where(F.length(text_col) > 0).select(F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
+    hits = rows.mapInArrow(run, "tk long, hash long, at int, given array<long>") if sizes else rows.selectExpr("tk", "0L AS hash", "0 AS at", "array(0L) AS given").where("false")
+    # Copies of a text have the same hits; they are one before the join.
+    return hits.groupBy("tk", "hash", "at").agg(F.first("given").alias("given"))
+
+
+def occurrence(reading: int, at: np.ndarray, pos: np.ndarray, given: list, wanted: list, total: int, coverage: float, slip: int) -> tuple | None:
+    """kind, coverage, slots, changed slots of the best occurrence of an item in a text in one reading."""
+    share_least = 1.0 if reading == LITERAL else coverage
+    order = np.lexsort((pos, at - pos))
+    at, pos = at[order], pos[order]
+    diagonal = at - pos
+    first = np.flatnonzero(np.diff(diagonal, prepend=diagonal[0] - 1))
+    last = np.searchsorted(diagonal, diagonal[first] + slip, side="right")
+    best = None
+    for lo, hi in zip(first.tolist(), last.tolist(), strict=True):
+        if hi - lo < share_least * total or (best and hi - lo < best[1] * total):
+            continue
+        share = len(set(pos[lo:hi].tolist())) / total
+        if share < share_least or (best and share < best[1]):
+            continue
+        pairs: dict[int, tuple[int, int]] = {}
+        for i in range(lo, hi):
+            for k, (w, g) in enumerate(zip(wanted[order[i]], given[order[i]], strict=True)):
+                if w:  # of several places the one on the first diagonal counts
+                    pairs.setdefault(int(pos[i]) + k, (w, g))
+        seen: dict[int, set[int]] = defaultdict(set)
+        for w, g in pairs.values():
+            seen[w].add(g)
+        if any(len(g) > 1 for g in seen.values()):
+            continue
+        changed = sum(w != g for w, g in pairs.values())
+        if best is None or (share, -changed) > (best[1], -best[3]):
+            best = ("template" if changed else "exact", share, len(pairs), changed)
+    return best
+
+
+FOUND = "tk long, item_id long, kind string, coverage double, slots int, changed_slots int"
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame, text_col: str, coverage: float, slip: int, window: int, least: int, item_col: str, item_text_col: str) -> DataFrame:
+    """FOUND: the items that occur in each different text, by its hash."""
+    items = item_windows(benchmark, window, least, item_col, item_text_col)
+    joined = document_hits(docs, items, text_col).join(items, "hash")
+    partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = joined.select("tk", "key", "item_id", "reading", "total", "at", "pos", "given", "wanted").repartition(partitions, "tk", "key").sortWithinPartitions("tk", "key", "reading")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+        out: list[tuple] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        for t in by_group(batches, ["tk", "key"]):
+            best = None
+            readings = t.column("reading").to_numpy()
+            for reading in sorted(set(readings.tolist())):
+                part = t.filter(pa.array(readings == reading))
+                at, pos = part.column("at").to_numpy(), part.column("pos").to_numpy()
+                total = part.column("total")[0].as_py()
+                if len(set(pos.tolist())) < (1.0 if reading == LITERAL else coverage) * total:
+                    continue
+                got = occurrence(reading, at, pos, part.column("given").to_pylist(), part.column("wanted").to_pylist(), total, coverage, slip)
+                if got and (best is None or (got[1], -got[3]) > (best[1], -best[3])):
+                    best = got
+            if best:
+                out.append((t.column("tk")[0].as_py(), t.column("item_id")[0].as_py(), *best))
+            if len(out) >= 1000:
+                yield pack()
+                out.clear()
+        if out:
+            yield pack()
+
+    return materialise(dealt.mapInArrow(check, FOUND))
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.5, slip: int = 3, window: int = 8, least: int = 5,
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
     """doc_id, item_id, kind, coverage, slots, changed_slots: a row for each document and item that occurs in it."""
-    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
-    parts = [find_items(rows, index, coverage, slip, text_col, ["__id"]) for index in indexes(benchmark, **options)]
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select(F.col("__id").alias("doc_id"), F.explode("__matches").alias("m")).select("doc_id", "m.*")
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = 0.5, slip: int = 3, **options) -> DataFrame:
-    """The rows of docs in which no benchmark item occurs.
-
-    A benchmark of one block takes one pass. With more blocks each reads the documents on its own, so that a
-    task holds one block only; the hashes of the texts that they find are written and taken off."""
-    blocks = list(indexes(benchmark, **options))
-    if len(blocks) == 1:
-        return find_items(docs, blocks[0], coverage, slip, text_col).where(F.size("__matches") == 0).drop("__matches")
-    key = F.xxhash64(text_col)
-    rows = docs.select(key.alias("__key"), text_col)
-    parts = [find_items(rows, index, coverage, slip, text_col, ["__key"]).where(F.size("__matches") > 0).select("__key") for index in blocks]
-    found = materialise(reduce(DataFrame.unionByName, parts).distinct())
-    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(*docs.columns)
+    found = found_items(docs, benchmark, text_col, coverage, slip, window, least, item_col, item_text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tk"))
+    return rows.join(found, "tk").drop("tk")
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = 0.5, slip: int = 3, window: int = 8, least: int = 5, item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs in which no benchmark item occurs."""
+    found = found_items(docs, benchmark, text_col, coverage, slip, window, least, item_col, item_text_col)
+    (tk,) = unused(docs.columns, "text_hash")
+    return docs.withColumn(tk, F.xxhash64(text_col)).join(found.select(F.col("tk").alias(tk)).distinct(), tk, "left_anti").select(*docs.columns)

@@ -141,8 +141,82 @@ def test_templates_catch_new_numbers_but_not_inconsistent_ones(spark):
     got = {r["doc_id"]: r["kind"] for r in decontam.leaks(docs, bench).collect()}
     assert got == {1: "exact", 2: "template"}
     assert sorted(r["doc_id"] for r in decontam.without_leaks(docs, bench).collect()) == [3, 4, 5]
-    assert sorted(r["doc_id"] for r in decontam.leaks(docs, bench, block_windows=10).collect()) == [1, 2]
-    assert sorted(r["doc_id"] for r in decontam.without_leaks(docs, bench, block_windows=10).collect()) == [3, 4, 5]
+    clash = docs.select("*", F.lit("x").alias("tk"), F.lit("y").alias("text_hash"), F.lit(1).alias("hash"), F.lit(2).alias("item_id"))
+    kept = decontam.without_leaks(clash, bench)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
+    again = docs.unionByName(docs.where("doc_id = 1")).unionByName(spark.createDataFrame([(None, item)], docs.schema))
+    assert sorted(str(r["doc_id"]) for r in decontam.leaks(again, bench.unionByName(bench)).collect()) == ["1", "1", "2", "None"]
+    long_ = spark.createDataFrame([(9, "word " * 200_000 + item + " word" * 1000 + (" " + item) * 500)], docs.schema)
+    assert [(r["item_id"], r["kind"]) for r in decontam.leaks(long_, bench).collect()] == [(1, "exact")]
+    assert decontam.leaks(docs.where("false"), bench).count() == 0 and decontam.without_leaks(docs, bench.where("false")).count() == 5
+
+
+def brute_templates(text, reading):
+    """Codes and values by the re module, one token at a time."""
+    out, names, begins = [], [], True
+    for token in re.findall(r"[^\W\d_]+|\d+(?:[.,:]\d+)*|[.!?\n]", text):
+        if token in ".!?\n":
+            begins, names = True, []
+            continue
+        low = token.lower()
+        unit = low in decontam.UNITS
+        number = token[0].isdecimal()
+        name = token[0].isupper() and not unit and (reading == 1 or not begins)
+        if reading == 2:
+            out.append((low, None))
+        elif name and names:
+            names.append(token)
+            out[-1] = ("<name>", " ".join(names))
+        else:
+            out.append(("<name>", token) if name else ("<number>", token) if number else ("<unit>", None) if unit else (low, None))
+        names = (names or [token]) if name else []
+        begins = False
+    return out
+
+
+def brute_leaks(text, item, coverage=0.5, slip=3):
+    best = None
+    for reading in (0, 1, 2):
+        t, m = brute_templates(text, reading), brute_templates(item, reading)
+        size = min(8, len(m))
+        if size < (3 if reading == 2 else 5):
+            continue
+        own = lambda r, i: tuple(c for c, _ in r[i : i + size])  # noqa: B023, E731
+        good = [i for i in range(len(m) - size + 1) if 2 * sum(c in ("<name>", "<number>", "<unit>") for c in own(m, i)) <= size]
+        hits = [(j, i) for i in good for j in range(len(t) - size + 1) if own(t, j) == own(m, i)]
+        for d in {j - i for j, i in hits}:
+            near = [(j, i) for j, i in hits if d <= j - i <= d + slip]
+            share = len({i for _, i in near}) / len(good)
+            pairs = {}
+            for j, i in sorted(near, key=lambda x: (x[0] - x[1], x[1])):
+                for k in range(size):
+                    if m[i + k][1]:
+                        pairs.setdefault(i + k, (m[i + k][1], t[j + k][1]))
+            given = {}
+            for w, g in pairs.values():
+                given.setdefault(w, set()).add(g)
+            if share >= (1 if reading == 2 else coverage) and all(len(g) == 1 for g in given.values()):
+                changed = sum(w != g for w, g in pairs.values())
+                best = max(best or (0, -99), (share, -changed))
+    return best and (round(best[0], 9), -best[1])
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(8)
+    words = "the a Bob Anna Lee has 3 4 12.5 km apples pears. gives then He she? buys more of it days 7:30 Zoë ½".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [say(rng.randint(2, 22)) for _ in range(25)]
+    docs = []
+    for _ in range(60):
+        parts = [say(rng.randint(0, 12))]
+        for item in rng.sample(items, 2):
+            tokens = [rng.choice(words) if rng.random() < 0.06 else w for w in item.split()]
+            parts += [" ".join(tokens), say(rng.randint(0, 9))]
+        docs.append(" ".join(parts))
+    d, b = (spark.createDataFrame(list(enumerate(x)), f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r["doc_id"], r["item_id"]): (round(r["coverage"], 9), r["changed_slots"]) for r in decontam.leaks(d, b).collect()}
+    want = {(i, j): x for i, t in enumerate(docs) for j, m in enumerate(items) if (x := brute_leaks(t, m))}
+    assert got == want and 60 < len(want) < 400
 
 
 def test_warc_round_trip(spark):
