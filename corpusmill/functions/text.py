@@ -149,7 +149,7 @@ def unescaped(c: Column) -> Column:
     def sign(m: Column) -> Column:
         digits = F.regexp_extract(m, "([0-9a-fA-F]+);", 1)
         number = F.when(F.lower(F.substring(m, 3, 1)) == "x", F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
-        return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32BE")
+        return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
 
     by_number = F.array_join(F.zip_with(F.split(c, pattern, -1), F.transform(found, sign), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = F.when(F.contains(c, F.lit("&#")), by_number).otherwise(c)
