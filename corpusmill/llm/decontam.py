@@ -120,7 +120,8 @@ def windows(r: Reading, size: int, reading: int) -> tuple[np.ndarray, np.ndarray
     n = len(r.codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, len(READINGS) * size + reading, np.uint64)
+    # Mixed, so that the small codes of placeholders can't turn one reading's beginning into another's.
+    h = np.repeat(mix(np.array([len(READINGS) * size + reading + 1], np.uint64)), n)
     for k in range(size):
         h = (h ^ r.codes[k : k + n].astype(np.uint64)) * BASE
         h ^= h >> np.uint64(29)
