@@ -1,28 +1,35 @@
 """Surrogates for personal data and secrets, in DataFrame functions only.
 
-Detected kinds: e-mail addresses, phone numbers, IPv4 addresses, payment cards, US social security
-numbers, IBANs, access keys, hexadecimal secrets, and names (a title or a known given name before
-capitalised words; Latin, Cyrillic and Greek). An entity is brought to a normal form (case,
-separators, country code of phones), and its surrogate comes from a keyed hash of kind and normal form:
-so one entity gets one surrogate in every document and spelling, rendered in the format found (digits
-poured into the same separators, same case). Given names are replaced by names of the same gender and
-script, surnames by names of the same script; cards get a valid check digit; local part and domain of an
-address are entities of their own. IBAN check digits are not computed.
-
-Surrogates are checked over all entities of a kind: where two would share one, or one is itself an
-entity of the corpus, all but the first are hashed again with the next attempt until none is left. Names
-and the parts of addresses grow with their attempts, so that short ones, of which the corpus may hold all, find theirs.
-
-Documents without entities pass unchanged. Others are joined by a hash of their text with its own
-map of replacements, so copies, null ids and repeated rows need no key. A null text stays null.
+Detected kinds: e-mail addresses, phone numbers (with a country code, an area code in brackets, three groups, or
+pairs), IPv4 and IPv6 addresses, payment cards (of the known networks, with a right check digit), US social security
+numbers, IBANs (with right check digits), access keys of known forms, hexadecimal secrets, and names (a title or
+a known given name before capitalised words; Latin, Cyrillic and Greek). What has the form of a card, an IBAN or a phone but
+not its check digits or number of digits stays as it is. An entity is brought to a normal form (case, separators, country
+code of phones), and its surrogate comes from a keyed hash of kind and normal form: so one entity gets one surrogate
+in every document and spelling, rendered in the format found (digits poured into the same separators, same case).
+Given names are replaced by names of the same gender and script, surnames by names of the same script; cards and
+IBANs get right check digits; local part and domain of an address are entities of their own. Within a document that
+names somebody the parts of the name are also replaced where they stand alone (unless the text has the same
+word in lower case).
+
+Surrogates are checked over all entities of a kind: where two would share one, or one is itself an entity of the corpus,
+all but the first are hashed again with the next attempt, ROUNDS times at most. Names and the parts of addresses
+grow with their attempts, so that short ones, of which the corpus may hold all, find theirs. What is left then (numbers of
+a format whose space the corpus nearly fills) swaps places: each takes another's normal form, in keyed order.
+
+Documents without entities pass unchanged. Others are joined by a hash of their text with their own
+map of replacements, so copies, null ids and repeated rows need no key. A null text stays null, empty tables stay empty,
+columns of docs may have any names. Texts of any length are read whole, by one task each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 # Given names by script and gender, and titles by gender.
 GIVEN = {
@@ -56,13 +63,14 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in the order in which they are tried, and their patterns.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,5}",
-    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35}|xox[abprs]-[0-9A-Za-z-]{10,72}|sk_(?:live|test)_[0-9A-Za-z]{16,64})(?![A-Za-z0-9_-])",
     "hex": r"(?<![A-Za-z0-9])(?=[a-f]*\d)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d.]*\d)",
-    "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])",
+    "card": r"(?<![\d-])(?:(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6\d{3})(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\p{L}\d])",
+    "phone": r"(?<![\p{L}\d])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{1,4}){2,5}|\d{3}([ .-])\d{3}\1\d{4}|0\d(?:[ .-]?\d{2}){4}|0\d{2,4}[ /-]\d{6,8})(?![\p{L}\d])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? {WORD}(?: {WORD})?|(?:{_GIVEN}) (?:\p{{Lu}}\. )?{WORD})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -79,6 +87,19 @@ def matches(col: str) -> Column:
     return F.when(F.col(col).rlike(CUE), found).otherwise(F.array().cast("array<string>"))
 
 
+def valid(match: Column) -> Column:
+    """False for what only looks like a card, an IBAN or a phone number."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    is_a = lambda kind: match.rlike(f"^(?:{KINDS[kind]})$")
+    double = lambda c, i: F.when(i % 2 == 1, F.when(2 * c.cast("int") > 9, 2 * c.cast("int") - 9).otherwise(2 * c.cast("int"))).otherwise(c.cast("int"))
+    luhn = F.aggregate(F.transform(F.reverse(F.split(digits, "")), double), F.lit(0), lambda a, x: a + x)
+    code = F.regexp_replace(match, " ", "")
+    turned = F.concat(F.substring(code, 5, 100), F.substring(code, 1, 4))
+    number = F.array_join(F.transform(F.split(turned, ""), lambda c: F.when(c.between("0", "9"), c).otherwise((F.ascii(c) - 55).cast("string"))), "")
+    rest = F.aggregate(F.split(number, ""), F.lit(0), lambda a, c: (10 * a + c.cast("int")) % 97)
+    return F.when(is_a("iban"), rest == 1).when(is_a("card"), luhn % 10 == 0).when(is_a("phone"), F.length(digits).between(7, 15)).otherwise(F.lit(True))
+
+
 def _kind(col: str) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(list(KINDS.items())[:-1]):
@@ -148,11 +169,17 @@ def _surrogate() -> str:
     card = f"concat(left(norm, 1), substr({_letters('norm')}, 2, length(norm) - 2))"
     double = "if(pmod(i, 2) = 0, if(2 * cast(c as int) > 9, 2 * cast(c as int) - 9, 2 * cast(c as int)), cast(c as int))"
     check = f"pmod(10 - pmod(aggregate(transform(reverse(split(card, '')), (c, i) -> {double}), 0, (a, x) -> a + x), 10), 10)"
+    # A code's check digits follow from what comes after them, read as a number (A is 10), the country behind it.
+    number = "array_join(transform(split(concat(body, left(norm, 2), '00'), ''), c -> if(c BETWEEN '0' AND '9', c, cast(ascii(c) - 55 as string))), '')"
+    checked = f"concat(left(norm, 2), lpad(cast(98 - aggregate(split({number}, ''), 0, (a, c) -> pmod(10 * a + cast(c as int), 97)) as string), 2, '0'), body)"
+    iban = f"element_at(transform(array({_letters('substr(norm, 5)')}), body -> {checked}), 1)"
+    ip6 = f"array_join(transform(split(norm, ''), (c, i) -> if(c = ':', c, substr('123456789abcdef', 1 + pmod({_byte('i')}, 15), 1))), '')"
     cases += [
         f"WHEN ptype = 'ip' THEN {octets}",
         "WHEN ptype = 'hex' THEN left(stream, length(norm))",
-        f"WHEN ptype = 'key' THEN concat('AKIA', {_letters('substr(norm, 5)')})",
-        f"WHEN ptype = 'iban' THEN concat(left(norm, 2), {_letters('substr(norm, 3)')})",
+        f"WHEN ptype = 'ip6' THEN {ip6}",
+        f"WHEN ptype = 'key' THEN concat(left(norm, 4), {_letters('substr(norm, 5)')})",
+        f"WHEN ptype = 'iban' THEN {iban}",
         f"WHEN ptype = 'local' THEN {_letters(_longer('norm'))}",
         f"WHEN ptype = 'domain' THEN concat({_letters(_longer('substring_index(norm, chr(46), size(split(norm, chr(92) || chr(46))) - 1)'))}, '.', substring_index(norm, '.', -1))",
     ]
@@ -178,42 +205,69 @@ def _render() -> str:
     )
 
 
-def surrogates(parts: DataFrame, key: str) -> DataFrame:
-    """ptype, norm, surrogate: distinct within a ptype, and none of them a norm of that ptype."""
-    own = parts.where("ptype <> 'keep'").select("ptype", "norm").distinct().withColumn("attempt", F.lit(0))
-    while True:
-        base = F.concat_ws("|", F.lit(key), "ptype", "norm", F.col("attempt").cast("string"))
+#: Attempts to find a surrogate that is neither taken nor an entity of the corpus.
+ROUNDS = 12
+
+
+def surrogates(parts: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """ptype, norm, surrogate: distinct within a ptype, and none of them a norm of that ptype (but those that swap places at the end)."""
+    norms = materialise(parts.where("ptype <> 'keep'").select("ptype", "norm").distinct())
+    taken = norms.select("ptype", F.col("norm").alias("surrogate"))
+    todo, done, last = norms, [], None
+    for attempt in range(rounds):
+        base = F.concat_ws("|", F.lit(key), "ptype", "norm", F.lit(str(attempt)))
         stream = F.concat(F.sha2(base, 512), F.sha2(F.concat(base, F.lit("|more")), 512))
-        table = materialise(own.withColumn("stream", stream).select("ptype", "norm", "attempt", F.expr(_surrogate()).alias("surrogate")))
-        first = table.groupBy("ptype", "surrogate").agg(F.min(F.struct("attempt", "norm")).alias("first"))
-        real = table.select("ptype", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
-        judged = table.join(first, ["ptype", "surrogate"]).join(real, ["ptype", "surrogate"], "left")
-        bad = F.coalesce("real", F.lit(False)) | (F.col("first.norm") != F.col("norm")) | (F.col("first.attempt") != F.col("attempt"))
-        judged = materialise(judged.select("ptype", "norm", "attempt", "surrogate", bad.alias("bad")))
-        if judged.where("bad").isEmpty():
-            return judged.select("ptype", "norm", "surrogate")
-        own = judged.select("ptype", "norm", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
+        tried = todo.withColumn("attempt", F.lit(attempt)).withColumn("stream", stream).select("ptype", "norm", F.expr(_surrogate()).alias("surrogate"))
+        last = materialise(tried)
+        first = last.groupBy("ptype", "surrogate").agg(F.min("norm").alias("norm")).select("ptype", "norm", "surrogate")
+        for before in (taken, *[d.select("ptype", "surrogate") for d in done]):
+            first = first.join(before, ["ptype", "surrogate"], "left_anti")
+        done.append(materialise(first))
+        todo = materialise(todo.join(done[-1], ["ptype", "norm"], "left_anti"))
+        if todo.isEmpty():
+            break
+    else:
+        # Groups of many numbers of one length, none of them in the surrogates above: each takes the next one's place.
+        groups = 1 + todo.count() // 100_000
+        place = [F.col("ptype"), F.length("norm"), F.pmod(F.xxhash64("norm"), F.lit(groups))]
+        order = F.sha2(F.concat_ws("|", F.lit(key), F.lit("swap"), "ptype", "norm"), 256)
+        ring = Window.partitionBy(*place).orderBy(order, "norm")
+        nxt = F.coalesce(F.lead("norm").over(ring), F.first("norm").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        swapped = todo.withColumn("next", nxt).join(last, ["ptype", "norm"])
+        done.append(materialise(swapped.select("ptype", "norm", F.when(F.col("next") != F.col("norm"), F.col("next")).otherwise(F.col("surrogate")).alias("surrogate"))))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _alone(word: Column) -> Column:
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])"), word, F.lit(r"(?![\p{L}\p{N}])"))
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with the entities of text_col replaced, and their number in count_col if it is given."""
     columns = docs.columns
-    rows = docs.withColumn("__m", matches(text_col))
+    m, n, tk, news, names = unused([*columns, count_col or ""], "found", "n_found", "text_hash", "replacements", "bare_names")
+    rows = docs.withColumn(m, matches(text_col)).withColumn(n, F.coalesce(F.size(F.filter(m, valid)), F.lit(0)))
     # Each distinct entity of a text once; hashes of texts part what a popular entity gathers.
-    found = rows.where(F.size("__m") > 0).select(F.xxhash64(text_col).alias("tk"), F.explode(F.array_distinct("__m")).alias("match")).distinct()
+    found = rows.where(F.col(n) > 0).select(F.xxhash64(text_col).alias("tk"), F.explode(F.array_distinct(F.filter(m, valid))).alias("match")).distinct()
     found = materialise(found)
-    parts = _parts(found.select("match").distinct().withColumn("kind", _kind("match")))
-    parts = materialise(parts)
+    parts = materialise(_parts(found.select("match").distinct().withColumn("kind", _kind("match"))))
     parts_with = parts.join(surrogates(parts, key), ["ptype", "norm"], "left")
-    rendered = parts_with.select("match", "kind", "pos", F.expr(_render()).alias("new"))
+    rendered = parts_with.select("match", "kind", "pos", "part", "ptype", F.expr(_render()).alias("new"))
     whole = F.expr("array_join(transform(array_sort(collect_list(struct(pos, new))), x -> x.new), if(first(kind) = 'email', '@', ' '))")
-    table = materialise(rendered.groupBy("match").agg(whole.alias("new")))
-    lists = found.join(table, "match").groupBy("tk").agg(F.map_from_entries(F.collect_list(F.struct("match", "new"))).alias("map"))
+    # What of a name may stand alone; longer parts first, so that none is replaced inside another.
+    alone = F.when((F.col("kind") == "name") & (F.col("ptype") != "keep") & (F.length("part") > 1), F.struct((-F.length("part")).alias("size"), "part", "new"))
+    table = materialise(rendered.groupBy("match").agg(whole.alias("new"), F.collect_list(alone).alias("bare")))
+    lists = found.join(table, "match").groupBy("tk").agg(
+        F.map_from_entries(F.collect_list(F.struct("match", "new"))).alias("map"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("bare")))).alias("bare")
+    )
     lists = materialise(lists)
-    changed = rows.where(F.size("__m") > 0).withColumn("__tk", F.xxhash64(text_col)).join(lists.toDF("__tk", "__map"), "__tk")
+    changed = rows.where(F.col(n) > 0).withColumn(tk, F.xxhash64(text_col)).join(lists.toDF(tk, news, names), tk)
+    own = F.filter(names, lambda x: ~F.rlike(F.col(text_col), _alone(F.lower(x["part"]))))
     between = F.split(text_col, ENTITY, -1)
-    new = F.array_join(F.zip_with(between, F.transform("__m", lambda m: F.element_at("__map", m)), lambda s, r: F.concat(s, F.coalesce(r, F.lit("")))), "")
-    counted = [F.size("__m").alias(count_col)] if count_col else []
-    changed = changed.select(*[new.alias(c) if c == text_col else F.col(c) for c in columns], *counted)
-    same = rows.where((F.size("__m") == 0) | F.col(text_col).isNull()).select(*columns, *([F.lit(0).alias(count_col)] if count_col else []))
+    piece = lambda s: F.aggregate(F.col(names), s, lambda t, x: F.regexp_replace(t, _alone(x["part"]), x["new"]))
+    said = F.zip_with(between, m, lambda s, e: F.concat(piece(s), F.coalesce(F.element_at(news, e), e, F.lit(""))))
+    changed = changed.withColumn(names, own)
+    counted = [F.col(n).alias(count_col)] if count_col else []
+    changed = changed.select(*[F.array_join(said, "").alias(c) if c == text_col else F.col(c) for c in columns], *counted)
+    same = rows.where(F.col(n) == 0).select(*columns, *counted)
     return same.unionByName(changed)

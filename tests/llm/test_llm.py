@@ -121,6 +121,83 @@ def test_surrogates_of_short_and_foreign_addresses_end(spark):
     assert all(a.rsplit(".", 1)[1] == b.rsplit(".", 1)[1] for a, b in zip(new, found, strict=True))
 
 
+def luhn(digits):
+    d = [int(c) for c in digits][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10
+
+
+def mod97(code):
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
+
+
+def test_forms_of_entities(spark):
+    """What is found, and in what form it is replaced; what only looks like an entity stays."""
+    found = {
+        "+15551234567": r"\+\d{11}", "06 12 34 56 78": r"\d\d( \d\d){4}", "+33 6 12 34 56 78": r"\+\d\d \d( \d\d){4}", "555-123-4567": r"\d{3}-\d{3}-\d{4}", "(030) 1234567": r"\(\d{3}\) \d{7}",
+        "3782 822463 10005": r"\d{4} \d{6} \d{5}", "378282246310005": r"\d{15}", "4111-1111-1111-1111": r"4\d{3}(-\d{4}){3}", "2001:db8::ff00:42:8329": r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}",
+        "DE89 3704 0044 0532 0130 00": r"DE\d\d( \d{4}){4} \d\d", "GB82WEST12345698765432": r"GB\d\d[A-Z]{4}\d{14}", "ghp_" + "a1B2" * 9: r"ghp_([a-z]\d[A-Z]\d){9}", "10.1.2.3": r"\d+(\.\d+){3}", "123-45-6789": r"\d{3}-\d{2}-\d{4}",
+    }
+    stay = ["10 000 000", "1999-2000 1500", "4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00", "12:30:45", "1234567890123456", "3.14159 26535", "v1.2.3"]
+    rows = [(i, f"x {s} y") for i, s in enumerate([*found, *stay])] + [(99, None), (98, "")]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (old, form) in enumerate(found.items()):
+        new = out[i][2:-2]
+        assert re.fullmatch(form, new) and new != old, (old, new)
+        digits = re.sub(r"\D", "", new)
+        assert len(digits) not in (15, 16) or old[0] not in "34" or luhn(digits) == 0
+        assert old[:2] not in ("DE", "GB") or mod97(new.replace(" ", "")) == 1
+    assert [out[len(found) + i][2:-2] for i in range(len(stay))] == stay and out[99] is None and out[98] == ""
+
+
+def test_names_alone_follow_their_full_form(spark):
+    rows = [(1, "Dr. Baker came. Baker said so; Bakers did not."), (2, "Mary May saw it in may. May left, Mary stayed."), (3, "Baker alone"), (4, "Herr Jürgen Über-Maß ging, Über-Maß blieb. Frau Jürgen kam.")]
+    clash = "doc_id long, text string, found int, text_hash string, replacements int, bare_names string, n_found long"
+    df = spark.createDataFrame([(*r, 7, "t", 8, "b", 9) for r in rows], clash)
+    got = pii.replace_entities(df, "k", count_col="n")
+    assert got.columns == [*df.columns, "n"] and all(tuple(r)[2:7] == (7, "t", 8, "b", 9) for r in got.collect())
+    out = {r["doc_id"]: r["text"] for r in got.collect()}
+    new = re.fullmatch(r"Dr\. (\w+) came\. (\w+) said so; Bakers did not\.", out[1])
+    assert new and new[1] == new[2] != "Baker"
+    given, may, alone, again = re.fullmatch(r"(\w+) (\w+) saw it in may\. (\w+) left, (\w+) stayed\.", out[2]).groups()
+    assert given == again != "Mary" and may != "May" and alone == "May"  # the text has the word in lower case
+    assert out[3] == "Baker alone" and "Über-Maß" not in out[4] and "Jürgen" not in out[4]
+
+
+def test_surrogates_of_a_full_space_end(spark):
+    """All numbers of a format are in the corpus: they swap places, each with another."""
+    parts = spark.range(1000).select(F.lit("phone").alias("ptype"), F.lpad(F.col("id").cast("string"), 3, "0").alias("norm"))
+    got = pii.surrogates(parts, "k", rounds=2).collect()
+    assert len(got) == 1000 == len({r["surrogate"] for r in got}) and all(r["norm"] != r["surrogate"] and len(r["surrogate"]) == 3 for r in got)
+
+
+def test_surrogates_on_the_test_table_match_brute_force(spark):
+    """Over whole texts of sf0.001: the same places change as a search by the regex module finds, one surrogate for one entity, none shared."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    old, new = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (docs, pii.replace_entities(docs, "k")))
+    entity, seen = regex.compile(pii.ENTITY), {}
+    changed = 0
+    for i, text in old.items():
+        if text is None:
+            assert new[i] is None
+            continue
+        at, out = 0, new[i]
+        pattern = ""
+        for m in entity.finditer(text):
+            card = regex.fullmatch(pii.KINDS["card"], m[0])
+            keep = card and luhn(re.sub(r"\D", "", m[0]))
+            pattern += regex.escape(text[at : m.start()]) + (regex.escape(m[0]) if keep else "(.+?)")
+            at = m.end()
+        match = regex.fullmatch(pattern + regex.escape(text[at:]), out, regex.S)
+        assert match, i
+        wanted = [m[0] for m in entity.finditer(text) if not (regex.fullmatch(pii.KINDS["card"], m[0]) and luhn(re.sub(r"\D", "", m[0])))]
+        for a, b in zip(wanted, match.groups(), strict=True):
+            assert a != b and seen.setdefault(a, b) == b
+            changed += 1
+    assert changed > 10 and len(set(seen.values())) == len(seen)
+
+
 def test_shards_fit_and_hold_all_rows(spark, docs):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
     rows = sharding.extendible_shards(df, 400, spare_bits=1).collect()
