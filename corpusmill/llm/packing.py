@@ -12,7 +12,8 @@ batches. Texts are tokenized once: ids go to the shared work folder, in two byte
 vocabulary allows.
 
 Nulls count as the empty text, which has the end id alone; a null id stays null. Repeated rows are
-packed as often as they occur. An empty table gives no pieces.
+packed as often as they occur. An empty table gives no pieces. A very long text is encoded whole by one task and cut
+into pieces one after the other. Of docs only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ class WordTokenizer:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.letter = np.zeros(256, bool)
         self.letter[[*range(65, 91), *range(97, 123)]] = True
-        self.cache = WordCache(800_000)
+        self.cache = WordCache(400_000)
 
     def encode_many(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -168,11 +169,12 @@ def _bucket(cuts: list[int]) -> F.Column:
 
 
 def pack(
-    docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = 4_000_000, with_ids: bool = True
+    docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = 1_000_000, with_ids: bool = True
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array) if asked for.
 
-    range_tokens: about how many tokens one task lays out (at most 20,000 ranges are made)."""
+    range_tokens: about how many tokens one task lays out (at most 20,000 ranges are made; larger ones stream through
+    their tasks in the same memory)."""
     table = materialise(encoded(docs, tokenizer_file, end_id, id_col, text_col))
     total = table.agg(F.sum("n_tokens"), F.count("*")).first()
     ranges = int(min(20_000, max(1, -(-(total[0] or 0) // range_tokens))))

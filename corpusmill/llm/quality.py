@@ -1,13 +1,16 @@
 """Quality rules: base measures of each text, and lines that many documents of a host share.
 
 Lines are normalised (lower case, digits to 0, other marks and white space to one blank) and hashed.
-For each host (the source column) the distinct documents of a line are counted, where documents with
-equal texts count once, so that mere copies do not make a line boilerplate. Lines of any length in more than
+For each host (the source column) the distinct documents of a line are counted; documents are told apart by id and
+text, so copies under other ids count and a row repeated with id and text does not. Lines of any length in more than
 `max_share` of a host's documents are removed, where that limit is `least_documents` at least and `max_documents` at
-most; a document that keeps less than `least_kept` of its words is rejected. `cleaned` gives the texts that are left. A document is kept if the base rules pass too.
+most; a document that keeps less than `least_kept` of its words is rejected. `cleaned` gives the texts that are left.
+A document is kept if the base rules pass too. The key that lines are counted by holds host and line, so a
+host is no hot group, and a line that all documents share is combined before it is exchanged.
 
-Words are runs of characters other than blank and U+0009 to U+000D. Nulls: a null text has no words,
-a null host is a host of its own. Repeated rows are judged alike. Counts are over all documents.
+Words are runs of characters other than blank and U+0009 to U+000D. Nulls: a null text has no words (`cleaned` leaves it
+null), a null host is a host of its own, rows with a null id are told apart by their texts. An empty table gives an empty
+result. A text of any length is measured whole, by one task. Columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of, texts
+from .common import materialise, text_of, texts, unused
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -95,20 +98,25 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
 
 
 def boilerplate(rows: DataFrame, max_documents: int, max_share: float, least_documents: int) -> DataFrame:
-    """text_host, line, words: the lines to remove from each distinct text of a host; rows: measured, with text_host."""
-    lines = rows.select("host", "text_host", F.explode(F.arrays_zip("line", "line_words")).alias("l"))
-    # The key holds the host, so that no host is a group; one row for each line of each text of a host.
-    lines = lines.groupBy(F.xxhash64("host", "l.line").alias("key"), "text_host").agg(F.first("host").alias("host"), F.first("l.line").alias("line"), F.max("l.line_words").alias("words"))
+    """doc_key, line, words: the lines to remove from each document of a host; rows: measured, with doc_key."""
+    lines = rows.select("host", "doc_key", F.explode(F.arrays_zip("line", "line_words")).alias("l"))
+    # The key holds the host, so that no host is a group; one row for each line of each document.
+    lines = lines.groupBy(F.xxhash64("host", "l.line").alias("key"), "doc_key").agg(F.first("host").alias("host"), F.first("l.line").alias("line"), F.max("l.line_words").alias("words"))
     lines = materialise(lines)
-    texts_of = rows.select("host", "text_host").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
-    limit = F.least(F.lit(max_documents), F.greatest(F.lit(least_documents), F.col("n_texts") * max_share))
+    documents_of = rows.select("host", "doc_key").distinct().groupBy("host").agg(F.count("*").alias("n_documents"))
+    limit = F.least(F.lit(max_documents), F.greatest(F.lit(least_documents), F.col("n_documents") * max_share))
     counts = lines.groupBy("key").agg(F.count("*").alias("count"), F.first("host").alias("host")).where(F.col("count") > min(least_documents, max_documents))
-    common = counts.alias("c").join(texts_of.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).where(F.col("count") > limit)
-    return lines.join(materialise(common.select("key")), "key").select("text_host", "line", "words")
+    common = counts.alias("c").join(documents_of.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).where(F.col("count") > limit)
+    return lines.join(materialise(common.select("key")), "key").select("doc_key", "line", "words")
+
+
+def _doc_key(doc_id: F.Column, host: F.Column, text_key: F.Column) -> F.Column:
+    return F.xxhash64(host, text_key, doc_id)
 
 
 def hosted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    return materialise(measured(docs, id_col, text_col, host_col).withColumn("text_host", F.xxhash64("host", "text_key")))
+    rows = measured(docs, id_col, text_col, host_col)
+    return materialise(rows.withColumn("doc_key", _doc_key(F.col("doc_id"), F.col("host"), F.col("text_key"))))
 
 
 def cleaned(
@@ -116,8 +124,10 @@ def cleaned(
 ) -> DataFrame:
     """docs without the lines that quality_rules counts as removed; a null text stays null."""
     removed = boilerplate(hosted(docs, id_col, text_col, host_col), max_documents, max_share, least_documents)
-    lists = removed.groupBy(F.col("text_host").alias("__th")).agg(F.collect_set("line").alias("__lines"))
-    rows = docs.withColumn("__th", F.xxhash64(F.col(host_col).cast("string"), F.xxhash64(text_of(text_col)))).join(lists, "__th", "left")
+    key, lines = unused(docs.columns, "doc_key", "removed_lines")
+    lists = removed.groupBy(F.col("doc_key").alias(key)).agg(F.collect_set("line").alias(lines))
+    own = _doc_key(F.col(id_col).cast("long"), F.col(host_col).cast("string"), F.xxhash64(text_of(text_col)))
+    rows = docs.withColumn(key, own).join(lists, key, "left")
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +138,7 @@ def cleaned(
                 out.append("\n".join(x for x in text.split("\n") if not x.split() or line_key(x) not in drop) if text and drop else text)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.string()), *b.columns[at + 1 : len(names)]], names)
 
-    return rows.select(*names, "__lines").mapInArrow(run, docs.schema)
+    return rows.select(*names, lines).mapInArrow(run, docs.schema)
 
 
 def quality_rules(
@@ -138,8 +148,8 @@ def quality_rules(
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words of every row."""
     rows = hosted(docs, id_col, text_col, host_col)
     lines = boilerplate(rows, max_documents, max_share, least_documents)
-    removed = materialise(lines.groupBy("text_host").agg(F.sum("words").alias("removed_words")))
-    out = rows.drop("line", "line_words").join(removed, "text_host", "left")
+    removed = materialise(lines.groupBy("doc_key").agg(F.sum("words").alias("removed_words")))
+    out = rows.drop("line", "line_words").join(removed, "doc_key", "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words") >= least_kept * F.col("n_words")

@@ -8,7 +8,8 @@ are opened again with more bits, so rows of finished shards are not read further
 
 A bucket of one document is never split: a document over the limit is a shard of its own, marked
 over_limit. So are rows that repeat one key exactly, which no bit can part. Nulls: a null key is a
-key like others, a null text has no bytes. An empty table has no shards.
+key like others, a null text has no bytes. An empty table has no shards. Texts are only measured, however long;
+other columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 HASH_BITS = 60
 #: A directory of at most so many cells (each under 50 bytes) is broadcast; a larger one is joined by shuffle.
@@ -74,7 +75,11 @@ def _look_up(rows: DataFrame, directory: DataFrame, bits: int, cells: int) -> Da
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """All columns of docs (ids unique), a folder of Parquet files for each shard."""
-    shards = extendible_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), "shard_id")
-    rows = docs.join(shards, docs[id_col].cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    rows.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """All columns of docs, a folder of Parquet files for each shard; rows of one id (repeated, or null) share a shard.
+
+    A shard over the limit (rows that repeat one id) is written by as many tasks as its rows come from."""
+    key, over = unused([*docs.columns, "shard_id"], "shard_key", "over_limit")
+    shards = extendible_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias(key), "shard_id", F.col("over_limit").alias(over)).distinct()
+    rows = docs.join(shards, docs[id_col].cast("long").eqNullSafe(F.col(key))).drop(key)
+    part = F.when(F.col(over), F.spark_partition_id()).otherwise(-1)
+    rows.repartition("shard_id", part).drop(over).write.partitionBy("shard_id").parquet(path)

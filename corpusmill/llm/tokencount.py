@@ -9,7 +9,13 @@ No piece holds a word mark after another character and none holds a character ou
 vocabulary's alphabet (both are checked when the model is read), so merges never cross such places:
 the text is cut there, and the counts of the resulting units are cached.
 
-Nulls count as empty; an empty text has no tokens. Repeated rows give repeated results.
+When the model is read, texts with what a model may treat on its own (runs of blanks, other white space, marks, characters
+outside the alphabet, special strings, compatibility forms) are counted by the library too; a model whose normaliser or
+user-defined pieces give other counts is refused.
+
+Nulls count as empty; an empty text has no tokens. Repeated rows give repeated results, an empty table an empty one.
+Of docs only the id and the text are read, so other columns may have any names. Long texts are counted whole;
+units of over 64 characters are not cached.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import WordCache, kept, text_of, texts
 
 MARK = "▁"
+PROBES = ["", " ", "a", " a", "Hello  world ", "x\ty\r\n z", "é e\u0301 ﬁ ½ 中文 \U0001f600", "<s></s> <unk> <0x41>", "▁▁ a▁b", "1234567 3.14, (a)", "aaaaaaaaaaaaaaaaaaaaaaaa", "\u00a0\u200b\ufeff"]
 
 
 class MergeCounter:
@@ -50,6 +57,9 @@ class MergeCounter:
         inside = "".join(re.escape(c) for c in sorted(alphabet - {MARK}))
         self.unit = re.compile(f"{MARK}*[{inside}]+|{MARK}+|[^{inside}{MARK}]+")
         self.cache = WordCache()
+        for text in PROBES:
+            if self.count(text) != len(model.encode(text)):
+                raise ValueError(f"this model treats {text!r} in a way of its own")
 
     def merged(self, symbols: str) -> int:
         """Symbols left of one unit when no pair can be merged any more."""

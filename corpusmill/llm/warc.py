@@ -12,6 +12,9 @@ inflating the rest. Files by other writers, without the "sl" field or not compre
 Paths may be local or any URI that pyarrow.fs opens. Needs spark.sql.python.filterPushdown.enabled
 for the filters to reach the reader (write_read sets it).
 
+Repeated rows are written as often as they occur. An empty table makes no response or revisit records. Payloads of any
+length are held one at a time by the reader and the writer.
+
 Nulls: a null payload is the empty one, a null target URI or page id leaves its header out. A
 payload's digest is always that of the full payload, also for revisits, which carry none.
 """
@@ -107,7 +110,8 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(temporary, final)
 
     def row(self, page: int | None, url: str | None, ref: int | None, payload: bytes, salt: str) -> bytes:
-        headers = [("WARC-Record-ID", record_id(page, salt)), ("WARC-Date", self.date), ("Content-Type", "application/http;msgtype=response")]
+        # A page that revisits itself (repeated rows) has a record of its own.
+        headers = [("WARC-Record-ID", record_id(None if page == ref else page, salt)), ("WARC-Date", self.date), ("Content-Type", "application/http;msgtype=response")]
         headers += [("WARC-Target-URI", clean_uri(url))] if url is not None else []
         headers += [("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}")]
         headers += [("Page-ID", str(page))] if page is not None else []
@@ -311,18 +315,30 @@ def register(spark: SparkSession) -> None:
 def with_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload, refers_to: the smallest page_id of an equal payload, null for that page itself.
 
-    The smallest ids are gathered per SHA-1 with partial aggregation, for payloads that occur more
-    than once; both sides of the join come from plain exchanges, so a payload that a third of the
-    pages share is split by adaptive execution."""
+    Of several rows with that page_id the one with the least url is the response, of equal rows any one; all others
+    revisit it. A payload that only rows without an id have is a response each time. The smallest ids are gathered
+    per SHA-1 with partial aggregation, for payloads that occur more than once; both sides of the join come from
+    plain exchanges, so a payload that a third of the pages share is split by adaptive execution. Equal rows
+    that could all be the response (a page repeated whole) are counted, and made again from one of them."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")
     )
     keyed = rows.withColumn("digest", F.sha1("payload"))
-    first = keyed.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = materialise(first.where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id"))
+    counted = keyed.where(F.octet_length("payload") >= least_bytes).groupBy("digest", "page_id", "url").agg(F.count("*").alias("times"))
+    order = F.struct(F.isnull("page_id"), F.col("page_id"), F.isnotnull("url"), F.col("url"))
+    first = counted.groupBy("digest").agg(F.sum("times").alias("n"), F.min_by(F.struct("page_id", "url", "times"), order).alias("f"))
+    first = first.where("n > 1 AND f.page_id IS NOT NULL").select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"), F.col("f.times").alias("times"))
+    first = materialise(first)
     joined = keyed.join(first, "digest", "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id"))
-    return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
+    head = F.col("first_id").isNull() | (F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url")))
+    repeated = head & (F.coalesce("times", F.lit(1)) > 1)
+    out = joined.where(~repeated).select("page_id", "url", "payload", F.when(~head, F.col("first_id")).alias("refers_to"))
+    ties = first.where("times > 1")
+    if ties.isEmpty():
+        return out
+    again = joined.where(repeated).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "payload", "times")])
+    again = again.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.unionByName(again.select("page_id", "url", "payload", F.when(F.col("i") > 1, F.col("page_id")).alias("refers_to")))
 
 
 def write_warc(pages: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +52,15 @@ def test_packing_is_gapless_and_exact(docs):
     want = sorted((r[0] or -1, len(lib.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in edge_rows())
     assert sorted((p["doc_id"] or -1, p["doc_tokens"]) for p in pieces if p["start"] == 0) == want
     assert sum(p["length"] for p in pieces) == sum(n for _, n in want)
+    # The ids of each document, piece by piece, are the library's (rows repeated with id and text have the same ones).
+    ids_of = {(r[0], r[1]): lib.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in edge_rows()}
+    by_doc = {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        by_doc.setdefault(p["doc_id"], []).append((p["start"], p["ids"]))
+    for doc, parts in by_doc.items():
+        own = sorted(x for (i, _), ids in ids_of.items() if i == doc for x in [ids])
+        joined = [x for _, ids in parts for x in ids]
+        assert joined == own[0] * (len(joined) // len(own[0])), doc
     at = 0
     for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
         assert p["sequence_id"] * 64 + p["offset"] == at
@@ -198,6 +208,16 @@ def test_surrogates_on_the_test_table_match_brute_force(spark):
     assert changed > 10 and len(set(seen.values())) == len(seen)
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(i, "x" * 30, "a") for i in range(40)] + [(7, "y" * 50, str(i)) for i in range(20)] + [(None, None, "n"), (None, "z", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard_key string").repartition(5)
+    sharding.write_shards(df, str(tmp_path / "s"), 200)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, got.select("doc_id", "text", "shard_key").collect())) == sorted(map(str, df.collect()))
+    sizes = {r["shard_id"]: (r["n"], r["ids"]) for r in got.groupBy("shard_id").agg(F.sum(F.length("text")).alias("n"), F.count_distinct("doc_id").alias("ids")).collect()}
+    assert all(n is None or n <= 200 or ids == 1 for n, ids in sizes.values())
+
+
 def test_shards_fit_and_hold_all_rows(spark, docs):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
     rows = sharding.extendible_shards(df, 400, spare_bits=1).collect()
@@ -306,14 +326,100 @@ def test_warc_round_trip(spark):
     assert {r["payload"].decode() for r in got if r["record_type"] == "response"} == {"<p>é</p>", "", "z" * 5000}
 
 
+def test_warc_ties_have_one_response(spark):
+    rows = [(1, "b", "x"), (1, "a", "x"), (1, "a", "x"), (2, "a", "x"), (None, "c", "x"), (None, "c", "only"), (None, "c", "only"), (5, None, "y"), (5, "u", "y"), (7, "u", "alone")]
+    got = warc.write_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and len({r["record_id"] for r in got}) == len(rows)
+    kinds = sorted((r["page_id"] or "-", r["target_uri"] or "-", r["record_type"], r["refers_to"] or "-", r["payload_bytes"]) for r in got)
+    assert kinds == [
+        ("-", "c", "response", "-", 4), ("-", "c", "response", "-", 4), ("-", "c", "revisit", "1", 1), ("1", "a", "response", "-", 1), ("1", "a", "revisit", "1", 1), ("1", "b", "revisit", "1", 1),
+        ("2", "a", "revisit", "1", 1), ("5", "-", "response", "-", 1), ("5", "u", "revisit", "5", 1), ("7", "u", "response", "-", 5),
+    ]
+    assert warc.write_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_filters_and_payloads_are_decided_by_headers(spark, tmp_path):
+    """Filters are taken over; records that they leave out, and payloads not asked for, are not inflated."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    rng = random.Random(9)
+    long_ = "".join(rng.choice("abcdefgh \n") for _ in range(300_000))
+    rows = [(i, f"http://h/{i}", long_ if i == 3 else f"<p>{i % 2}</p>") for i in range(6)]
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), path)
+    read = warc.read_warc(spark, path)
+    plan = read.where("record_type = 'response' AND page_id IN ('1', '3', '9')")
+    assert sorted(r["page_id"] for r in plan.collect()) == ["1", "3"] and plan.where("payload_bytes > 100").count() == 1
+    assert {r["payload"] for r in warc.read_warc(spark, path, payload=False).collect()} == {None}
+    reader = warc.WarcReader({"path": path, "payload": "false"})
+    left = list(reader.pushFilters([EqualTo(("record_type",), "response"), In(("page_id",), ("0", "3")), GreaterThan(("payload_bytes",), 5)]))
+    assert [type(f) for f in left] == [GreaterThan]
+    [file] = [f for f in (tmp_path / "w").iterdir() if f.name.endswith(".warc.gz")]
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2 : len(data) // 2 + 2000] = bytes(2000)  # inside the long payload
+    file.write_bytes(data)
+    [part] = reader.partitions()
+    assert [x for b in reader.read(part) for x in b.column("page_id").to_pylist()] == ["0", "3"]
+    whole = warc.WarcReader({"path": path})
+    with pytest.raises(Exception, match="."):
+        list(whole.read(part))
+    skips = warc.WarcReader({"path": path})
+    list(skips.pushFilters([EqualTo(("page_id",), "4")]))
+    assert [x for b in skips.read(part) for x in b.column("page_id").to_pylist()] == ["4"]
+
+
+def test_foreign_archives_are_read(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody\r\n\r\nmore"
+    one = lambda kind, block, kind_of=b"application/http; msgtype=response": b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nwarc-target-uri: http://x\r\nContent-Type: " + kind_of + b"\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    records = [one(b"warcinfo", b"a: b\r\n", b"application/warc-fields"), one(b"response", http), one(b"resource", b"z" * 70_000, b"text/plain")]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "_hidden.warc").write_bytes(b"no")
+    for payload in (True, False):
+        got = sorted((r["file"][-7:], r["record_type"], r["payload_bytes"], r["payload"]) for r in warc.read_warc(spark, f"file://{tmp_path}", payload).collect())
+        want = [("warcinfo", 6, b"a: b\r\n"), ("response", 12, b"body\r\n\r\nmore"), ("resource", 70_000, b"z" * 70_000)]
+        assert got == sorted((f, k, n, p if payload else None) for f in ("/a.warc", "warc.gz") for k, n, p in want)
+
+
 def test_quality_measures_match_brute_force():
     for text in [r[1] or "" for r in edge_rows()] + ["a b c a b c d\na b\n\na b\n# $ x", "a a a a a"]:
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
         grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-        hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)} if len(words) < 500 else set()
+        times = Counter(grams)
+        hit = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         got = quality.measures(text)
         assert got[:3] == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text))
-        assert len(words) >= 500 or got[4] == len(hit)
+        assert got[4] == len(hit) and got[3] == len(lines) - len(set(lines))
+
+
+def test_line_rule_matches_brute_force(spark):
+    """Distinct documents (id and text) of each normalised line and host, over rows with copies, repeats and nulls."""
+    rng = random.Random(10)
+    lines = [f"line {chr(97 + i)} of words" for i in range(14)] + ["Menu", "page 12", "page 7", "", "  "]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6))), rng.choice(["h", "g", None])) for i in range(120)]
+    rows += [(200 + i, rows[0][1], "h") for i in range(6)] + [rows[1], rows[1], (None, "Menu\nx", "g"), (None, "Menu\nx", "g"), (300, None, "h"), (301, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    norm = lambda x: re.sub(r"[\W_]+", " ", re.sub(r"\d", "0", x.lower())).strip()
+    distinct = {(i, t or "", h) for i, t, h in rows}
+    seen, hosts = {}, Counter(h for _, _, h in distinct)
+    for i, t, h in distinct:
+        for line in {norm(x) for x in t.split("\n") if x.split()}:
+            seen[h, line] = seen.get((h, line), 0) + 1
+    limit = {h: min(20, max(3, 0.2 * n)) for h, n in hosts.items()}
+    drop = {k for k, n in seen.items() if n > limit[k[0]]}
+    want = []
+    for i, t, h in rows:
+        gone = sum(len(x.split()) for x in (t or "").split("\n") if x.split() and (h, norm(x)) in drop)
+        n = len((t or "").split())
+        want.append((str(i), gone, n >= 1 and n - gone >= 0.3 * n, t and "\n".join(x for x in t.split("\n") if not x.split() or (h, norm(x)) not in drop)))
+    options = {"max_documents": 20, "max_share": 0.2, "least_documents": 3}
+    got = quality.quality_rules(df, least_words=1, most_repeated=1000, **options).collect()
+    assert sorted((str(r["doc_id"]), r["removed_words"], r["kept"]) for r in got) == sorted(w[:3] for w in want) and 0 < len(drop) < len(seen)
+    left = quality.cleaned(df.withColumn("doc_key", F.lit("x")), **options).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == sorted((w[0], str(w[3])) for w in want)
 
 
 def test_common_lines_are_removed(spark):
@@ -355,7 +461,8 @@ def test_empty_tables(spark, docs):
     assert ngram_join.one_of_each(none).count() == 0
     assert pii.replace_entities(none, "k").count() == 0
     assert sharding.extendible_shards(none, 10).count() == 0
-    assert quality.quality_rules(none).count() == 0
+    assert quality.quality_rules(none).count() == 0 and quality.cleaned(none).count() == 0
+    assert tokencount.count_tokens(none, P.path("piece_bpe_32k.model")).count() == 0
     assert langid.identify_held_out(none).count() == 0
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_held_out(docs, labels).count() == len(edge_rows())
