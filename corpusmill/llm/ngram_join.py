@@ -5,19 +5,24 @@
    name the candidate buckets of a class.
 2. Buckets of two or more classes join each class to the bucket's least class; connected components
    of these star edges hold every candidate pair. A star has one edge a member, not all pairs.
-3. A component is cut into blocks of about `block` classes, and each pair of blocks is one unit of
-   work. For all pairs of a unit MinHash values are compared `step` at a time; a pair is dropped as
-   soon as the posterior probability (uniform prior) that its similarity reaches the threshold
-   is below `tolerance`. What is left is verified exactly on the n-gram sets.
-4. A unit returns, for each of its classes, the number of linked documents and texts and a label of
-   its linked part; no pairs leave the unit. Labels of components with several blocks are joined.
+3. A component is cut into blocks of `block` classes (more in large components, up to 16 times as many, so that a class
+   meets few blocks; less where texts are long, by `block_grams`), and each pair of blocks is one unit of work.
+   A unit gets signatures of 16 bits a value, no texts. For all its pairs MinHash values are compared `step` at a time;
+   a pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
+   threshold is below `tolerance`. The unit names the classes that have a pair left.
+4. Only their texts are fetched, once for each unit that names them, and the pairs that are left are verified exactly
+   on the n-gram sets, a strip of rows at a time. A unit returns, for each of its classes, the number of linked
+   documents and texts and a label of its linked part; no pairs leave the unit. Labels of components with several
+   blocks are joined.
 
 Every candidate pair of a component is compared, whatever its size; nothing is capped. The banding
 misses a pair at similarity 0.8 with probability (1 - 0.8^rows)^bands = 6e-5 at the defaults,
 and that only if no third text connects the two.
 
 Null and wordless texts have no n-grams: each is a class of its own with no links. Null ids and repeated
-rows are allowed: copies are counted by rows; the smallest (id, text hash) stands for a class.
+rows are allowed: copies are counted by rows; the smallest (id, text hash) stands for a class, and rows that repeat
+it are one before its text is fetched. An empty table gives an empty result. A very long text is one set of n-grams, held
+by one task at a time with those of its unit. Columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, by_group, distinct, kept, materialise, mix, text_of, texts, word_hashes
+from .common import BASE, by_group, distinct, kept, materialise, mix, text_of, texts, unused, word_hashes
 
 class Shingler:
     def __init__(self, n: int, hashes: int) -> None:
@@ -88,31 +93,25 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def classes_of(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """rid, tk, class (long; null without words) and bands (array of bucket keys) of every row."""
+def classes_of(docs: DataFrame, n: int, hashes: int, id_col: str, text_col: str) -> DataFrame:
+    """rid, tk, class (long; null without words), n_grams and sig (16 bits of each MinHash value) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = kept(("grams", n, bands * rows), lambda: Shingler(n, bands * rows))
-        number = np.arange(bands, dtype=np.uint64)
+        tool = kept(("grams", n, hashes), lambda: Shingler(n, hashes))
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
-                keys, buckets = [], []
+                keys, counts, signatures = [], [], []
                 for grams in tool.sets(texts(b.column(2))):
-                    if not len(grams):
-                        keys.append(None)
-                        buckets.append(None)
-                        continue
-                    keys.append(int(_signed(np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64))[0]))
-                    values = tool.signature(grams).reshape(bands, rows).astype(np.uint64)
-                    h = number + np.uint64(1)
-                    for r in range(rows):
-                        h = mix(h * BASE + values[:, r])
-                    buckets.append(_signed(h))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], ["rid", "tk", "class", "bands"])
+                    some = len(grams) > 0
+                    keys.append(int(_signed(np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64))[0]) if some else None)
+                    counts.append(len(grams))
+                    # The low bits: the high ones of a minimum are nearly always 0.
+                    signatures.append(tool.signature(grams).astype("<u2").tobytes() if some else None)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(counts, pa.int32()), pa.array(signatures, pa.binary())], ["rid", "tk", "class", "n_grams", "sig"])
 
     own = docs.select(*_row_key(id_col, text_col), text_of(text_col).alias("text"))
-    return own.mapInArrow(run, "rid long, tk long, class long, bands array<long>")
+    return own.mapInArrow(run, "rid long, tk long, class long, n_grams int, sig binary")
 
 
 def _row_key(id_col: str, text_col: str) -> list:
@@ -145,61 +144,66 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(out) if len(rounds) > 1 else out
 
 
-class Unit:
-    """Compares all pairs of one block, or between two blocks, of a component."""
+#: Rows of a block that are compared at once with all of another.
+STRIP = 256
 
-    def __init__(self, tool: Shingler, threshold: float, step: int, least: list[int]) -> None:
-        self.tool, self.threshold, self.step, self.least = tool, threshold, step, least
 
-    def links(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs with a similarity of the threshold or more; right None: within left."""
-        sizes = np.array([len(s) for s in sets])
-        values = np.stack([self.tool.signature(s) for s in sets])
-        other = left if right is None else right
-        same = np.zeros((len(left), len(other)), np.uint8)
-        for k in range(self.step):
-            same += values[left, k][:, None] == values[other, k][None, :]
-        keep = same >= self.least[0]
+def candidates(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float, step: int, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs between left and right (None: within left) that stay after all values, a strip of left at a time."""
+    other = left if right is None else right
+    for lo in range(0, len(left), STRIP):
+        own = left[lo : lo + STRIP]
+        same = np.zeros((len(own), len(other)), np.uint8)
+        for k in range(step):
+            same += values[own, k][:, None] == values[other, k][None, :]
+        keep = same >= least[0]
         if right is None:
-            keep &= np.arange(len(left))[:, None] < np.arange(len(left))[None, :]
-        small, large = np.minimum(sizes[left][:, None], sizes[other]), np.maximum(sizes[left][:, None], sizes[other])
-        keep &= small >= (self.threshold - 1e-9) * large
+            keep &= np.arange(lo, lo + len(own))[:, None] < np.arange(len(other))[None, :]
+        keep &= np.minimum(sizes[own][:, None], sizes[other]) >= (threshold - 1e-9) * np.maximum(sizes[own][:, None], sizes[other])
         ia, ib = np.nonzero(keep)
         matches = same[ia, ib].astype(np.int32)
-        ia, ib = left[ia], other[ib]
-        for at in range(1, len(self.least)):
-            parts = [slice(i, i + 100_000) for i in range(0, len(ia), 100_000)]
-            part = slice(at * self.step, (at + 1) * self.step)
-            for p in parts:
-                matches[p] += (values[ia[p], part] == values[ib[p], part]).sum(1)
-            stay = matches >= self.least[at]
+        ia, ib = own[ia], other[ib]
+        for at in range(1, len(least)):
+            part = slice(at * step, (at + 1) * step)
+            for i in range(0, len(ia), 100_000):
+                matches[i : i + 100_000] += (values[ia[i : i + 100_000], part] == values[ib[i : i + 100_000], part]).sum(1)
+            stay = matches >= least[at]
             ia, ib, matches = ia[stay], ib[stay], matches[stay]
-        return self.verified(sets, sizes, ia, ib)
-
-    def verified(self, sets: list[np.ndarray], sizes: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(ia):
-            return ia, ib
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        flag = np.zeros(int(flat.max()) + 2, np.int32)
+        if len(ia):
+            yield ia, ib
+
+
+class Verifier:
+    """Exact similarities of the sets of one unit."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: float) -> None:
+        self.sizes, self.threshold = np.array([len(s) for s in sets]), threshold
+        _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ends = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.flag = np.zeros(int(self.flat.max()) + 2, np.int32)
+
+    def linked(self, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs whose similarity is the threshold or more."""
         order = np.argsort(ia, kind="stable")
         ia, ib = ia[order], ib[order]
         common = np.zeros(len(ia), np.int64)
         cuts = np.flatnonzero(np.diff(ia)) + 1
         for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(ia)].tolist(), strict=True):
-            own = flat[ends[ia[lo]] : ends[ia[lo] + 1]]
-            flag[own] = 1
+            own = self.flat[self.ends[ia[lo]] : self.ends[ia[lo] + 1]]
+            self.flag[own] = 1
             part = ib[lo:hi]
-            grams = np.concatenate([flat[ends[j] : ends[j + 1]] for j in part.tolist()])
-            common[lo:hi] = np.add.reduceat(flag[grams], np.concatenate(([0], np.cumsum(sizes[part])[:-1])))
-            flag[own] = 0
-        linked = common >= (self.threshold - 1e-9) * (sizes[ia] + sizes[ib] - common)
-        return ia[linked], ib[linked]
-
-
-def label_parts(n: int, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
-    """For each of n things the least index it is connected to."""
-    label = np.arange(n)
+            grams = np.concatenate([self.flat[self.ends[j] : self.ends[j + 1]] for j in part.tolist()])
+            common[lo:hi] = np.add.reduceat(self.flag[grams], np.concatenate(([0], np.cumsum(self.sizes[part])[:-1])))
+            self.flag[own] = 0
+        good = common >= (self.threshold - 1e-9) * (self.sizes[ia] + self.sizes[ib] - common)
+        return ia[good], ib[good]
+
+
+def label_parts(label: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """For each of n things the least index it is connected to, by pairs and by the labels that are known."""
+    own = np.arange(len(label))
+    ia, ib = np.concatenate((ia, own)), np.concatenate((ib, label))
+    label = label.copy()
     while True:
         before = label.copy()
         low = np.minimum(label[ia], label[ib])
@@ -211,7 +215,7 @@ def label_parts(n: int, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, step: int = 16, tolerance: float = 1e-6, block: int = 256,
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, step: int = 16, tolerance: float = 1e-6, block: int = 256, block_grams: int = 1_000_000,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """rid, tk (row key: id, or text hash for a null id; text hash), class_id, copy_of, n_copies, n_links, n_texts, chosen.
@@ -219,47 +223,77 @@ def ngram_jaccard_join(
     class_id: least id of the documents connected by links; copy_of: least id with the same n-gram set;
     n_links: documents linked to the row (its copies too), n_texts: different texts among them;
     chosen: the row stands for its class (rows repeated with id and text are all chosen)."""
-    rows_ = materialise(classes_of(docs, n, bands, rows, id_col, text_col))
-    members = rows_.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("rid", "tk")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    members = materialise(members)
+    rows_ = materialise(classes_of(docs, n, bands * rows, id_col, text_col))
+    facts = [F.min(F.struct("rid", "tk")).alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sig").alias("sig")]
+    members = materialise(rows_.where("class IS NOT NULL").groupBy("class").agg(*facts))
 
-    buckets = members.select("class", F.explode("bands").alias("bucket"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", 2 * rows * i + 1, F.lit(2 * rows))))
+    buckets = members.select("class", F.explode(band).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
     edges = buckets.join(materialise(hubs).hint("merge"), "bucket").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     parts = materialise(components(edges))
 
-    sizes = materialise(parts.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")))
-    active = parts.join(sizes, "root").withColumnRenamed("node", "class").join(members.select("class", "rep", "copies"), "class")
-    active = active.select("class", "root", "blocks", "copies", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own"), F.col("rep.rid").alias("rid"), F.col("rep.tk").alias("tk"))
-    active = materialise(active)
-    source = docs.select(*_row_key(id_col, text_col), text_of(text_col).alias("text"))
-    dealt = source.join(active.hint("merge"), ["rid", "tk"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "copies", "text")
+    active = parts.withColumnRenamed("node", "class").join(members.select("class", "rep", "copies", "n_grams", "sig"), "class")
+    active = materialise(active.select("class", "root", "copies", "n_grams", "sig", F.col("rep.rid").alias("rid"), F.col("rep.tk").alias("tk")))
+    most = F.least(F.greatest(F.col("n") / 8, F.lit(block)), F.lit(16 * block))
+    sizes = active.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g"))
+    sizes = materialise(sizes.select("root", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("g") / block_grams)).cast("int").alias("blocks")))
+    cut = active.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    units = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(partitions, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class")
+    deal = lambda df: df.repartition(partitions, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class")
     least = least_matches(step, bands * rows, threshold, tolerance)
 
+    def pairs_of(t: pa.Table, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, grams = t.column("own").to_numpy(), t.column("n_grams").to_numpy().astype(np.int64)
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        return candidates(values, grams, np.flatnonzero(own == lo), None if lo == hi else np.flatnonzero(own == hi), threshold, step, least)
+
+    values_of = lambda t: np.stack([np.frombuffer(x, "<u2") for x in t.column("sig").to_pylist()])
+    unit_names = ["root", "lo", "hi", "class"]
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for t in by_group(batches, ["root", "lo", "hi"]):
+            alive = np.zeros(t.num_rows, bool)
+            for ia, ib in pairs_of(t, values_of(t)) if t.num_rows > 1 else ():
+                alive[ia] = alive[ib] = True
+            if alive.any():
+                held.append(t.select(unit_names).filter(pa.array(alive)))
+            if sum(x.num_rows for x in held) > 5000:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    alive = materialise(deal(units.select(*unit_names, "own", "n_grams", "sig")).mapInArrow(prune, "root long, lo int, hi int, class long"))
+
+    source = docs.select(*_row_key(id_col, text_col), text_of(text_col).alias("text"))
+    repeated = materialise(rows_.groupBy("rid", "tk").agg(F.count("*").alias("times")).where("times > 1").select("rid", "tk"))
+    if not repeated.isEmpty():
+        once = source.join(repeated, ["rid", "tk"], "left_semi").groupBy("rid", "tk").agg(F.first("text").alias("text"))
+        source = source.join(repeated, ["rid", "tk"], "left_anti").unionByName(once)
+    wanted = alive.join(cut.select("class", "own", "copies", "n_grams", "sig", "rid", "tk"), "class")
+    dealt = deal(source.join(wanted.hint("merge"), ["rid", "tk"]).select(*unit_names, "own", "copies", "n_grams", "sig", "text"))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = kept(("grams", n, bands * rows), lambda: Shingler(n, bands * rows))
-        unit = Unit(tool, threshold, step, least)
         held: list[tuple] = []
         names = ["class", "root", "links", "texts", "part"]
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], names)
         for t in by_group(batches, ["root", "lo", "hi"]):
-            cls, at = np.unique(t.column("class").to_numpy(), return_index=True)
-            if len(cls) < 2:
-                continue
-            t = t.take(pa.array(at))
-            own, copies = t.column("own").to_numpy(), t.column("copies").to_numpy()
-            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            sets = tool.sets(texts(t.column("text")))
-            left = np.flatnonzero(own == lo)
-            ia, ib = unit.links(sets, left, None if lo == hi else np.flatnonzero(own == hi))
-            links = np.bincount(ia, copies[ib], len(cls)) + np.bincount(ib, copies[ia], len(cls))
-            near = np.bincount(ia, minlength=len(cls)) + np.bincount(ib, minlength=len(cls))
-            label = label_parts(len(cls), ia, ib)
+            cls, copies = t.column("class").to_numpy(), t.column("copies").to_numpy()
+            size = len(cls)
+            links, near, label = np.zeros(size), np.zeros(size, np.int64), np.arange(size)
+            exact = Verifier(tool.sets(texts(t.column("text"))), threshold)
+            for strip in pairs_of(t, values_of(t)):
+                ia, ib = exact.linked(*strip)
+                links += np.bincount(ia, copies[ib], size) + np.bincount(ib, copies[ia], size)
+                near += np.bincount(ia, minlength=size) + np.bincount(ib, minlength=size)
+                label = label_parts(label, ia, ib)
             some = near > 0
-            root = np.full(len(cls), t.column("root")[0].as_py(), np.int64)
+            root = np.full(size, t.column("root")[0].as_py(), np.int64)
             held.append((cls[some], root[some], links[some].astype(np.int64), near[some], cls[label][some]))
             if sum(len(h[0]) for h in held) > 5000:
                 yield pack()
@@ -293,14 +327,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialise(ngram_jaccard_join(docs, id_col=id_col, text_col=text_col, **options))
     keys = found.where("chosen").groupBy("rid", "tk").agg(F.count("*").alias("times"), F.max("n_links").alias("n_links"))
     keys = materialise(keys)
-    rid, tk = _row_key(id_col, text_col)
-    rows = docs.withColumn("__rid", rid).withColumn("__tk", tk)
-    own = keys.select(F.col("rid").alias("__rid"), F.col("tk").alias("__tk"), "times", "n_links")
     columns = docs.columns
-    out = rows.join(own.where("times = 1 OR n_links = 0").select("__rid", "__tk"), ["__rid", "__tk"], "left_semi").select(*columns)
-    again = own.where("times > 1 AND n_links > 0").select("__rid", "__tk")
+    key = unused(columns, "row_id", "text_hash")
+    rows = docs.withColumns(dict(zip(key, _row_key(id_col, text_col), strict=True)))
+    own = keys.toDF(*key, "times", "n_links")
+    out = rows.join(own.where("times = 1 OR n_links = 0").select(*key), key, "left_semi").select(*columns)
+    again = own.where("times > 1 AND n_links > 0").select(*key)
     if not again.isEmpty():
-        repeated = rows.join(again, ["__rid", "__tk"], "left_semi")
+        repeated = rows.join(again, key, "left_semi")
         whole = F.min_by(F.struct(*columns), F.hash(*columns)).alias("row")
-        out = out.unionByName(repeated.groupBy("__rid", "__tk").agg(whole).select("row.*"))
+        out = out.unionByName(repeated.groupBy(*key).agg(whole).select("row.*"))
     return out

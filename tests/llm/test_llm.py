@@ -90,16 +90,85 @@ def shingles(text):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
 
-def test_jaccard_links_match_brute_force(docs):
-    rows = edge_rows()
-    sets = [shingles(r[1]) for r in rows]
-    links = [sum(bool(a) and i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
-    got = ngram_join.ngram_jaccard_join(docs, block=2).collect()
-    key = lambda pairs: sorted(pairs)
-    assert key(g["n_links"] for g in got) == key(links)
-    kept = ngram_join.one_of_each(docs, block=2)
-    assert kept.columns == docs.columns
+def brute_links(rows, threshold=0.8):
+    """For each row (rid, text): class_id, copy_of, n_copies, n_links, n_texts, from all pairs of different sets."""
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    groups: dict = {}
+    for i, x in enumerate(sets):
+        groups.setdefault(x or i, []).append(i)
+    keys = [k for k in groups if not isinstance(k, int)]
+    holders: dict = {}
+    for k in keys:
+        for g in k:
+            holders.setdefault(g, []).append(k)
+    common = Counter()
+    for ks in holders.values():
+        common.update(frozenset(p) for p in itertools.combinations(ks, 2))
+    links: dict = {k: [] for k in keys}
+    for pair, n in common.items():
+        x, y = pair
+        if n >= (threshold - 1e-9) * (len(x) + len(y) - n):
+            links[x].append(y)
+            links[y].append(x)
+    root: dict = {}
+    for k in keys:
+        todo, seen = [k], {k}
+        while todo and k not in root:
+            for other in links[todo.pop()]:
+                if other not in seen:
+                    seen.add(other)
+                    todo.append(other)
+        least = min(rows[i][0] for x in seen for i in groups[x])
+        for x in seen:
+            root.setdefault(x, least)
+    out = []
+    for i, x in enumerate(sets):
+        own = groups[x] if x else [i]
+        out.append((root[x] if x else rows[i][0], min(rows[j][0] for j in own), len(own), len(own) - 1 + sum(len(groups[y]) for y in links.get(x, [])), len(links.get(x, []))))
+    return out
+
+
+def got_links(found):
+    return sorted((r["rid"], r["class_id"], r["copy_of"], r["n_copies"], r["n_links"], r["n_texts"]) for r in found.collect())
+
+
+def near_copies(seed, groups, size):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    for _ in range(groups):
+        base = [word() for _ in range(rng.randint(20, 90))]
+        for _ in range(size):
+            yield " ".join(word() if rng.random() < 0.012 else w for w in base)
+
+
+def test_jaccard_links_match_brute_force(spark, docs):
+    """Row by row, with many blocks, and with a strip and units smaller than a group; rows of known ids."""
+    rows = [(r[0], r[1]) for r in edge_rows() if r[0] is not None] + [(1000 + i, t) for i, t in enumerate(near_copies(11, 4, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i, *w) for (i, _), w in zip(rows, brute_links(rows)))
+    for options in ({}, {"block": 2}, {"block": 7, "block_grams": 500}):
+        assert got_links(ngram_join.ngram_jaccard_join(df, **options)) == want
+    assert ngram_join.ngram_jaccard_join(docs).count() == len(edge_rows())
+    clash = docs.withColumn("row_id", F.lit("x")).withColumn("text_hash", F.lit(None).cast("string"))
+    kept = ngram_join.one_of_each(clash, block=2)
+    assert kept.columns == clash.columns
     assert kept.where("doc_id = 0").count() == 1 and kept.where("doc_id in (30, 31)").count() == 0
+    assert ngram_join.ngram_jaccard_join(docs.where("false")).count() == 0
+
+
+def test_jaccard_join_of_a_test_table_matches_brute_force(spark):
+    """All links and classes of sf0.01: no pair at or above the threshold is missed there."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted((i, *w) for (i, _), w in zip(rows, brute_links(rows)))
+    assert got_links(ngram_join.ngram_jaccard_join(docs)) == want
+
+
+def test_rows_repeated_many_times_are_fetched_once(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(1, base)] * 300 + [(2, base + " more")] + [(None, base + " other")] * 50
+    got = {(r["rid"] if r["rid"] in (1, 2) else 0, r["n_copies"], r["n_links"], r["n_texts"]) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 300, 350, 2), (2, 1, 350, 2), (0, 50, 350, 2)}
 
 
 def test_pruning_bound_keeps_what_can_reach_the_threshold():
