@@ -3,7 +3,8 @@ data is replaced, and what is left is packed. Part of the training-data operator
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written and reread as
 the next stage's docs. All but the last keep the columns of docs. Null texts count as empty: they
-are never toxic, have no near duplicates and pack as an end id alone. Empty tables pass through.
+are never toxic, have no near duplicates and pack as an end id alone. Of repeated rows one stays. Empty tables pass
+through: without labels nothing is toxic, without a benchmark nothing leaks.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Models, band hashing and tokenization can't be written in SQL; the stages are tested against brute force.
+#: Models, band hashing and tokenization can't be written in SQL. The stages are tested in tests/llm: each operator against
+#: brute force, a library or planted rows, and the order and decisions of the stages over small tables.
 ORACLE_SQL = None
 
 
