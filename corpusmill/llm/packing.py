@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, kept, materialise, text_of, texts
+from .common import Runs, kept, materialise, text_of, texts
 
 DIMS, BITS, VECTOR = 4, 8, 512
+#: Different words whose ids a worker keeps.
+MOST_WORDS = 800_000
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -84,43 +87,77 @@ class WordTokenizer:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.letter = np.zeros(256, bool)
         self.letter[[*range(65, 91), *range(97, 123)]] = True
-        self.cache = WordCache(800_000)
+        self.white = np.zeros(256, bool)
+        self.white[[9, 10, 11, 12, 13, 32]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """No words are known: `row` numbers them by hash, `pool` holds their ids one after the other."""
+        self.row: dict[int, int] = {}
+        self.pool, self.first, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode_many(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def units(self, text: str) -> list[bytes]:
+    def prepared(self, text: str) -> bytes:
         if self.lowers:
             low = text.lower()
             if low.isascii() or ("Σ" not in text and "İ" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)):
                 text = low
-        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        at = np.flatnonzero(((data[1:] == 46) | (data[1:] == 44)) & self.letter[data[:-1]]) + 1
-        return np.insert(data, at, 32).tobytes().split()
-
-    def encode(self, rows: list[str], end: bytes) -> list[bytes]:
-        """The packed ids of each text, with the end id."""
-        units = [self.units(text) for text in rows]
-        absent = self.cache.absent(set().union(*units))
-        known = self.cache.young
-        words, others = [], []
-        for w in absent:
-            (words if w.isalpha() or w.decode().isalpha() else others).append(w)
-        for i in range(0, len(words), 1024):
-            part = words[i : i + 1024]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+        return text.encode("utf-8", "replace")
+
+    def learn(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha() or w.decode().isalpha()]
+        for lo in range(0, len(plain), 1024):
+            part = plain[lo : lo + 1024]
+            ids = np.array(self.tokenizer.encode(b" ".join([words[i] for i in part]).decode(), add_special_tokens=False).ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                others += part
-                continue
-            data, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-            for w, a, b in zip(part, [0, *cuts], cuts, strict=False):
-                known[w] = data[a:b]
-        for i in range(0, len(others), 4096):
-            part = others[i : i + 4096]
-            for w, ids in zip(part, self.encode_many([w.decode() for w in part]), strict=True):
-                known[w] = np.array(ids, self.dtype).tobytes()
-        return [b"".join([known[w] for w in words]) + end for words in units]
+            if len(cuts) == len(part):
+                for i, a, b in zip(part, [0, *cuts.tolist()], cuts.tolist(), strict=False):
+                    out[i] = ids[a:b]
+        others = [i for i, ids in enumerate(out) if ids is None]
+        for lo in range(0, len(others), 4096):
+            part = others[lo : lo + 4096]
+            for i, ids in zip(part, self.encode_many([words[i].decode() for i in part]), strict=True):
+                out[i] = np.array(ids, self.dtype)
+        return out
+
+    def encode(self, rows: list[str], end: int) -> list[np.ndarray]:
+        """The ids of each text, with the end id.
+
+        Words are runs of bytes without white space in all texts together; each different one is looked up once, by a
+        64-bit hash, and the ids are put together in arrays."""
+        texts_ = [self.prepared(t) for t in rows]
+        data = np.frombuffer(b"\n".join(texts_), np.uint8)
+        at = np.flatnonzero(((data[1:] == 46) | (data[1:] == 44)) & self.letter[data[:-1]]) + 1
+        ends = np.cumsum([len(t) + 1 for t in texts_])
+        data, ends = np.insert(data, at, 32), ends + np.searchsorted(at, ends)
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~self.white[data]
+        edge = np.diff(inside)
+        starts = np.flatnonzero(edge == 1)
+        words = Runs(data, starts, np.flatnonzero(edge == -1) - starts, ends, ends)
+        keys, place, number = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.row) > MOST_WORDS:
+            self.forget()
+        rowed = np.fromiter(map(self.row.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(rowed < 0)
+        if len(new):
+            begin = starts[place[new]]
+            stop = begin + words.sizes[place[new]]
+            raw = data.tobytes()
+            ids = self.learn([raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
+            rowed[new] = np.arange(len(self.row), len(self.row) + len(new))
+            self.row.update(zip(keys[new].tolist(), rowed[new].tolist(), strict=True))
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(size) - size))
+            self.size, self.pool = np.concatenate((self.size, size)), np.concatenate((self.pool, *ids))
+        size = self.size[rowed][number]
+        out = self.pool[np.repeat(self.first[rowed][number] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        cuts = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, ends)]
+        return np.split(np.insert(out, cuts, end), (cuts + np.arange(1, len(cuts) + 1))[:-1])
 
 
 def _projection() -> np.ndarray:
@@ -140,16 +177,14 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, matrix = kept(("pack", tokenizer_file), lambda: WordTokenizer(tokenizer_file)), _projection()
-        end = np.array([end_id], tok.dtype).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
-                ids = tok.encode(texts(b.column(2)), end)
-                arrays = [np.frombuffer(x, tok.dtype) for x in ids]
+                arrays = tok.encode(texts(b.column(2)), end_id)
                 key = hilbert_index(np.stack([curve_key(a, matrix) for a in arrays]), BITS)
                 place = (key << 31) | b.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(place), pa.array([len(a) for a in arrays], pa.int64()), pa.array([tok.wide] * len(ids)), pa.array(ids, pa.binary())],
+                    [b.column(0), pa.array(place), pa.array([len(a) for a in arrays], pa.int64()), pa.array([tok.wide] * len(arrays)), pa.array([a.tobytes() for a in arrays], pa.binary())],
                     ["doc_id", "place", "n_tokens", "wide", "ids"],
                 )
 
@@ -169,7 +204,7 @@ def _bucket(cuts: list[int]) -> F.Column:
 
 
 def pack(
-    docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = 1_000_000, with_ids: bool = True
+    docs: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = 3_000_000, with_ids: bool = True
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array) if asked for.
 
