@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.work import clear_work, work_dir  # noqa: F401
 
 #: Entries that each of the two generations of a worker's word cache may hold.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 
 
 class WordCache:
