@@ -580,8 +580,8 @@ def test_expression_counts_match_brute_force(spark, monkeypatch):
 
 def test_slots_keep_the_expression_of_most_contexts(spark):
     table = spark.range(1, 101).select(F.col("id").alias("key"), F.col("id").alias("t"), *[F.lit(0).alias(c) for c in toxicity.COUNTS[1:]])
-    slots = toxicity.Slots(table, ["t"], 1)
-    assert slots.rows(np.array([100, 99])).ravel().tolist() == [100, 0]
+    slots = toxicity.Slots(table, ["t"], 4)
+    assert slots.rows(np.array([100, 97, 96])).ravel().tolist() == [100, 97, 0] and len(slots.keys) == toxicity.WAYS
 
 
 def test_languages_learn_from_every_word(spark):
