@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +71,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most in what runs inside: the JVM and the worker hold each batch whole, so long texts need small ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) < 1 else min(int(before), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """The names, each made longer until no column has it (in any case)."""
     taken = {c.lower() for c in columns}

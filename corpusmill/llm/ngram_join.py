@@ -10,7 +10,7 @@
    A unit gets signatures of 16 bits a value, no texts. For all its pairs MinHash values are compared `step` at a time;
    a pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
    threshold is below `tolerance`. The unit names the classes that have a pair left.
-4. Only their texts are fetched, once for each unit that names them, and the pairs that are left are verified exactly
+4. Only their texts are fetched (a bit filter of their keys keeps the others where they are), once for each unit that names them, and the pairs that are left are verified exactly
    on the n-gram sets, a strip of rows at a time. A unit returns, for each of its classes, the number of linked
    documents and texts and a label of its linked part; no pairs leave the unit. Labels of components with several
    blocks are joined.
@@ -33,10 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, by_group, distinct, kept, materialise, mix, text_of, texts, unused, word_hashes
+from .common import BASE, batches_of, by_group, distinct, kept, materialise, mix, text_of, texts, unused, word_hashes
+
+#: Characters that are hashed at once (some 60 bytes of arrays each), and rows of an Arrow batch with texts.
+SLICE, TEXT_ROWS = 1 << 20, 500
+
 
 class Shingler:
     def __init__(self, n: int, hashes: int) -> None:
@@ -46,11 +50,20 @@ class Shingler:
         self.mask = rng.integers(0, 1 << 32, hashes, dtype=np.uint32)
 
     def sets(self, rows: list[str]) -> list[np.ndarray]:
-        """Sorted distinct n-gram hashes of each text; empty without words."""
+        """Sorted distinct n-gram hashes of each text; empty without words. Memory follows SLICE and the longest text."""
+        out, lo, size = [], 0, 0
+        for hi, t in enumerate(rows):
+            if hi > lo and size + len(t) > SLICE:
+                out += self._sets(rows[lo:hi])
+                lo, size = hi, 0
+            size += len(t)
+        return out + self._sets(rows[lo:])
+
+    def _sets(self, rows: list[str]) -> list[np.ndarray]:
         words, ends = word_hashes(rows)
         rolled = np.full(len(words), self.n, np.uint64)
         # The hash of the n words from each place on; what crosses a text's end is cut off below.
-        for k in range(self.n):
+        for k in range(min(self.n, len(words))):
             rolled[: len(words) - k] = rolled[: len(words) - k] * BASE + mix(words[k:] + np.uint64(k))
         rolled = mix(rolled)
         out, start = [], 0
@@ -99,8 +112,8 @@ def classes_of(docs: DataFrame, n: int, hashes: int, id_col: str, text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = kept(("grams", n, hashes), lambda: Shingler(n, hashes))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
+            for lo in range(0, whole.num_rows, TEXT_ROWS):
+                b = whole.slice(lo, TEXT_ROWS)
                 keys, counts, signatures = [], [], []
                 for grams in tool.sets(texts(b.column(2))):
                     some = len(grams) > 0
@@ -144,6 +157,28 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(out) if len(rounds) > 1 else out
 
 
+#: Bits of a filter of keys for each key, and at most (8 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 26
+
+
+def key_filter(keys: DataFrame, names: tuple[str, str, str] = ("rid", "tk", "key_bits")) -> tuple[DataFrame, Column]:
+    """A table of one row, to be broadcast, and whether rows pass it: all whose key is in keys (rid, tk), and few others.
+
+    names: the rows' columns of the key, and the table's column.
+    Texts that don't pass need not be dealt out. Beyond MOST_BITS / KEY_BITS keys more of the others pass, which costs time only."""
+    spark = keys.sparkSession
+    size = 1 << min(max(16, (KEY_BITS * keys.count()).bit_length()), MOST_BITS.bit_length() - 1)
+    places = lambda *key: [h.bitwiseAND(F.lit(size - 1)) for h in (F.xxhash64(*key), F.shiftrightunsigned(F.xxhash64(*key), 32))]
+    word, bit = lambda p: F.shiftright(p, 6).cast("int"), lambda p: p.bitwiseAND(F.lit(63)).cast("int")
+    set_bits = keys.select(F.explode(F.array(*places("rid", "tk"))).alias("p")).groupBy(word(F.col("p")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("p")))).alias("b"))
+    got = set_bits.toArrow()
+    words = np.zeros(size >> 6, np.int64)
+    words[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    table = spark.createDataFrame(pa.table({names[2]: pa.array([words], pa.list_(pa.int64()))}))
+    hit = [F.getbit(F.get(names[2], word(p)), bit(p)) == 1 for p in places(*names[:2])]
+    return F.broadcast(table), hit[0] & hit[1]
+
+
 #: Rows of a block that are compared at once with all of another.
 STRIP = 256
 
@@ -223,7 +258,9 @@ def ngram_jaccard_join(
     class_id: least id of the documents connected by links; copy_of: least id with the same n-gram set;
     n_links: documents linked to the row (its copies too), n_texts: different texts among them;
     chosen: the row stands for its class (rows repeated with id and text are all chosen)."""
-    rows_ = materialise(classes_of(docs, n, bands * rows, id_col, text_col))
+    spark = docs.sparkSession
+    with batches_of(spark, TEXT_ROWS):
+        rows_ = materialise(classes_of(docs, n, bands * rows, id_col, text_col))
     facts = [F.min(F.struct("rid", "tk")).alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sig").alias("sig")]
     members = materialise(rows_.where("class IS NOT NULL").groupBy("class").agg(*facts))
 
@@ -241,7 +278,7 @@ def ngram_jaccard_join(
     cut = active.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     units = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     deal = lambda df: df.repartition(partitions, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class")
     least = least_matches(step, bands * rows, threshold, tolerance)
 
@@ -269,7 +306,10 @@ def ngram_jaccard_join(
 
     alive = materialise(deal(units.select(*unit_names, "own", "n_grams", "sig")).mapInArrow(prune, "root long, lo int, hi int, class long"))
 
+    table, passes = key_filter(alive.select("class").distinct().join(members.select("class", "rep.rid", "rep.tk"), "class"))
+    # Written without a shuffle: of all texts only these are dealt out afterwards.
     source = docs.select(*_row_key(id_col, text_col), text_of(text_col).alias("text"))
+    source = materialise(source.join(table, passes).drop("key_bits"))
     repeated = materialise(rows_.groupBy("rid", "tk").agg(F.count("*").alias("times")).where("times > 1").select("rid", "tk"))
     if not repeated.isEmpty():
         once = source.join(repeated, ["rid", "tk"], "left_semi").groupBy("rid", "tk").agg(F.first("text").alias("text"))
@@ -277,16 +317,24 @@ def ngram_jaccard_join(
     wanted = alive.join(cut.select("class", "own", "copies", "n_grams", "sig", "rid", "tk"), "class")
     dealt = deal(source.join(wanted.hint("merge"), ["rid", "tk"]).select(*unit_names, "own", "copies", "n_grams", "sig", "text"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches with n-gram sets in place of their texts, so that no unit holds its texts."""
         tool = kept(("grams", n, bands * rows), lambda: Shingler(n, bands * rows))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXT_ROWS):
+                b = whole.slice(lo, TEXT_ROWS)
+                grams = [s.tobytes() for s in tool.sets(texts(b.column(b.num_columns - 1)))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(grams, pa.large_binary())], [*b.schema.names[:-1], "grams"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         names = ["class", "root", "links", "texts", "part"]
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], names)
-        for t in by_group(batches, ["root", "lo", "hi"]):
+        for t in by_group(in_sets(batches), ["root", "lo", "hi"]):
             cls, copies = t.column("class").to_numpy(), t.column("copies").to_numpy()
             size = len(cls)
             links, near, label = np.zeros(size), np.zeros(size, np.int64), np.arange(size)
-            exact = Verifier(tool.sets(texts(t.column("text"))), threshold)
+            exact = Verifier([np.frombuffer(s, np.uint64) for s in t.column("grams").to_pylist()], threshold)
             for strip in pairs_of(t, values_of(t)):
                 ia, ib = exact.linked(*strip)
                 links += np.bincount(ia, copies[ib], size) + np.bincount(ib, copies[ia], size)
@@ -301,7 +349,8 @@ def ngram_jaccard_join(
         if held:
             yield pack()
 
-    found = materialise(dealt.mapInArrow(compare, "class long, root long, links long, texts long, part long"))
+    with batches_of(spark, TEXT_ROWS):
+        found = materialise(dealt.mapInArrow(compare, "class long, root long, links long, texts long, part long"))
     # A component of one block has its labels already; labels of several blocks are joined.
     split = found.groupBy("class").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"), F.min("part").alias("part"), F.max("part").alias("part2"))
     many = found.join(sizes.where("blocks > 1"), "root", "left_semi")
@@ -325,16 +374,18 @@ def ngram_jaccard_join(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stand for their class; of rows repeated with id and text one stays."""
     found = materialise(ngram_jaccard_join(docs, id_col=id_col, text_col=text_col, **options))
-    keys = found.where("chosen").groupBy("rid", "tk").agg(F.count("*").alias("times"), F.max("n_links").alias("n_links"))
-    keys = materialise(keys)
+    keys = materialise(found.groupBy("rid", "tk").agg(F.first("chosen").alias("chosen"), F.count("*").alias("times"), F.max("n_links").alias("n_links")))
     columns = docs.columns
-    key = unused(columns, "row_id", "text_hash")
-    rows = docs.withColumns(dict(zip(key, _row_key(id_col, text_col), strict=True)))
-    own = keys.toDF(*key, "times", "n_links")
-    out = rows.join(own.where("times = 1 OR n_links = 0").select(*key), key, "left_semi").select(*columns)
-    again = own.where("times > 1 AND n_links > 0").select(*key)
+    rid, tk, bits = unused(columns, "row_id", "text_hash", "key_bits")
+    rows = docs.withColumns(dict(zip((rid, tk), _row_key(id_col, text_col), strict=True)))
+    # Only rows that go, or that are one of several, are dealt out; the others stay where they are.
+    table, passes = key_filter(keys.where("NOT chosen OR times > 1 AND n_links > 0").select("rid", "tk"), (rid, tk, bits))
+    asked = materialise(rows.join(table, passes).drop(bits))
+    own = keys.where("chosen").toDF(rid, tk, "chosen", "times", "n_links")
+    out = rows.join(table, ~passes).select(*columns)
+    out = out.unionByName(asked.join(own.where("times = 1 OR n_links = 0").select(rid, tk), [rid, tk], "left_semi").select(*columns))
+    again = own.where("times > 1 AND n_links > 0").select(rid, tk)
     if not again.isEmpty():
-        repeated = rows.join(again, key, "left_semi")
         whole = F.min_by(F.struct(*columns), F.hash(*columns)).alias("row")
-        out = out.unionByName(repeated.groupBy(*key).agg(whole).select("row.*"))
+        out = out.unionByName(asked.join(again, [rid, tk], "left_semi").groupBy(rid, tk).agg(whole).select("row.*"))
     return out

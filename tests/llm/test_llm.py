@@ -176,6 +176,60 @@ def test_pruning_bound_keeps_what_can_reach_the_threshold():
     assert all(m < 0.8 * 16 * (i + 1) for i, m in enumerate(least)) and least[-1] > 0.5 * 192
 
 
+def test_sets_of_long_texts_take_bounded_memory():
+    """The arrays of a slice, not those of all texts of a unit; the sets are those of each text alone."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    rows = [" ".join(f"w{rng.randrange(5000)}" for _ in range(10_000)) for _ in range(100)]
+    tool = ngram_join.Shingler(5, 192)
+    tool.sets(["warm up"])
+    tracemalloc.start()
+    got = tool.sets(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6
+    assert all((a == tool.sets([t])[0]).all() for a, t in zip(got[::25], rows[::25], strict=True))
+    assert [len(s) for s in tool.sets(["", *rows[:2], "a b"])] == [0, len(got[0]), len(got[1]), 1] and tool.sets([]) == []
+
+
+def test_batches_of_few_words_have_sets():
+    """Fewer words in a whole batch than an n-gram has."""
+    tool = ngram_join.Shingler(5, 192)
+    for rows in (["a"], ["a b"], ["a b c"], ["a", "", "b"], ["a b c d"], ["", ""]):
+        long = tool.sets([*rows, "one two three four five six"])[:-1]
+        assert [x.tolist() for x in tool.sets(rows)] == [x.tolist() for x in long]
+
+
+def test_texts_that_no_pair_needs_are_not_dealt_out(spark, monkeypatch):
+    """Of 400 texts two are fetched; the key filter lets all of its keys pass and few others."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(60))) for i in range(400)]
+    rows.append((400, rows[7][1] + " more"))
+    kept, plain = [], ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df: kept.append(plain(df)) or kept[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.one_of_each(df).count() == 400
+    fetched = [{r[0] for r in k.collect()} for k in kept if "text" in k.columns]
+    assert len(fetched) == 2 and {7, 400} <= fetched[0] and {400} <= fetched[1] and max(map(len, fetched)) < 20
+    assert ngram_join.one_of_each(df.where("doc_id < 400")).count() == 400
+    keys = spark.range(0, 50_000, 5).selectExpr("id AS rid", "-id AS tk")
+    table, passes = ngram_join.key_filter(keys)
+    got = spark.range(50_000).selectExpr("id AS rid", "-id AS tk").join(table, passes)
+    assert got.where("rid % 5 = 0").count() == 10_000 and got.count() < 12_000
+
+
+def test_batches_with_texts_are_small(spark, monkeypatch):
+    """The rows of a batch are bounded while texts go to the workers, and the setting is put back."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, plain = spark.conf.get(name), ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df: seen.append((df.columns, spark.conf.get(name))) or plain(df))
+    ngram_join.ngram_jaccard_join(spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string")).count()
+    assert [n for c, n in seen if c[:2] == ["rid", "tk"] and c[-1] == "sig" or c == ["class", "root", "links", "texts", "part"]] == ["500", "500"]
+    assert spark.conf.get(name) == before
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     rows = [(i, f"mail ann.{i % 7}@host{i % 3}.example.org or +1 ({200 + i % 5}) 555-0100, Mr. John Baker {i % 4}") for i in range(40)]
     df = spark.createDataFrame([*rows, (99, None), (98, "nothing here"), rows[0]], "doc_id long, text string")
