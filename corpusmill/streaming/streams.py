@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,32 +28,36 @@ def first_seen(stream: DataFrame, key: list[str], ts: str, late: str) -> DataFra
     return timed(stream, ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def rate_limited(stream: DataFrame, client: str, route: str, ts: str, window_s: int, limit: int, late: str = "1 hour") -> DataFrame:
+def rate_limited(stream: DataFrame, client: str, route: str, ts: str, window_s: int, limit: int, late: str = "1 hour", buckets: int = 64) -> DataFrame:
     """client, route, ts, admitted, retry_after. State is the admitted count of each window, which event time evicts.
 
-    A late row counts in its own window (it does not reset a newer one)."""
+    A late row counts in its own window (it does not reset a newer one). The clients and routes of a window are dealt to
+    `buckets`: one state and one call of Python stand for all of a bucket, whose new rows are held at once."""
     rows = timed(stream, ts, late).withColumn("__start", F.unix_timestamp(ts) - F.unix_timestamp(ts) % window_s)
+    rows = rows.withColumn("__key", F.to_json(F.struct(client, route))).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        used = int(state.get[0]) if state.exists else 0
-        start = int(key[2])
-        for pdf in frames:
-            pdf = pdf.sort_values(ts, kind="stable")
-            admitted = (limit <= 0) | (used + np.arange(len(pdf)) < limit)
-            used += int(admitted.sum())
-            elapsed = pdf[ts].to_numpy("datetime64[s]").astype("int64") - start
-            wait = pd.Series(np.maximum(window_s - elapsed, 1), index=pdf.index, dtype="Int64").mask(admitted)
-            yield pd.DataFrame({client: pdf[client], route: pdf[route], ts: pdf[ts], "admitted": admitted, "retry_after": wait})
-        state.update((used,))
+        used = json.loads(state.get[0]) if state.exists else {}
+        start = int(key[1])
+        pdf = pd.concat(list(frames), ignore_index=True).sort_values(ts, kind="stable")
+        own = pdf["__key"]
+        before = own.map(used).fillna(0).to_numpy("int64")
+        admitted = (limit <= 0) | (before + pdf.groupby("__key", sort=False).cumcount().to_numpy() < limit)
+        for k, n in own[admitted].value_counts().items():
+            used[k] = used.get(k, 0) + int(n)
+        elapsed = pdf[ts].to_numpy("datetime64[s]").astype("int64") - start
+        wait = pd.Series(np.maximum(window_s - elapsed, 1), index=pdf.index, dtype="Int64").mask(admitted)
+        yield pd.DataFrame({client: pdf[client], route: pdf[route], ts: pdf[ts], "admitted": admitted, "retry_after": wait})
+        state.update((json.dumps(used),))
         end = (start + window_s) * 1000
         state.setTimeoutTimestamp(max(end, int(state.getCurrentWatermarkMs()) + 1))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"{client} {kinds[client]}, {route} {kinds[route]}, {ts} timestamp, admitted boolean, retry_after long"
-    return rows.groupBy(client, route, "__start").applyInPandasWithState(decide, schema, "used long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("__bucket", "__start").applyInPandasWithState(decide, schema, "used string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sse_events(frames: DataFrame, value: str = "value") -> DataFrame:

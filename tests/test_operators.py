@@ -465,6 +465,28 @@ def test_late_rows_count_in_their_own_window(spark, tmp_path):
     assert [(r["ts"].second + 60 * r["ts"].minute, r["admitted"], r["retry_after"]) for r in rows] == [(0, True, None), (10, True, None), (70, True, None), (75, True, None), (76, False, 44)]
 
 
+def test_rate_limit_stream_of_many_clients(spark, tmp_path):
+    """Counts of clients in one bucket stay apart, over runs too, null clients and routes among them; a bucket has one state."""
+    rng, source, out, state = random.Random(2), tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/state"
+    source.mkdir()
+    want, used = [], {}
+    for i in range(2):
+        rows = [(rng.choice([None, *range(300)]), rng.choice([None, "a", "b"]), rng.randrange(120) + 120 * i, j) for j in range(1500)]
+        rows = [r for r in rows if i == 0 or r[2] < 230] + [(5, "a", s, 0) for s in (239, 239)] * i
+        frame = spark.createDataFrame(rows, "c long, r string, s long, j long").selectExpr("c", "r", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, s) AS ts")
+        frame.coalesce(1).write.mode("append").parquet(str(source))
+        for c, r, s, _ in sorted(rows, key=lambda x: x[2]):
+            n = used[c, r, s // 60] = used.get((c, r, s // 60), 0) + 1
+            want.append((str(c), str(r), s, n <= 2, None if n <= 2 else max(60 - s % 60, 1)))
+        stream = spark.readStream.schema(frame.schema).parquet(str(source))
+        limited = streams.rate_limited(stream, "c", "r", "ts", 60, 2, "1 hour", buckets=3)
+        run = limited.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        run.awaitTermination()
+    got = spark.read.parquet(out).selectExpr("c", "r", "unix_timestamp(ts) - unix_timestamp(timestamp '2024-01-01') AS s", "admitted", "retry_after").collect()
+    assert sorted(map(str, ((str(x[0]), str(x[1]), *x[2:]) for x in got))) == sorted(map(str, want))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 3 * 4
+
+
 def test_spelling_candidates_of_short_words(spark, tmp_path):
     """Terms of 4 to 24 letters, against words of 3 to 28."""
     from corpusmill.plans import catalog
