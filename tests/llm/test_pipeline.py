@@ -80,3 +80,10 @@ def test_empty_tables_pass_through(spark, tmp_path):
     some = make_tables(spark, tmp_path / "b", docs[:20], [], [])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, some).collect()} == {r[0] for r in docs[:20]}
     assert spark.read.parquet(f"{some}/documents.parquet").where(F.col("text").isNull()).count() == 0
+
+
+def test_near_duplicates_of_few_words(spark, tmp_path):
+    """Two or three words in a whole table; of two equal texts one stays."""
+    for texts, want in ((["a b c"], {0}), (["a b"], {0}), (["a", None, "b", "a"], {0, 1, 2})):
+        rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).coalesce(1)
+        assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows, str(tmp_path)).collect()} == want
