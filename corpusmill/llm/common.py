@@ -44,17 +44,22 @@ class WordCache:
 _KEPT: dict = {}
 
 
+def give_back() -> None:
+    """What was freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def kept(key: tuple, make):
     """make(), once in each Python worker for each key; only the last is kept, so stages don't add up in memory."""
     if key not in _KEPT:
         if _KEPT:
             _KEPT.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:  # what was freed goes back to the system where the C library can do that
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass
+            give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 

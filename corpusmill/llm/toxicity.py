@@ -16,12 +16,13 @@ curve, fitted on half of that sample, does best on the other half; held-out rows
 
 Counting: each task packs its distinct pairs, sorted by buckets of the hash space, with the contexts of
 labelled ones; buckets are merged by tasks of their own, whose number follows the corpus. A word's
-pairs are spread over 16 buckets or more by the word before, so no word is a hot group. Words go by 28-bit
-hashes, contexts of a pair by 15 bits (their number is corrected for chance equals).
+pairs are spread over 16 buckets or more by the word before, so no word is a hot group. Words, and so contexts, go by
+28-bit hashes; contexts are counted exactly.
 
 The model that workers hold is bounded at any size of the corpus: a table of WORD_SLOTS words and one of
-PAIR_SLOTS pairs, WAYS of them to a slot. Where more fall into one slot, those of most contexts stay and the others
-back off, as do pairs that begin with a word that backs off.
+PAIR_SLOTS pairs. Where there are more, WAYS of those that share a slot stay, those of most contexts, and the others are
+in a table in the shared folder: texts and the expressions that they ask of it are dealt to groups of GROUP_CHARS
+characters or so, each of which gets the counts it needs before its texts. So every count has its part in a score at any size.
 Only the curve is fitted on a bounded sample: two fifths of per_class labelled toxic documents and three times
 as many ordinary ones, by hash order of their ids; all other labelled rows are counted.
 
@@ -34,7 +35,8 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +44,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_group, distinct, fold, materialise, sample_ids, text_of, texts, unused, word_hashes
+from .common import batches_of, by_group, distinct, fold, give_back, kept, materialise, mix, sample_ids, text_of, texts, unused, word_hashes
 
 DISCOUNT = 0.75
-BITS, CONTEXTS = 28, 1 << 15
-#: Rows of the model's tables at most, and how many of them share a slot.
+BITS = 28
+#: Rows of the model's tables at most, and how many of them share a slot where there are more.
 WORD_SLOTS, PAIR_SLOTS, WAYS = 1 << 20, 1 << 21, 4
+#: Characters of the texts of a group, and bits at most of the filter of the expressions that have no place (8 MB).
+GROUP_CHARS, MOST_BITS = 12_000_000, 1 << 26
 #: Words of text that a task packs at once, and that a bucket stands for.
-PACK_WORDS, BUCKET_WORDS = 3_000_000, 4_000_000
+PACK_WORDS, BUCKET_WORDS = 3_000_000, 2_000_000
+#: Rows of an Arrow batch with texts.
+TEXT_ROWS = 1000
 #: Labelled ids are broadcast up to this number; more of them are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
 COUNTS = ["t", "o", "pooled", "ht", "ho", "ft", "fo"]
@@ -94,6 +100,8 @@ def _grown(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
+#: A context and the class that has it.
+MARK_BITS, MARK = np.uint64(BITS + 1), np.uint64((1 << (BITS + 1)) - 1)
 PACKED = "bucket long, n_pairs long, pairs binary, n_contexts long, places binary, contexts binary"
 
 
@@ -103,9 +111,9 @@ def packed(key: np.ndarray, context: np.ndarray, label: np.ndarray, shift: int)
     hit = np.flatnonzero(label)
     hit = hit[np.argsort(key[hit])]  # places of sorted keys are found faster
     place = np.searchsorted(own, key[hit]).astype(np.uint64)
-    marks = ((context[hit] % CONTEXTS) << 1 | (label[hit] == 2)).astype(np.uint64)
-    seen = distinct((place << np.uint64(16)) | marks)
-    place, marks = (seen >> np.uint64(16)).astype(np.int64), (seen & np.uint64(0xFFFF)).astype(np.uint16)
+    marks = (context[hit].astype(np.int64) << 1 | (label[hit] == 2)).astype(np.uint64)
+    seen = distinct((place << MARK_BITS) | marks)
+    place, marks = (seen >> MARK_BITS).astype(np.int64), (seen & MARK).astype(np.uint32)
     bucket = own >> np.uint64(shift)
     cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(own)]
     sides = np.searchsorted(place, cuts)
@@ -123,22 +131,21 @@ def unpacked(t: pa.Table, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for r in t.to_pylist():
         keys.append(np.cumsum(_grown(r["pairs"], r["n_pairs"], np.uint64), dtype=np.uint64) + base)
         places.append(np.cumsum(_grown(r["places"], r["n_contexts"], np.uint32), dtype=np.int64))
-        marks.append(_grown(r["contexts"], r["n_contexts"], np.uint16))
+        marks.append(_grown(r["contexts"], r["n_contexts"], np.uint32))
     own = distinct(np.concatenate(keys))
-    seen = [(np.searchsorted(own, k)[p].astype(np.uint64) << np.uint64(16)) | m for k, p, m in zip(keys, places, marks, strict=True)]
+    seen = [(np.searchsorted(own, k)[p].astype(np.uint64) << MARK_BITS) | m for k, p, m in zip(keys, places, marks, strict=True)]
     seen = distinct(np.concatenate(seen))
-    place, toxic = (seen >> np.uint64(16)).astype(np.int64), (seen & np.uint64(1)).astype(bool)
+    place, toxic = (seen >> MARK_BITS).astype(np.int64), (seen & np.uint64(1)).astype(bool)
     count = lambda at: np.bincount(at, minlength=len(own))
-    # Of CONTEXTS hashes some are equal by chance.
-    true = lambda n: np.rint(-CONTEXTS * np.log1p(-np.minimum(n, CONTEXTS - 1) / CONTEXTS)).astype(np.int64)
-    return own, true(count(place[toxic])), true(count(place[~toxic]))
+    return own, count(place[toxic]), count(place[~toxic])
 
 
 def expression_counts(rows: DataFrame) -> DataFrame:
     """kind (0: words, 1: pairs), key and COUNTS over all rows of s_label (2 toxic, 1 ordinary, else null) and s_text.
 
     t, o, pooled: distinct words before the word in toxic, ordinary and all rows (of pairs: contexts before the pair);
-    ht, ho, ft, fo: contexts and number of the different pairs that the word begins. Pairs of one context are not rows."""
+    ht, ho, ft, fo: contexts and number of the different pairs that the word begins. Pairs that no class has behind two words
+    are not rows: their discount takes all there is of them, and Model.ratios gives them no share, so they would change nothing."""
     chars = rows.agg(F.sum(F.length("s_text"))).first()[0] or 0
     shift = 2 * BITS - max(4, math.ceil(math.log2(max(1, chars / 6 / BUCKET_WORDS))))
 
@@ -147,10 +154,12 @@ def expression_counts(rows: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row in packed(*map(np.concatenate, zip(*held, strict=True)), shift):
-                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))])
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
+            for row in packed(*parts, shift):
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))])
 
+        kept(("toxicity",), dict)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
@@ -162,8 +171,10 @@ def expression_counts(rows: DataFrame) -> DataFrame:
                     yield from out()
         if held and any(len(h[0]) for h in held):
             yield from out()
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("toxicity",), dict)
         for t in by_group(batches, ["bucket"]):
             own, toxic, ordinary = unpacked(t, shift)
             before, word = split_key(own)
@@ -179,41 +190,92 @@ def expression_counts(rows: DataFrame) -> DataFrame:
             some = np.flatnonzero(np.maximum(toxic, ordinary) > 1)
             none = [np.zeros(len(some), np.int64)] * 5
             yield _count_rows(1, (before[some] << BITS) | word[some], [toxic[some], ordinary[some], *none])
+        give_back()
 
     blobs = rows.select(F.col("s_label").cast("int"), "s_text").mapInArrow(gather, PACKED)
     dealt = blobs.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
     counted = dealt.mapInArrow(merge, "kind int, key long, " + ", ".join(f"{c} long" for c in COUNTS))
-    return materialise(counted.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    with batches_of(rows.sparkSession, TEXT_ROWS):
+        return materialise(counted.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
 
 def _count_rows(kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), *map(pa.array, (keys, *columns))], ["kind", "key", *COUNTS])
 
 
+def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of asked keys in a table sorted by its keys (zeros for those it hasn't), and which it hasn't."""
+    out, absent = np.zeros((len(asked), values.shape[1]), np.float32), np.ones(len(asked), bool)
+    if len(keys) and len(asked):
+        order = np.argsort(asked)  # places of sorted keys are found faster
+        own = asked[order]
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == own)
+        out[order[hit]] = values[at[hit]]
+        absent[order[hit]] = False
+    return out, absent
+
+
+def _bit_places(keys: np.ndarray, size: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _key_bits(keys: DataFrame) -> np.ndarray:
+    """A filter of keys as bits: all that are in the table pass, and few others (more of them where MOST_BITS are too few)."""
+    size = 1 << min(max(16, (16 * keys.count()).bit_length()), MOST_BITS.bit_length() - 1)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                place = distinct(_bit_places(b.column(0).to_numpy(), size))
+                starts = np.flatnonzero(np.diff(place >> 6, prepend=-1))
+                value = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), starts)
+                yield pa.RecordBatch.from_arrays([pa.array(place[starts] >> 6), pa.array(value.view(np.int64))], ["w", "b"])
+
+    got = keys.select("key").mapInArrow(bits, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return out
+
+
 class Slots:
-    """A bounded table from keys to counts: of the keys of a slot the WAYS with most contexts (then the largest) stay."""
+    """A bounded table from keys to counts: all of them, or, of more than size keys, the WAYS of each slot with most contexts (then the largest).
+
+    The others are in `more`, a table in the shared folder that only the driver knows (None if there are none); `bits` is a filter of their keys."""
 
     def __init__(self, counts: DataFrame, columns: list[str], size: int) -> None:
-        slot = F.pmod(F.xxhash64("key"), F.lit(max(1, size // WAYS))).cast("int")
-        order = Window.partitionBy("slot").orderBy(F.desc(F.col("t") + F.col("o") + F.col("ht") + F.col("ho")), F.desc("key"))
-        best = counts.withColumn("slot", slot).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= WAYS)
-        got = best.select("key", *columns).toArrow()
+        self.more = self.bits = None
+        if counts.count() > size:
+            slot = F.pmod(F.xxhash64("key"), F.lit(max(1, size // WAYS))).cast("int")
+            order = Window.partitionBy("slot").orderBy(F.desc(F.col("t") + F.col("o") + F.col("ht") + F.col("ho")), F.desc("key"))
+            ranked = materialise(counts.withColumn("slot", slot).withColumn("rank", F.row_number().over(order)))
+            self.more = ranked.where(F.col("rank") > WAYS).drop("slot", "rank")
+            self.bits = _key_bits(self.more)
+            counts = ranked.where(F.col("rank") <= WAYS)
+        got = counts.select("key", *[F.col(c).cast("float").alias(c) for c in columns]).toArrow()
         keys = got.column("key").to_numpy()
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.values = np.column_stack([got.column(c).to_numpy()[order].astype(np.float32) for c in columns])
-
-    def rows(self, keys: np.ndarray) -> np.ndarray:
-        """The counts of keys; zeros for those that the table hasn't."""
-        out = np.zeros((len(keys), self.values.shape[1]), np.float32)
-        if len(self.keys) and len(keys):
-            order = np.argsort(keys)  # places of sorted keys are found faster
-            asked = keys[order]
-            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            hit = np.flatnonzero(self.keys[at] == asked)
-            out[order[hit]] = self.values[at[hit]]
+        self.values = np.column_stack([got.column(c).to_numpy()[order] for c in columns])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"more": None}
+
+    def rows(self, keys: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The counts of keys; zeros for those that neither the table nor more (sorted keys, counts) has."""
+        out, absent = _looked_up(self.keys, self.values, keys)
+        if more is not None and absent.any():
+            out[absent] = _looked_up(*more, keys[absent])[0]
         return out
 
+    def elsewhere(self, keys: np.ndarray) -> np.ndarray:
+        """Those of distinct keys that may be in `more`."""
+        if self.bits is None or not len(keys):
+            return keys[:0]
+        keys = keys[_looked_up(self.keys, self.values[:, :0], keys)[1]]
+        place = _bit_places(keys, len(self.bits) << 6)
+        return keys[(self.bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1]
+
 
 class Model:
     """Log-likelihood ratios (toxic over ordinary) of expressions from the count tables."""
@@ -224,16 +286,28 @@ class Model:
         totals = np.array([x or 0 for x in sums], float)
         self.total, self.pooled, self.n = np.maximum(totals[:2], 1), totals[4], totals[5]
         self.rest = (DISCOUNT * totals[2:4] / self.total).clip(1e-4, 1)
-        self.words = Slots(words.where("t + o + ht + ho > 0"), COUNTS, WORD_SLOTS)
+        self.words = Slots(words.where("t + o + ht + ho > 0"), COUNTS, WORD_SLOTS)  # the others have no ratio of their own
         self.pairs = Slots(counts.where("kind = 1"), ["t", "o"], PAIR_SLOTS)
         self.cutoff, self.curve, self.window, self.name = cutoff, np.zeros(3), 1, uuid.uuid4().hex
 
+    def more(self) -> DataFrame | None:
+        """kind, key and COUNTS of the expressions that have no place in the tables."""
+        parts = [t.more.select(F.lit(kind).alias("kind"), "key", *COUNTS) for kind, t in enumerate((self.words, self.pairs)) if t.more is not None]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def elsewhere(self, ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Keys of words and of pairs that texts ask of `more`."""
+        before = _before(ids, ends)
+        return [self.words.elsewhere(distinct(ids)), self.pairs.elsewhere(distinct((before << BITS | ids)[before > 0]))]
+
     def share(self, n: np.ndarray) -> np.ndarray:
         return np.minimum(n / self.cutoff, 1) ** 2
 
-    def ratios(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def ratios(self, ids: np.ndarray, ends: np.ndarray, more: list | None = None) -> np.ndarray:
+        """The ratio of each word; more: what of `more` the texts ask for, of words and of pairs, each as sorted keys and counts."""
+        more_words, more_pairs = more or (None, None)
         each, at = np.unique(ids, return_inverse=True)
-        table = self.words.rows(each).astype(float)
+        table = self.words.rows(each, more_words).astype(float)
         counts, pooled, begun, followers = table[:, :2], table[:, 2], table[:, 3:5], table[:, 5:7]
         shared = (pooled + 0.5) / (self.pooled + 0.5 * (self.n + 1))
         one = np.maximum(counts - DISCOUNT, 0) / self.total + self.rest * shared[:, None]
@@ -247,9 +321,9 @@ class Model:
         inner = np.flatnonzero(before)
         b, a = at[inner], at[inner - 1]
         out[inner] += own[b] * backoff[a]
-        pair = self.pairs.rows((before[inner] << BITS) | ids[inner]).astype(float)
-        # A word begins at least as many pairs as one of them has contexts, unless it has no place in the table.
-        seen = np.flatnonzero(pair.any(1) & (begun[a] >= pair).all(1))
+        pair = self.pairs.rows((before[inner] << BITS) | ids[inner], more_pairs).astype(float)
+        # Of one context nothing is left behind the discount: such a pair says what its word does.
+        seen = np.flatnonzero(pair.max(1, initial=0) > 1)
         a, b, pair, inner = a[seen], b[seen], pair[seen], inner[seen]
         two = np.maximum(pair - 1, 0) / history[a] + back[a] * one[b]
         share = self.share(pair.sum(1))
@@ -281,13 +355,13 @@ def log_loss(curve: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, z) - y * z))
 
 
-def features(model: Model, rows: list[str], windows: list[int]) -> np.ndarray:
+def features(model: Model, rows: list[str], windows: list[int], more: list | None = None) -> np.ndarray:
     """For each text the whole's ratio per word, then the best ratio per word of each length of window; NaN without words."""
     ids, ends = numbers_of(rows)
     out = np.full((len(rows), 1 + len(windows)), np.nan)
     if not len(ids):
         return out
-    sums = np.concatenate(([0.0], np.cumsum(model.ratios(ids, ends))))
+    sums = np.concatenate(([0.0], np.cumsum(model.ratios(ids, ends, more))))
     sizes = np.diff(ends, prepend=0)
     some = np.flatnonzero(sizes)
     starts = (ends - sizes)[some]
@@ -317,17 +391,11 @@ def train(
     counted = materialise(counted.join(F.broadcast(ids.select("s_id")), "s_id", "left_anti"))
     marked = own.join(F.broadcast(counted) if counted.count() <= BROADCAST_LABELS else counted, "s_id", "left")
     model = Model(expression_counts(marked), cutoff)
-    sent = spark.sparkContext.broadcast(model)
-
-    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = features(sent.value, texts(b.column(2)), list(windows))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), b.column(1), pa.array(list(got), pa.list_(pa.float64()))], ["y", "half", "x"])
-
     half = F.pmod(F.xxhash64(F.lit("half"), "s_id"), F.lit(2)).cast("int")
-    rows = own.join(F.broadcast(ids), "s_id").select("s_class", half.alias("half"), "s_text")
-    got = rows.mapInArrow(features_of, "y int, half int, x array<double>").toArrow()
-    sent.unpersist()
+    rows = own.join(F.broadcast(ids), "s_id").select(F.col("s_class").cast("int").alias("y"), half.alias("half"), "s_text")
+    measured = lambda model, rows, more: pa.array(list(features(model, rows, list(windows), more)), pa.list_(pa.float64()))
+    with batches_of(spark, TEXT_ROWS):
+        got = _with_texts(rows, model, ["y", "half"], "s_text", measured, T.StructField("x", T.ArrayType(T.DoubleType()))).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(len(got), 1 + len(windows))
     y, second = got.column("y").to_numpy().astype(float), got.column("half").to_numpy() == 1
     whole = ~np.isnan(x[:, 0])
@@ -347,34 +415,103 @@ def train(
 THRESHOLD = 0.7
 
 
+def _with_texts(docs: DataFrame, model: Model, names: list[str], text_col: str, make: Callable, field: T.StructField) -> DataFrame:
+    """The columns in names and what make(model, texts, more) gives for the texts of some rows."""
+    (text,) = unused([*names, field.name], "text_scored")
+    rows = docs.select(*names) if text_col in names else docs.select(*names, F.col(text_col).alias(text))
+    at, own = rows.columns.index(text_col if text_col in names else text), [*names, field.name]
+    schema = T.StructType([*rows.select(*names).schema.fields, field])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    made = lambda columns, more: pa.RecordBatch.from_arrays([*columns[: len(names)], make(sent.value, texts(columns[at]), more)], own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("toxicity",), dict)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXT_ROWS):
+                yield made(whole.slice(lo, TEXT_ROWS).columns, None)
+        give_back()
+
+    more = model.more()
+    if more is None:
+        return rows.mapInArrow(run, schema)
+
+    # Texts and what they ask of the shared folder meet in groups.
+    body = F.col(rows.columns[at])
+    groups = max(1, math.ceil((rows.agg(F.sum(F.length(body))).first()[0] or 0) / GROUP_CHARS))
+    group = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(groups)).cast("int")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("toxicity",), dict)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXT_ROWS):
+                b = whole.slice(lo, TEXT_ROWS)
+                place, own_texts = b.column(0).to_numpy(), np.array(texts(b.column(1)), object)
+                for g in np.unique(place).tolist():
+                    for kind, keys in enumerate(sent.value.elsewhere(*numbers_of(own_texts[place == g].tolist()))):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), g, np.int32)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys)], ["s_group", "kind", "key"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("toxicity",), dict)
+        now, counts, got = None, [], []
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXT_ROWS):
+                b = whole.slice(lo, TEXT_ROWS)
+                place, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+                cuts = np.flatnonzero(np.diff(place) | np.diff(kind)) + 1
+                for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+                    if place[i] != now:
+                        now, counts, got = place[i], [[], []], None
+                    part = b.slice(i, j - i)
+                    if kind[i] < 2:
+                        counts[kind[i]].append(part)
+                        continue
+                    if got is None:
+                        got = [_sorted_counts(c, names_) for c, names_ in zip(counts, (COUNTS, ["t", "o"]), strict=True)]
+                        counts = [[], []]
+                    yield made(part.column(b.num_columns - 1).flatten(), got)
+        give_back()
+
+    asked = rows.select(group.alias("s_group"), body).mapInArrow(ask, "s_group int, kind int, key long").distinct()
+    found = asked.join(more, ["kind", "key"]).select("s_group", "kind", "key", *COUNTS, F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType).alias("s_row"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("key", *COUNTS)]
+    both = found.unionByName(rows.select(group.alias("s_group"), F.lit(2).alias("kind"), *none, F.struct("*").alias("s_row")))
+    partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartition(partitions, "s_group").sortWithinPartitions("s_group", "kind").mapInArrow(answered, schema)
+
+
+def _sorted_counts(parts: list[pa.RecordBatch], columns: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    if not parts:
+        return None
+    t = pa.Table.from_batches(parts)
+    keys = t.column("key").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], np.column_stack([t.column(c).to_numpy()[order].astype(np.float32) for c in columns])
+
+
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", carry: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """The columns in carry (all by default) and the score of every row (its column's name grows by _ where docs has it)."""
     names = docs.columns if carry is None else carry
-    text, out = unused(names, "text_scored", score_col)
+    (out,) = unused(names, score_col)
     if model is None:
         return docs.select(*names, F.lit(0.0).alias(out))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                got = features(sent.value, texts(b.column(len(names))), [sent.value.window])
-                scores = np.where(np.isnan(got[:, 0]), 0.0, sent.value.scores(got[:, 1], got[:, 0]))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(scores, pa.float64())], [*names, out])
+    def scores(model: Model, rows: list[str], more: list | None) -> pa.Array:
+        got = features(model, rows, [model.window], more)
+        return pa.array(np.where(np.isnan(got[:, 0]), 0.0, model.scores(got[:, 1], got[:, 0])), pa.float64())
 
-    rows = docs.select(*names, F.col(text_col).alias(text))
-    return rows.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, T.StructField(out, T.DoubleType())]))
+    return _with_texts(docs, model, names, text_col, scores, T.StructField(out, T.DoubleType()))
 
 
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold."""
     scored = score(docs, model, text_col)
-    return scored.where(F.col(scored.columns[-1]) < THRESHOLD).select(*docs.columns)
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        return materialise(scored.where(F.col(scored.columns[-1]) < THRESHOLD).select(*docs.columns))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: the model learns only from rows that aren't held out (fold 1 of 3)."""
     model = train(docs, labels, train_rows=fold("doc_id", 3) != 1)
-    out = score(docs.select("doc_id", "text"), model, carry=["doc_id"])
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        out = materialise(score(docs.select("doc_id", "text"), model, carry=["doc_id"]))
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

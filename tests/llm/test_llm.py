@@ -638,6 +638,52 @@ def test_slots_keep_the_expression_of_most_contexts(spark):
     assert slots.rows(np.array([100, 97, 96])).ravel().tolist() == [100, 97, 0] and len(slots.keys) == toxicity.WAYS
 
 
+def test_contexts_are_counted_exactly():
+    """More contexts of one pair than 15 bits tell apart."""
+    n = 40_000
+    key, context = np.full(2 * n, 7, np.uint64), np.tile(np.arange(n, dtype=np.int32) * 5, 2)
+    rows = [dict(zip([x.split()[0] for x in toxicity.PACKED.split(", ")], r)) for r in toxicity.packed(key, context, np.repeat([2, 1], n).astype(np.int8), 52)]
+    own, toxic, ordinary = toxicity.unpacked(toxicity.pa.Table.from_pylist(rows), 52)
+    assert (own.tolist(), toxic.tolist(), ordinary.tolist()) == ([7], [n], [n])
+
+
+def toxic_corpus(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4))) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)) + (" vile scum" if i % 4 == 0 else "")) for i in range(300)] + [(900, None), (901, ""), (1, "again words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("a"), "doc_id"))
+    return docs, docs.where("doc_id < 300").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")).distinct()
+
+
+def test_toxicity_without_places_scores_alike(spark, monkeypatch):
+    """Expressions that the bounded tables have no place for have their part in the curve and in all scores."""
+    docs, labels = toxic_corpus(spark)
+    runs = []
+    for words, pairs in ((1 << 20, 1 << 21), (16, 8)):
+        monkeypatch.setattr(toxicity, "WORD_SLOTS", words)
+        monkeypatch.setattr(toxicity, "PAIR_SLOTS", pairs)
+        monkeypatch.setattr(toxicity, "GROUP_CHARS", 4000)
+        model = toxicity.train(docs, labels)
+        assert len(model.words.keys) > 16 if words > 16 else len(model.words.keys) <= 16 and len(model.pairs.keys) <= 8
+        runs.append((model.curve.tolist(), sorted((r["doc_id"], r["text"] or "", r["m"]["a"], r["score"]) for r in toxicity.score(docs, model).collect())))
+    assert len(runs[1][1]) == 303 and np.allclose(runs[0][0], runs[1][0], atol=1e-6)
+    assert [r[:3] for r in runs[0][1]] == [r[:3] for r in runs[1][1]]
+    assert np.allclose([r[3] for r in runs[0][1]], [r[3] for r in runs[1][1]], atol=1e-6)
+
+
+def test_pairs_behind_one_word_change_no_ratio(spark):
+    """The counts leave out the pairs that no class has behind two words: with them all ratios are the same."""
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.train(docs, labels)
+    ids, ends = toxicity.numbers_of([r["text"] or "" for r in docs.collect()])
+    before = model.ratios(ids, ends)
+    every = np.unique((ids[:-1] << toxicity.BITS) | ids[1:])
+    left_out = every[~np.isin(every, model.pairs.keys)]
+    assert len(left_out) > 1000
+    more = (None, (left_out, np.tile(np.float32([[1, 1], [0, 1], [1, 0]]), (len(left_out), 1))[: len(left_out)]))
+    assert np.array_equal(before, model.ratios(ids, ends, more))
+
+
 def test_languages_learn_from_every_word(spark):
     """Words past the hundred thousandth and words of more than 40 letters count, whatever the language's name."""
     rng = random.Random(5)
