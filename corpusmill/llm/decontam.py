@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Runs, by_group, lowered, materialise, mix, signs_where, texts, unused
+from .common import BASE, Runs, batches_of, by_group, give_back, kept, lowered, materialise, mix, signs_where, texts, unused
 
 UNITS = sorted(
     "mm cm m km mi inch inches ft feet yd yards mile miles g mg kg lb lbs oz ton tons l ml litre litres liter liters gallon gallons "
@@ -54,6 +54,8 @@ LITERAL_LEAST = 3
 #: Places of the bit filter; a hash takes two.
 FILTER_BITS = 23
 FILTER_SLOTS = 1 << FILTER_BITS
+#: Rows of an Arrow batch with texts.
+TEXT_ROWS = 500
 
 
 @dataclass
@@ -173,6 +175,7 @@ def document_hits(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("leaks",), dict)  # what other stages have kept goes
         table = np.unpackbits(sent.value).astype(bool)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
@@ -189,6 +192,7 @@ def document_hits(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame
                         begin = np.searchsorted(r.text, of)
                         columns = [pa.array(keys[of]), pa.array(h[hit].view(np.int64)), pa.array((at - begin).astype(np.int32)), _slot_lists(r, at, size)]
                         yield pa.RecordBatch.from_arrays(columns, ["tk", "hash", "at", "given"])
+        give_back()
 
     rows = docs.where(F.length(text_col) > 0).select(F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     hits = rows.mapInArrow(run, "tk long, hash long, at int, given array<long>") if sizes else rows.selectExpr("tk", "0L AS hash", "0 AS at", "array(0L) AS given").where("false")
@@ -262,7 +266,8 @@ def found_items(docs: DataFrame, benchmark: DataFrame, text_col: str, coverage:
         if out:
             yield pack()
 
-    return materialise(dealt.mapInArrow(check, FOUND))
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        return materialise(dealt.mapInArrow(check, FOUND))
 
 
 def leaks(

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, batches_of, by_group, distinct, kept, materialise, mix, text_of, texts, unused, word_hashes
+from .common import BASE, batches_of, by_group, distinct, give_back, kept, materialise, mix, text_of, texts, unused, word_hashes
 
 #: Characters that are hashed at once (some 60 bytes of arrays each), and rows of an Arrow batch with texts.
 SLICE, TEXT_ROWS = 1 << 20, 500
@@ -122,6 +122,7 @@ def classes_of(docs: DataFrame, n: int, hashes: int, id_col: str, text_col: str)
                     # The low bits: the high ones of a minimum are nearly always 0.
                     signatures.append(tool.signature(grams).astype("<u2").tobytes() if some else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(counts, pa.int32()), pa.array(signatures, pa.binary())], ["rid", "tk", "class", "n_grams", "sig"])
+        give_back()
 
     own = docs.select(*_row_key(id_col, text_col), text_of(text_col).alias("text"))
     return own.mapInArrow(run, "rid long, tk long, class long, n_grams int, sig binary")
@@ -348,6 +349,7 @@ def ngram_jaccard_join(
                 held = []
         if held:
             yield pack()
+        give_back()
 
     with batches_of(spark, TEXT_ROWS):
         found = materialise(dealt.mapInArrow(compare, "class long, root long, links long, texts long, part long"))

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, kept, materialise, text_of, texts
+from .common import Runs, batches_of, give_back, kept, materialise, text_of, texts
 
 DIMS, BITS, VECTOR = 4, 8, 512
 #: Different words whose ids a worker keeps.
 MOST_WORDS = 800_000
+#: Rows of an Arrow batch with texts.
+TEXT_ROWS = 512
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -187,6 +189,7 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text
                     [b.column(0), pa.array(place), pa.array([len(a) for a in arrays], pa.int64()), pa.array([tok.wide] * len(arrays)), pa.array([a.tobytes() for a in arrays], pa.binary())],
                     ["doc_id", "place", "n_tokens", "wide", "ids"],
                 )
+        give_back()
 
     tie = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 31) - 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tie.alias("tie"), text_of(text_col).alias("text"))
@@ -210,7 +213,8 @@ def pack(
 
     range_tokens: about how many tokens one task lays out (at most 20,000 ranges are made; larger ones stream through
     their tasks in the same memory)."""
-    table = materialise(encoded(docs, tokenizer_file, end_id, id_col, text_col))
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        table = materialise(encoded(docs, tokenizer_file, end_id, id_col, text_col))
     total = table.agg(F.sum("n_tokens"), F.count("*")).first()
     ranges = int(min(20_000, max(1, -(-(total[0] or 0) // range_tokens))))
     cuts: list[int] = []
