@@ -76,6 +76,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files once it is written; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows at most in what runs inside: the JVM and the worker hold each batch whole, so long texts need small ones."""
@@ -148,6 +160,25 @@ def texts(column: pa.Array) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 
 
+#: Characters that are read at once (some 60 to 100 bytes of arrays each).
+SLICE_CHARS = 1 << 19
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], at: int, rows: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with the texts of column `at`: so many rows and SLICE_CHARS characters at most, or one longer text."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, rows):
+            b = whole.slice(lo, rows)
+            part = texts(b.column(at))
+            begin = size = 0
+            for i, t in enumerate(part):
+                if i > begin and size + len(t) > SLICE_CHARS:
+                    yield b.slice(begin, i - begin), part[begin:i]
+                    begin, size = i, 0
+                size += len(t)
+            yield b.slice(begin), part[begin:]
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values (np.unique hashes integers, which takes many times as long as sorting them)."""
     out = np.sort(values)

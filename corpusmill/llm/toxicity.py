@@ -21,8 +21,9 @@ pairs are spread over 16 buckets or more by the word before, so no word is a hot
 
 The model that workers hold is bounded at any size of the corpus: a table of WORD_SLOTS words and one of
 PAIR_SLOTS pairs. Where there are more, WAYS of those that share a slot stay, those of most contexts, and the others are
-in a table in the shared folder: texts and the expressions that they ask of it are dealt to groups of GROUP_CHARS
-characters or so, each of which gets the counts it needs before its texts. So every count has its part in a score at any size.
+in a table in the shared folder. A pass over the texts then leaves open the words whose ratio asks of that table; what can be said without them
+is said, and only the numbers of the open words and of those that share a window with them are dealt to groups, each of
+which gets the counts it needs before its texts' words. So every count has its part in a score at any size, and no text is dealt out.
 Only the curve is fitted on a bounded sample: two fifths of per_class labelled toxic documents and three times
 as many ordinary ones, by hash order of their ids; all other labelled rows are counted.
 
@@ -44,13 +45,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, by_group, distinct, fold, give_back, kept, materialise, mix, sample_ids, text_of, texts, unused, word_hashes
+from .common import batches_of, by_group, distinct, fold, give_back, kept, materialise, mix, sample_ids, shuffles_dropped, text_of, text_slices, unused, word_hashes
 
 DISCOUNT = 0.75
 BITS = 28
 #: Rows of the model's tables at most, and how many of them share a slot where there are more.
 WORD_SLOTS, PAIR_SLOTS, WAYS = 1 << 20, 1 << 21, 4
-#: Characters of the texts of a group, and bits at most of the filter of the expressions that have no place (8 MB).
+#: Characters that the words of a group stand for, and bits at most of the filter of the expressions that have no place (8 MB).
 GROUP_CHARS, MOST_BITS = 12_000_000, 1 << 26
 #: Words of text that a task packs at once, and that a bucket stands for.
 PACK_WORDS, BUCKET_WORDS = 3_000_000, 2_000_000
@@ -59,6 +60,10 @@ TEXT_ROWS = 1000
 #: Labelled ids are broadcast up to this number; more of them are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
 COUNTS = ["t", "o", "pooled", "ht", "ho", "ft", "fo"]
+#: Marks the word before a run of open words (0 at a text's beginning), which stands in front of it.
+FRONT = 1 << BITS
+#: Characters of a word with what parts it from the next, about.
+WORD_CHARS = 8
 
 
 def numbers_of(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +165,13 @@ def expression_counts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))])
 
         kept(("toxicity",), dict)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                ids, ends = numbers_of(texts(b.column(1)))
-                label = np.repeat(b.column(0).fill_null(0).to_numpy(), np.diff(ends, prepend=0)).astype(np.int8)
-                before = _before(ids, ends)
-                held.append((pair_key(before, ids), _before(before, ends).astype(np.int32), label))
-                if sum(len(h[0]) for h in held) > PACK_WORDS:
-                    yield from out()
+        for b, part in text_slices(batches, 1, TEXT_ROWS):
+            ids, ends = numbers_of(part)
+            label = np.repeat(b.column(0).fill_null(0).to_numpy(), np.diff(ends, prepend=0)).astype(np.int8)
+            before = _before(ids, ends)
+            held.append((pair_key(before, ids), _before(before, ends).astype(np.int32), label))
+            if sum(len(h[0]) for h in held) > PACK_WORDS:
+                yield from out()
         if held and any(len(h[0]) for h in held):
             yield from out()
         give_back()
@@ -195,7 +198,7 @@ def expression_counts(rows: DataFrame) -> DataFrame:
     blobs = rows.select(F.col("s_label").cast("int"), "s_text").mapInArrow(gather, PACKED)
     dealt = blobs.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
     counted = dealt.mapInArrow(merge, "kind int, key long, " + ", ".join(f"{c} long" for c in COUNTS))
-    with batches_of(rows.sparkSession, TEXT_ROWS):
+    with batches_of(rows.sparkSession, TEXT_ROWS), shuffles_dropped(rows.sparkSession):
         return materialise(counted.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
 
@@ -216,6 +219,13 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple
     return out, absent
 
 
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether sorted keys have each value."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
 def _bit_places(keys: np.ndarray, size: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
@@ -248,7 +258,8 @@ class Slots:
         if counts.count() > size:
             slot = F.pmod(F.xxhash64("key"), F.lit(max(1, size // WAYS))).cast("int")
             order = Window.partitionBy("slot").orderBy(F.desc(F.col("t") + F.col("o") + F.col("ht") + F.col("ho")), F.desc("key"))
-            ranked = materialise(counts.withColumn("slot", slot).withColumn("rank", F.row_number().over(order)))
+            with shuffles_dropped(counts.sparkSession):
+                ranked = materialise(counts.withColumn("slot", slot).withColumn("rank", F.row_number().over(order)))
             self.more = ranked.where(F.col("rank") > WAYS).drop("slot", "rank")
             self.bits = _key_bits(self.more)
             counts = ranked.where(F.col("rank") <= WAYS)
@@ -300,6 +311,12 @@ class Model:
         before = _before(ids, ends)
         return [self.words.elsewhere(distinct(ids)), self.pairs.elsewhere(distinct((before << BITS | ids)[before > 0]))]
 
+    def asks(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the ratio of each word takes a count that may be in `more`."""
+        words, pairs = self.elsewhere(ids, ends)
+        before = _before(ids, ends)
+        return _among(ids, words) | _among(before, words) | (_among(before << BITS | ids, pairs) & (before > 0))
+
     def share(self, n: np.ndarray) -> np.ndarray:
         return np.minimum(n / self.cutoff, 1) ** 2
 
@@ -355,25 +372,77 @@ def log_loss(curve: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, z) - y * z))
 
 
-def features(model: Model, rows: list[str], windows: list[int], more: list | None = None) -> np.ndarray:
-    """For each text the whole's ratio per word, then the best ratio per word of each length of window; NaN without words."""
-    ids, ends = numbers_of(rows)
-    out = np.full((len(rows), 1 + len(windows)), np.nan)
-    if not len(ids):
-        return out
-    sums = np.concatenate(([0.0], np.cumsum(model.ratios(ids, ends, more))))
+def _sums(ratios: np.ndarray, ends: np.ndarray, windows: list[int], asks: np.ndarray | None = None) -> np.ndarray:
+    """For each run of words the sum of its ratios, then the best ratio per word of each length of window without a word that asks; -inf if there is none."""
     sizes = np.diff(ends, prepend=0)
+    out = np.full((len(ends), 1 + len(windows)), -np.inf)
+    sums = np.concatenate(([0.0], np.cumsum(ratios)))
+    out[:, 0] = sums[ends] - sums[ends - sizes]
     some = np.flatnonzero(sizes)
     starts = (ends - sizes)[some]
-    out[some, 0] = (sums[ends] - sums[ends - sizes])[some] / sizes[some]
-    at, end_of, start_of = np.arange(len(ids)), np.repeat(ends, sizes), np.repeat(ends - sizes, sizes)
-    for c, w in enumerate(windows, 1):
-        value = sums[np.minimum(at + w, end_of)] - sums[at]
+    at, end_of, start_of = np.arange(len(ratios)), np.repeat(ends, sizes), np.repeat(ends - sizes, sizes)
+    asked = None if asks is None else np.concatenate(([0], np.cumsum(asks)))
+    for c, w in enumerate(windows if len(some) else [], 1):
+        last = np.minimum(at + w, end_of)
+        value = sums[last] - sums[at]
         value[(at + w > end_of) & (at != start_of)] = -np.inf
+        if asked is not None:
+            value[asked[last] > asked[at]] = -np.inf
         out[some, c] = np.maximum.reduceat(value, starts) / w
     return out
 
 
+def partial_features(model: Model, rows: list[str], windows: list[int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """For each text its number of words, _sums without the words left open, and those: runs of numbers (4 bytes each), in front of each its FRONT.
+
+    Open are the words that ask of `more` and all that share a window with one, so each window lies in a run or has no word that asks."""
+    ids, ends = numbers_of(rows)
+    sizes = np.diff(ends, prepend=0)
+    ratios = model.ratios(ids, ends)
+    asks = model.asks(ids, ends)
+    hit = np.flatnonzero(asks)
+    if not len(hit):
+        return sizes, _sums(ratios, ends, windows), [b""] * len(rows)
+    begin, reach = np.repeat(ends - sizes, sizes), max(windows)
+    lo, hi = np.maximum(hit - reach + 1, begin[hit]), np.minimum(hit + reach, np.repeat(ends, sizes)[hit])
+    inside = np.cumsum(np.bincount(lo, minlength=len(ids) + 1) - np.bincount(hi, minlength=len(ids) + 1))[:-1] > 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | (begin[1:] == np.arange(1, len(ids)))
+    own, first = np.flatnonzero(inside), np.flatnonzero(first)
+    numbers = np.insert(ids[own], np.searchsorted(own, first), _before(ids, ends)[first] | FRONT).astype(np.int32)
+    cuts = [0, *(np.searchsorted(own, ends) + np.searchsorted(first, ends)).tolist()]
+    out = _sums(np.where(inside, 0.0, ratios), ends, [])
+    out = np.column_stack([out, _sums(ratios, ends, windows, asks)[:, 1:]])
+    return sizes, out, [numbers[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _open_words(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the open words of some texts with those in front, where each run begins and ends, and the text it is of."""
+    numbers = np.frombuffer(b"".join(rows), np.int32).astype(np.int64)
+    first = np.flatnonzero(numbers >= FRONT)
+    ends = np.append(first[1:], len(numbers))[: len(first)]
+    return numbers & (FRONT - 1), first, ends, np.searchsorted(np.cumsum([len(r) // 4 for r in rows]), first, side="right")
+
+
+def with_open(model: Model, sums: np.ndarray, rows: list[bytes], windows: list[int], more: list | None) -> np.ndarray:
+    """The sums of texts, with the words that partial_features left open."""
+    numbers, first, ends, of = _open_words(rows)
+    if not len(first):
+        return sums
+    own = _sums(np.delete(model.ratios(numbers, ends, more), first), ends - np.arange(1, len(ends) + 1), windows)
+    out = sums.copy()
+    out[:, 0] += np.bincount(of, own[:, 0], len(rows))
+    np.maximum.at(out[:, 1:], of, own[:, 1:])
+    return out
+
+
+def features(sizes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """For each text the whole's ratio per word, then the best ratio per word of each length of window; NaN without words."""
+    out = np.column_stack([sums[:, 0] / np.maximum(sizes, 1), sums[:, 1:]])
+    out[sizes == 0] = np.nan
+    return out
+
+
 def train(
     docs: DataFrame, labels: DataFrame, per_class: int = 3000, cutoff: int = 8, windows: tuple[int, ...] = (1, 2, 4, 8),
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows=None,
@@ -393,9 +462,9 @@ def train(
     model = Model(expression_counts(marked), cutoff)
     half = F.pmod(F.xxhash64(F.lit("half"), "s_id"), F.lit(2)).cast("int")
     rows = own.join(F.broadcast(ids), "s_id").select(F.col("s_class").cast("int").alias("y"), half.alias("half"), "s_text")
-    measured = lambda model, rows, more: pa.array(list(features(model, rows, list(windows), more)), pa.list_(pa.float64()))
+    measured = lambda model, x: pa.array(list(x), pa.list_(pa.float64()))
     with batches_of(spark, TEXT_ROWS):
-        got = _with_texts(rows, model, ["y", "half"], "s_text", measured, T.StructField("x", T.ArrayType(T.DoubleType()))).toArrow()
+        got = _with_texts(rows, model, ["y", "half"], "s_text", list(windows), measured, T.StructField("x", T.ArrayType(T.DoubleType()))).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(len(got), 1 + len(windows))
     y, second = got.column("y").to_numpy().astype(float), got.column("half").to_numpy() == 1
     whole = ~np.isnan(x[:, 0])
@@ -415,39 +484,58 @@ def train(
 THRESHOLD = 0.7
 
 
-def _with_texts(docs: DataFrame, model: Model, names: list[str], text_col: str, make: Callable, field: T.StructField) -> DataFrame:
-    """The columns in names and what make(model, texts, more) gives for the texts of some rows."""
+def _with_texts(docs: DataFrame, model: Model, names: list[str], text_col: str, windows: list[int], make: Callable, field: T.StructField) -> DataFrame:
+    """The columns in names and what make(model, features) gives for the texts of some rows."""
     (text,) = unused([*names, field.name], "text_scored")
     rows = docs.select(*names) if text_col in names else docs.select(*names, F.col(text_col).alias(text))
     at, own = rows.columns.index(text_col if text_col in names else text), [*names, field.name]
     schema = T.StructType([*rows.select(*names).schema.fields, field])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    made = lambda columns, more: pa.RecordBatch.from_arrays([*columns[: len(names)], make(sent.value, texts(columns[at]), more)], own)
+    made = lambda columns, sizes, sums: pa.RecordBatch.from_arrays([*columns, make(sent.value, features(sizes, sums))], own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(("toxicity",), dict)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, TEXT_ROWS):
-                yield made(whole.slice(lo, TEXT_ROWS).columns, None)
+        for b, part in text_slices(batches, at, TEXT_ROWS):
+            yield made(b.columns[: len(names)], *partial_features(sent.value, part, windows)[:2])
         give_back()
 
     more = model.more()
     if more is None:
         return rows.mapInArrow(run, schema)
 
-    # Texts and what they ask of the shared folder meet in groups.
-    body = F.col(rows.columns[at])
-    groups = max(1, math.ceil((rows.agg(F.sum(F.length(body))).first()[0] or 0) / GROUP_CHARS))
-    group = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(groups)).cast("int")
+    # What texts leave open and what that asks of the shared folder meet in groups.
+    left = ["s_size", "s_sums", "s_open"]
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("toxicity",), dict)
+        for b, part in text_slices(batches, 1, TEXT_ROWS):
+            sizes, sums, words = partial_features(sent.value, part, windows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int64)), pa.array(list(sums), pa.list_(pa.float64())), pa.array(words, pa.binary())], ["s_row", *left])
+        give_back()
+
+    row = T.StructField("s_row", rows.select(F.struct(*names).alias("r")).schema["r"].dataType)
+    kinds = [T.StructField(c, k) for c, k in zip(left, (T.LongType(), T.ArrayType(T.DoubleType()), T.BinaryType()), strict=True)]
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        partial = materialise(rows.select(F.struct(*names).alias("s_row"), F.col(rows.columns[at]).alias("s_text")).mapInArrow(leave, T.StructType([row, *kinds])))
+    size = F.octet_length("s_open")
+    groups = max(1, math.ceil((partial.agg(F.sum(size)).first()[0] or 0) / 4 * WORD_CHARS / GROUP_CHARS))
+    hashed = [f"s_row.`{c}`" for c, kind in rows.select(*names).dtypes if "map<" not in kind and "variant" not in kind]
+    opened = partial.where(size > 0).withColumn("s_group", F.pmod(F.xxhash64("s_open", *hashed), F.lit(groups)).cast("int"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield made(b.column(0).flatten(), *_sized(b, 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(("toxicity",), dict)
         for whole in batches:
             for lo in range(0, whole.num_rows, TEXT_ROWS):
                 b = whole.slice(lo, TEXT_ROWS)
-                place, own_texts = b.column(0).to_numpy(), np.array(texts(b.column(1)), object)
+                place, words = b.column(0).to_numpy(), np.array([*b.column(1).to_pylist(), None], object)[:-1]
                 for g in np.unique(place).tolist():
-                    for kind, keys in enumerate(sent.value.elsewhere(*numbers_of(own_texts[place == g].tolist()))):
+                    numbers, _, ends, _ = _open_words(words[place == g].tolist())
+                    for kind, keys in enumerate(sent.value.elsewhere(numbers, ends)):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), g, np.int32)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys)], ["s_group", "kind", "key"])
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,20 +551,28 @@ def _with_texts(docs: DataFrame, model: Model, names: list[str], text_col: str,
                         now, counts, got = place[i], [[], []], None
                     part = b.slice(i, j - i)
                     if kind[i] < 2:
-                        counts[kind[i]].append(part)
+                        counts[kind[i]].append(part.select(["key", *COUNTS]))
                         continue
                     if got is None:
                         got = [_sorted_counts(c, names_) for c, names_ in zip(counts, (COUNTS, ["t", "o"]), strict=True)]
                         counts = [[], []]
-                    yield made(part.column(b.num_columns - 1).flatten(), got)
+                    sizes, sums = _sized(part, part.num_columns - 3)
+                    words = part.column(part.num_columns - 1).to_pylist()
+                    yield made(part.column(part.num_columns - 4).flatten(), sizes, with_open(sent.value, sums, words, windows, got))
         give_back()
 
-    asked = rows.select(group.alias("s_group"), body).mapInArrow(ask, "s_group int, kind int, key long").distinct()
-    found = asked.join(more, ["kind", "key"]).select("s_group", "kind", "key", *COUNTS, F.lit(None).cast(rows.select(F.struct("*").alias("r")).schema["r"].dataType).alias("s_row"))
+    asked = opened.select("s_group", "s_open").mapInArrow(ask, "s_group int, kind int, key long").distinct()
+    found = asked.join(more, ["kind", "key"]).select("s_group", "kind", "key", *COUNTS, *[F.lit(None).cast(f.dataType).alias(f.name) for f in (row, *kinds)])
     none = [F.lit(None).cast("long").alias(c) for c in ("key", *COUNTS)]
-    both = found.unionByName(rows.select(group.alias("s_group"), F.lit(2).alias("kind"), *none, F.struct("*").alias("s_row")))
+    both = found.unionByName(opened.select("s_group", F.lit(2).alias("kind"), *none, "s_row", *left))
     partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return both.repartition(partitions, "s_group").sortWithinPartitions("s_group", "kind").mapInArrow(answered, schema)
+    met = both.repartition(partitions, "s_group").sortWithinPartitions("s_group", "kind").mapInArrow(answered, schema)
+    return partial.where(size == 0).select("s_row", *left[:2]).mapInArrow(finish, schema).union(met)
+
+
+def _sized(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words and sums of texts, from the columns at `at`."""
+    return b.column(at).to_numpy(), np.array(b.column(at + 1).to_pylist(), float)
 
 
 def _sorted_counts(parts: list[pa.RecordBatch], columns: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -495,18 +591,24 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", carry: l
     if model is None:
         return docs.select(*names, F.lit(0.0).alias(out))
 
-    def scores(model: Model, rows: list[str], more: list | None) -> pa.Array:
-        got = features(model, rows, [model.window], more)
+    def scores(model: Model, got: np.ndarray) -> pa.Array:
         return pa.array(np.where(np.isnan(got[:, 0]), 0.0, model.scores(got[:, 1], got[:, 0])), pa.float64())
 
-    return _with_texts(docs, model, names, text_col, scores, T.StructField(out, T.DoubleType()))
+    return _with_texts(docs, model, names, text_col, [model.window], scores, T.StructField(out, T.DoubleType()))
 
 
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold."""
-    scored = score(docs, model, text_col)
     with batches_of(docs.sparkSession, TEXT_ROWS):
-        return materialise(scored.where(F.col(scored.columns[-1]) < THRESHOLD).select(*docs.columns))
+        if model is None or model.more() is None:
+            scored = score(docs, model, text_col)
+            return materialise(scored.where(F.col(scored.columns[-1]) < THRESHOLD).select(*docs.columns))
+        # Scores go by the text, so toxic texts are known by 128 bits of hash, and no other is dealt out to be scored.
+        keys = unused(docs.columns, "text_hash", "text_hash_2")
+        hashes = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
+        out = score(docs.select(*[h.alias(k) for h, k in zip(hashes, keys, strict=True)], F.col(text_col).alias("s_text")), model, "s_text", keys)
+        gone = materialise(out.where(F.col(out.columns[-1]) >= THRESHOLD).select(*keys)).distinct()
+        return materialise(docs.withColumns(dict(zip(keys, hashes, strict=True))).join(gone, keys, "left_anti").select(*docs.columns))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:

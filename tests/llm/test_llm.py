@@ -671,6 +671,43 @@ def test_toxicity_without_places_scores_alike(spark, monkeypatch):
     assert np.allclose([r[3] for r in runs[0][1]], [r[3] for r in runs[1][1]], atol=1e-6)
 
 
+def test_texts_are_not_dealt_out_to_be_scored(spark, monkeypatch):
+    """Only the words that ask of the shared folder meet its counts; toxic rows go as they score."""
+    docs, labels = toxic_corpus(spark)
+    monkeypatch.setattr(toxicity, "WORD_SLOTS", 16)
+    monkeypatch.setattr(toxicity, "PAIR_SLOTS", 8)
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model, carry=["doc_id"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "text" not in plan
+    want = sorted(r["doc_id"] for r in scored.collect() if r["score"] < toxicity.THRESHOLD)
+    assert 200 < len(want) < 303 and sorted(r["doc_id"] for r in toxicity.without_toxic(docs, model).collect()) == want
+
+
+def test_sums_with_open_words_match_brute_force():
+    """Wherever words ask for counts, sums and best windows are those of the ratios of all words."""
+
+    class Some:
+        def ratios(self, ids, ends, more=None):
+            out = np.sin(ids * 1.7 + toxicity._before(ids, ends) * 0.3)
+            return out if more else np.where(self.asks(ids, ends), 1e3, out)
+
+        def asks(self, ids, ends):
+            return (ids + toxicity._before(ids, ends)) % self.every == 0
+
+    rng, windows, model = random.Random(8), [1, 2, 4, 8], Some()
+    rows = [" ".join(rng.choice("abcdefghijklmnopq") for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 40]))) for _ in range(120)]
+    for model.every in (1, 2, 7, 23, 10**9):
+        sizes, sums, left = toxicity.partial_features(model, rows, windows)
+        assert any(left) == (model.every < 10**9) and sizes.tolist() == [len(t.split()) for t in rows]
+        got = toxicity.features(sizes, toxicity.with_open(model, sums, left, windows, [None, None]))
+        for text, x in zip(rows, got, strict=True):
+            ids, ends = toxicity.numbers_of([text])
+            r = model.ratios(ids, ends, [None, None]).tolist()
+            want = [sum(r) / len(r), *[max(sum(r[i : i + w]) for i in range(max(1, len(r) - w + 1))) / w for w in windows]] if r else [np.nan] * 5
+            assert np.allclose(x, want, equal_nan=True)
+
+
 def test_pairs_behind_one_word_change_no_ratio(spark):
     """The counts leave out the pairs that no class has behind two words: with them all ratios are the same."""
     docs, labels = toxic_corpus(spark)
