@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Runs, batches_of, by_group, give_back, kept, lowered, materialise, mix, signs_where, texts, unused
+from .common import BASE, Runs, batches_of, by_group, give_back, kept, lowered, materialise, mix, signs_where, text_slices, unused
 
 UNITS = sorted(
     "mm cm m km mi inch inches ft feet yd yards mile miles g mg kg lb lbs oz ton tons l ml litre litres liter liters gallon gallons "
@@ -165,6 +165,23 @@ def item_windows(benchmark: DataFrame, window: int, least: int, item_col: str, t
     return materialise(items.dropDuplicates(["key"]).mapInArrow(run, WINDOWS))
 
 
+def window_hits(batches: Iterator[pa.RecordBatch], table: np.ndarray, sizes: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """tk, hash, at, given of the windows of sizes (reading, words) that the filter lets pass, from batches of tk and text, whose memory follows text_slices."""
+    for b, part in text_slices(batches, 1, TEXT_ROWS):
+        keys, readings = b.column(0).to_numpy(), read(part)
+        for reading, size in sizes:
+            r = readings[reading]
+            at, h = windows(r, size, reading)
+            first, second = probes(h)
+            hit = np.flatnonzero(table[first])
+            hit = hit[table[second[hit]]]
+            if len(hit):
+                at, of = at[hit], r.text[at[hit]]
+                begin = np.searchsorted(r.text, of)
+                columns = [pa.array(keys[of]), pa.array(h[hit].view(np.int64)), pa.array((at - begin).astype(np.int32)), _slot_lists(r, at, size)]
+                yield pa.RecordBatch.from_arrays(columns, ["tk", "hash", "at", "given"])
+
+
 def document_hits(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
     """tk (hash of the text), hash, at, given: windows of the documents that the filter of the items' windows lets pass."""
     both = F.array(F.shiftrightunsigned("hash", 64 - FILTER_BITS), F.col("hash").bitwiseAND(FILTER_SLOTS - 1))
@@ -176,22 +193,7 @@ def document_hits(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(("leaks",), dict)  # what other stages have kept goes
-        table = np.unpackbits(sent.value).astype(bool)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                keys, readings = b.column(0).to_numpy(), read(texts(b.column(1)))
-                for reading, size in sizes:
-                    r = readings[reading]
-                    at, h = windows(r, size, reading)
-                    first, second = probes(h)
-                    hit = np.flatnonzero(table[first])
-                    hit = hit[table[second[hit]]]
-                    if len(hit):
-                        at, of = at[hit], r.text[at[hit]]
-                        begin = np.searchsorted(r.text, of)
-                        columns = [pa.array(keys[of]), pa.array(h[hit].view(np.int64)), pa.array((at - begin).astype(np.int32)), _slot_lists(r, at, size)]
-                        yield pa.RecordBatch.from_arrays(columns, ["tk", "hash", "at", "given"])
+        yield from window_hits(batches, np.unpackbits(sent.value).view(bool), sizes)
         give_back()
 
     rows = docs.where(F.length(text_col) > 0).select(F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))

@@ -421,6 +421,25 @@ def brute_leaks(text, item, coverage=0.5, slip=3):
     return best and (round(best[0], 9), -best[1])
 
 
+def test_windows_of_many_texts_take_bounded_memory():
+    """An Arrow batch of long texts is read in slices, and its windows are those of each text."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    word = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    rows = [" ".join(rng.choice(word) for _ in range(600)) for _ in range(500)] + ["", "one"]
+    batch = decontam.pa.RecordBatch.from_arrays([decontam.pa.array(range(len(rows))), decontam.pa.array(rows)], ["tk", "text"])
+    table = np.zeros(decontam.FILTER_SLOTS, bool)
+    for r in decontam.read(rows[490:]):
+        for place in decontam.probes(decontam.windows(r, 8, 0)[1]):
+            table[place] = True
+    tracemalloc.start()
+    got = [(x["tk"], x["at"]) for b in decontam.window_hits(iter([batch]), table, [(0, 8)]) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and {(k, at) for k in range(490, 500) for at in range(593)} <= set(got) and len(got) < 8000
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(8)
     words = "the a Bob Anna Lee has 3 4 12.5 km apples pears. gives then He she? buys more of it days 7:30 Zoë ½".split()
