@@ -100,6 +100,28 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Bits of a filter of keys for each key, and at most (8 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 26
+
+
+def key_filter(keys: DataFrame, names: tuple[str, str, str] = ("rid", "tk", "key_bits")) -> tuple[DataFrame, Column]:
+    """A table of one row, to be broadcast, and whether rows pass it: all whose key is in keys (two columns), and few others.
+
+    names: the rows' columns of the key, and the table's column.
+    Texts that don't pass need not be dealt out. Beyond MOST_BITS / KEY_BITS keys more of the others pass, which costs time only."""
+    spark = keys.sparkSession
+    size = 1 << min(max(16, (KEY_BITS * keys.count()).bit_length()), MOST_BITS.bit_length() - 1)
+    places = lambda *key: [h.bitwiseAND(F.lit(size - 1)) for h in (F.xxhash64(*key), F.shiftrightunsigned(F.xxhash64(*key), 32))]
+    word, bit = lambda p: F.shiftright(p, 6).cast("int"), lambda p: p.bitwiseAND(F.lit(63)).cast("int")
+    set_bits = keys.select(F.explode(F.array(*places(*keys.columns))).alias("p")).groupBy(word(F.col("p")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("p")))).alias("b"))
+    got = set_bits.toArrow()
+    words = np.zeros(size >> 6, np.int64)
+    words[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    table = spark.createDataFrame(pa.table({names[2]: pa.array([words], pa.list_(pa.int64()))}))
+    hit = [F.getbit(F.get(names[2], word(p)), bit(p)) == 1 for p in places(*names[:2])]
+    return F.broadcast(table), hit[0] & hit[1]
+
+
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """The names, each made longer until no column has it (in any case)."""
     taken = {c.lower() for c in columns}

@@ -33,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, batches_of, by_group, distinct, give_back, kept, materialise, mix, text_of, texts, unused, word_hashes
+from .common import BASE, batches_of, by_group, distinct, give_back, kept, key_filter, materialise, mix, text_of, texts, unused, word_hashes
 
 #: Characters that are hashed at once (some 60 bytes of arrays each), and rows of an Arrow batch with texts.
 SLICE, TEXT_ROWS = 1 << 20, 500
@@ -158,28 +158,6 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(out) if len(rounds) > 1 else out
 
 
-#: Bits of a filter of keys for each key, and at most (8 MB).
-KEY_BITS, MOST_BITS = 16, 1 << 26
-
-
-def key_filter(keys: DataFrame, names: tuple[str, str, str] = ("rid", "tk", "key_bits")) -> tuple[DataFrame, Column]:
-    """A table of one row, to be broadcast, and whether rows pass it: all whose key is in keys (rid, tk), and few others.
-
-    names: the rows' columns of the key, and the table's column.
-    Texts that don't pass need not be dealt out. Beyond MOST_BITS / KEY_BITS keys more of the others pass, which costs time only."""
-    spark = keys.sparkSession
-    size = 1 << min(max(16, (KEY_BITS * keys.count()).bit_length()), MOST_BITS.bit_length() - 1)
-    places = lambda *key: [h.bitwiseAND(F.lit(size - 1)) for h in (F.xxhash64(*key), F.shiftrightunsigned(F.xxhash64(*key), 32))]
-    word, bit = lambda p: F.shiftright(p, 6).cast("int"), lambda p: p.bitwiseAND(F.lit(63)).cast("int")
-    set_bits = keys.select(F.explode(F.array(*places("rid", "tk"))).alias("p")).groupBy(word(F.col("p")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("p")))).alias("b"))
-    got = set_bits.toArrow()
-    words = np.zeros(size >> 6, np.int64)
-    words[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    table = spark.createDataFrame(pa.table({names[2]: pa.array([words], pa.list_(pa.int64()))}))
-    hit = [F.getbit(F.get(names[2], word(p)), bit(p)) == 1 for p in places(*names[:2])]
-    return F.broadcast(table), hit[0] & hit[1]
-
-
 #: Rows of a block that are compared at once with all of another.
 STRIP = 256
 
@@ -307,7 +285,7 @@ def ngram_jaccard_join(
 
     alive = materialise(deal(units.select(*unit_names, "own", "n_grams", "sig")).mapInArrow(prune, "root long, lo int, hi int, class long"))
 
-    table, passes = key_filter(alive.select("class").distinct().join(members.select("class", "rep.rid", "rep.tk"), "class"))
+    table, passes = key_filter(alive.select("class").distinct().join(members.select("class", "rep.rid", "rep.tk"), "class").select("rid", "tk"))
     # Written without a shuffle: of all texts only these are dealt out afterwards.
     source = docs.select(*_row_key(id_col, text_col), text_of(text_col).alias("text"))
     source = materialise(source.join(table, passes).drop("key_bits"))

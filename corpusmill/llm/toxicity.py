@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, by_group, distinct, fold, give_back, kept, materialise, mix, sample_ids, shuffles_dropped, text_of, text_slices, unused, word_hashes
+from .common import batches_of, by_group, distinct, fold, give_back, kept, key_filter, materialise, mix, sample_ids, shuffles_dropped, text_of, text_slices, unused, word_hashes
 
 DISCOUNT = 0.75
 BITS = 28
@@ -603,12 +603,18 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text")
         if model is None or model.more() is None:
             scored = score(docs, model, text_col)
             return materialise(scored.where(F.col(scored.columns[-1]) < THRESHOLD).select(*docs.columns))
-        # Scores go by the text, so toxic texts are known by 128 bits of hash, and no other is dealt out to be scored.
-        keys = unused(docs.columns, "text_hash", "text_hash_2")
+        # Scores go by the text, so toxic texts are known by 128 bits of hash, and no other is dealt out to be scored. Rows that the filter of toxic
+        # texts doesn't let pass stay where they are; the others that score below are few and have a filter of their own, so toxic texts aren't dealt out either.
+        *keys, bits, bits_2 = unused(docs.columns, "text_hash", "text_hash_2", "key_bits", "key_bits_2")
         hashes = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
         out = score(docs.select(*[h.alias(k) for h, k in zip(hashes, keys, strict=True)], F.col(text_col).alias("s_text")), model, "s_text", keys)
-        gone = materialise(out.where(F.col(out.columns[-1]) >= THRESHOLD).select(*keys)).distinct()
-        return materialise(docs.withColumns(dict(zip(keys, hashes, strict=True))).join(gone, keys, "left_anti").select(*docs.columns))
+        verdicts = materialise(out.groupBy(*keys).agg(F.max(F.col(out.columns[-1]) >= THRESHOLD).alias("gone")))
+        table, passes = key_filter(verdicts.where("gone").select(*keys), (*keys, bits))
+        spared = materialise(verdicts.where("NOT gone").join(table, passes).select(*keys))
+        table_2, passes_2 = key_filter(spared, (*keys, bits_2))
+        rows = docs.withColumns(dict(zip(keys, hashes, strict=True)))
+        asked = materialise(rows.join(table, passes).join(table_2, passes_2).drop(bits, bits_2))  # else Spark has the semi join, and so a shuffle, before the filters
+        return materialise(rows.join(table, ~passes).select(*docs.columns).unionByName(asked.join(spared, keys, "left_semi").select(*docs.columns)))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -703,6 +703,38 @@ def test_texts_are_not_dealt_out_to_be_scored(spark, monkeypatch):
     assert 200 < len(want) < 303 and sorted(r["doc_id"] for r in toxicity.without_toxic(docs, model).collect()) == want
 
 
+@pytest.mark.parametrize("filter_bits", [1 << 26, 64])
+def test_texts_stay_where_they_are_when_toxic_rows_go(spark, monkeypatch, filter_bits):
+    """Of neither the toxic texts nor the others more than a few are shuffled; with filters that let all rows pass the same rows go."""
+    docs, labels = toxic_corpus(spark)
+    rng = random.Random(4)
+    signs = [(i, "".join(rng.choice("#*$%&|<>+=-/!?") for _ in range(12_000))) for i in range(300)]
+    docs = docs.join(spark.createDataFrame(signs, "doc_id long, signs string"), "doc_id", "left").select("doc_id", F.concat_ws(" ", "text", "signs").alias("text"), "m", F.lit(1).alias("key_bits"))
+    docs = common.materialise(docs.union(docs.where("doc_id IN (4, 5)")))
+    monkeypatch.setattr(toxicity, "WORD_SLOTS", 16)
+    monkeypatch.setattr(toxicity, "PAIR_SLOTS", 8)
+    monkeypatch.setattr(common, "MOST_BITS", filter_bits)
+    model = toxicity.train(docs, labels)
+    want = sorted(r["doc_id"] for r in toxicity.score(docs, model, carry=["doc_id"]).collect() if r["score"] < toxicity.THRESHOLD)
+    assert 200 < len(want) < 305 and want.count(5) == 2 and 4 not in want
+    name, context = "spark.sql.autoBroadcastJoinThreshold", spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(context.statusStore().executorList(False)))
+
+    before, begun = spark.conf.get(name), shuffled()
+    spark.conf.set(name, "-1")
+    try:
+        got = toxicity.without_toxic(docs, model)
+    finally:
+        spark.conf.set(name, before)
+    texts_mb = docs.agg(F.sum(F.length("text"))).first()[0] / 1e6
+    moved_mb = (shuffled() - begun) / 1e6
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
+    assert texts_mb > 3 and (moved_mb < texts_mb / 10 or filter_bits == 64), moved_mb
+
+
 def test_sums_with_open_words_match_brute_force():
     """Wherever words ask for counts, sums and best windows are those of the ratios of all words."""
 
